@@ -1,4 +1,486 @@
-"""All queries of the library and their SQL."""
+"""All queries of the library, each with SQL that gives the same rows.
+
+The driver's tables have no postings, so those are derived from ``part`` by arithmetic on its key, with one text that
+both engines read. Reference dates are parameters with fixed values here; nothing reads a clock.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scoring as S
+from .functions import text as T
+from .functions import vocabulary as V
+from .operators import boards as B
+from .operators import dedup as D
+from .operators import summaries as A
+from .plans import runs as R
+from .plans import sinks as P
+from .sources import pages as G
+
+TODAY = "2026-05-24"
+PROFILE = V.Profile()
+
+
+def _case(key: str, n: int, texts: list[str | None]) -> str:
+    """A text by the key modulo n, read alike by both engines."""
+    whens = " ".join(f"WHEN {i} THEN " + ("NULL" if t is None else t if t.startswith("concat(") else "'" + t.replace("'", "''") + "'") for i, t in enumerate(texts))
+    return f"(CASE {key} % {n} {whens} END)"
+
+
+_K = "p_partkey"
+_TWO = f"lpad(CAST({_K} % 100 AS STRING), 2, '0')"
+POSTING_COLUMNS = {
+    "seq": _K,
+    "job_url": f"CASE WHEN {_K} % 13 = 0 THEN NULL ELSE concat('https://b', CAST({_K} % 5 AS STRING), '.example/', lpad(CAST({_K} % 20 AS STRING), 2, '0'), '/2026/', CAST({_K} % 1500 AS STRING)) END",
+    "job_title": f"concat({_case(_K, 9, ['Management Trainee 2026', 'Warehouse Operations batch 3', 'ODP Banking', 'Senior Analyst', 'Logistics Coordinator', 'Graduate Trainee batch iv', 'Data Trainee for Retail', 'Procurement Staff', 'Driver'])}, ' ', p_name)",
+    "company": f"CASE WHEN {_K} % 11 = 0 THEN NULL ELSE concat({_case(_K, 6, ['PT Nama', 'Unilever', 'Bank Mandiri', 'Toko Retail', 'Samsung', 'PT Logistics Tbk'])}, ' ', CAST({_K} % 37 AS STRING)) END",
+    "location": _case(_K, 5, ["Jakarta", "Bandung, Jawa Barat", None, "Surabaya", "Kota Medan"]),
+    "date_posted": f"CASE WHEN {_K} % 4 = 0 THEN NULL ELSE concat('2026-05-', lpad(CAST(1 + {_K} % 28 AS STRING), 2, '0')) END",
+    "deadline": _case(_K, 12, [None, f"concat('deadline: ', CAST(1 + {_K} % 31 AS STRING), ' Mei 2026')", "closing: 31 Juni 2026", f"concat('2026-05-', lpad(CAST(1 + {_K} % 35 AS STRING), 2, '0'))", None, "batas lamaran 2 foo 2026, 2026-06-01", None, f"concat(CAST(20 + {_K} % 11 AS STRING), ' May 2026 (deadline)')", None, f"concat('validThrough: 2026-06-', lpad(CAST(1 + {_K} % 30 AS STRING), 2, '0'))", None, None]),
+    "salary": f"CASE WHEN {_K} % 3 = 0 THEN NULL ELSE concat(CAST(4 + {_K} % 9 AS STRING), ' juta') END",
+    "job_description_summary": f"CASE WHEN {_K} % 17 = 0 THEN NULL ELSE concat(p_type, ' ', {_case(_K, 8, ['fresh graduate program with leadership training, supply chain and warehouse operations across the whole country and export desks', 'unpaid internship in commercial reporting', 'manufacturing execution, procurement, logistics and negotiation with vendors, bisnis internasional, rotation through all plants of the group', 'needs 3 years of experience', 'commission only sales', '5 tahun pengalaman', 'development program for future leader, commercial operations and supply chain reporting in fmcg and retail, rotation and mentoring', 'short'])}) END",
+    "requirements": _case(_K, 11, [f"concat('S1, IPK min 3,', {_TWO})", f"concat('minimum GPA 2.', {_TWO})", None, "excellent academic record, D4", f"concat('GPA >= 3.', {_TWO})", "IPK minimal 5,00 s1", f"concat('bachelor gpa 3.', {_TWO}, ', bisnis')", f"concat('ipk 3.', {_TWO}, ' s1')", "lulusan baru d4", f"concat('dengan IPK minimum 3.', {_TWO})", "all majors"]),
+    "data_confidence": f"CAST({_K} * 7 % 101 AS INT)",
+}
+POSTINGS = "SELECT " + ", ".join(f"{e} AS {c}" for c, e in POSTING_COLUMNS.items()) + " FROM part"
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def postings(spark: SparkSession, sf: str) -> DataFrame:
+    part = _table(spark, sf, "part")
+    return part.selectExpr(*[f"{e} AS {c}" for c, e in POSTING_COLUMNS.items()])
+
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _contains_any(text: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+def _first(text: str, words: list[str]) -> str:
+    return "CASE " + " ".join(f"WHEN contains({text}, '{w}') THEN '{w}'" for w in words) + " END"
+
+
+def _list(*items: str) -> str:
+    return f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
+
+
+def _q(pattern: str) -> str:
+    return "'(?i)" + pattern.replace("'", "''") + "'"
+
+
+_GRADE_TEXT = "concat_ws(' ', job_description_summary, requirements, job_title)"
+_GRADE = "coalesce(" + ", ".join(f"CASE WHEN TRY_CAST(replace(nullif(regexp_extract({_GRADE_TEXT}, {_q(p)}, 1), ''), ',', '.') AS DECIMAL(3,2)) BETWEEN 2 AND 4 THEN TRY_CAST(replace(nullif(regexp_extract({_GRADE_TEXT}, {_q(p)}, 1), ''), ',', '.') AS DECIMAL(3,2)) END" for p in V.GRADE_PATTERNS) + ")"
+
+
+def _band(at: int) -> str:
+    lit = lambda v: "[" + ", ".join(f"'{x}'" for x in v) + "]" if isinstance(v, list) else str(v) if isinstance(v, int) else f"'{v}'"
+    return "CASE " + " ".join(f"WHEN g <= {row[0]} THEN {lit(row[1 + at])}" for row in V.GRADE_BANDS) + f" WHEN phrase THEN {lit(V.GRADE_QUALITATIVE[at])} ELSE {lit(V.GRADE_NONE[at])} END"
+
+
+_GRADED = f"""SELECT *, {_band(0)} AS gpa_status, {_band(1)} AS gpa_points, {_band(2)} AS gpa_codes, CASE WHEN g IS NULL THEN NULL WHEN g <= 3.29 THEN 0 ELSE g - 3.29 END AS gpa_gap
+    FROM (SELECT *, {_GRADE} AS g, regexp_matches({_GRADE_TEXT}, {_q("(?:" + V.GRADE_PHRASES + ")")}) AS phrase FROM postings)"""
+
+_MONTH = "CASE lower(m) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.MONTHS.items()) + " END"
+_DUE_TEXT = "concat_ws(' ', deadline, job_description_summary, requirements)"
+
+
+def _due() -> str:
+    whens = []
+    for p, kind in V.DEADLINE_PATTERNS:
+        a, b, c = (f"regexp_extract({_DUE_TEXT}, {_q(p)}, {i})" for i in (1, 2, 3))
+        y, m, d = (a, b, c) if kind == "ymd" else (c, _MONTH.replace("lower(m)", f"lower({b})"), a)
+        whens.append(f"WHEN regexp_matches({_DUE_TEXT}, {_q(p)}) THEN TRY_CAST(lpad({y}, 4, '0') || '-' || lpad({m}, 2, '0') || '-' || lpad({d}, 2, '0') AS DATE)")
+    month, year = (f"regexp_extract(job_url, '/(\\d{{2}})/(20\\d{{2}})/', {i})" for i in (1, 2))
+    first = f"CASE WHEN TRY_CAST({month} AS INT) BETWEEN 1 AND 12 AND TRY_CAST({year} AS INT) BETWEEN 2024 AND 2030 THEN last_day(TRY_CAST({year} || '-' || {month} || '-01' AS DATE)) END"
+    return f"coalesce({first}, CASE {' '.join(whens)} END)"
+
+
+_DUE = f"""SELECT *, CASE WHEN n <= -1 THEN 'Expired' WHEN n IS NULL THEN 'Unknown' ELSE 'Open' END AS deadline_status,
+    CASE WHEN n <= -1 THEN 'Expired' WHEN n <= 3 THEN 'High' WHEN n <= 7 THEN 'Medium' WHEN n IS NULL THEN 'Unknown' ELSE 'Low' END AS urgency_level,
+    CASE WHEN n <= -1 THEN -50 WHEN n <= 3 THEN 5 WHEN n <= 7 THEN 3 ELSE 0 END AS deadline_points
+    FROM (SELECT *, date_diff('day', DATE '{TODAY}', due) AS n FROM (SELECT *, {_due()} AS due FROM src))"""
+
+_CAT = "CASE WHEN {0} >= 85 THEN 'Strong Match' WHEN {0} >= 75 THEN 'Good Match' WHEN {0} >= 60 THEN 'Possible Match' WHEN {0} >= 45 THEN 'Weak Match' ELSE 'Not Recommended' END"
+_REC = "CASE WHEN coalesce(data_confidence, 100) < 50 THEN 'Review Manually' WHEN {0} >= 85 THEN 'Apply' WHEN {0} >= 75 THEN 'Apply / Maybe' WHEN {0} >= 60 THEN 'Maybe' WHEN {0} >= 45 THEN 'Low Priority' ELSE 'Skip' END"
+
+_p = PROFILE
+_SCORED = f"""SELECT *, {_CAT.format("match_score")} AS match_category, {_REC.format("match_score")} AS recommendation FROM (SELECT *,
+    greatest(0, least(100, CASE WHEN role IS NOT NULL THEN 20 ELSE 0 END + 20 + least(20, 2 * len(skills)) + CASE WHEN industry IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN leads THEN 10 ELSE 0 END
+        + CASE WHEN studied THEN 10 ELSE 0 END + 5 + 5 - CASE WHEN three THEN 15 ELSE 0 END - CASE WHEN five THEN 30 ELSE 0 END - CASE WHEN unpaid THEN 25 ELSE 0 END + gpa_points)) AS match_score,
+    list_concat({_list(f"CASE WHEN role IS NOT NULL AND {_contains_any('t', ['mt', 'odp', 'trainee'])} THEN 'MT_ODP_MATCH' END", "CASE WHEN entry THEN 'FRESH_GRAD_ACCEPTED' END", "CASE WHEN list_contains(skills, 'supply chain') OR list_contains(skills, 'operations') THEN 'OPS_SUPPLY_CHAIN_MATCH' END")},
+        {_list(*[f"CASE WHEN list_contains(skills, '{w}') THEN '{c}' END" for w, c in _p.skill_codes])},
+        {_list("CASE WHEN industry = 'fmcg' THEN 'FMCG_MATCH' END", "CASE WHEN NOT studied THEN 'MAJOR_RISK' END", "'NATIONWIDE_PLACEMENT'", "CASE WHEN salary IS NULL THEN 'SALARY_MISSING' END", "CASE WHEN three OR five THEN 'EXPERIENCE_TOO_HIGH' END", "CASE WHEN company IS NULL THEN 'UNCLEAR_COMPANY' END", "CASE WHEN length(coalesce(job_description_summary, '')) < 100 THEN 'VAGUE_JD' END", "CASE WHEN unpaid THEN CASE WHEN contains(f, 'unpaid') THEN 'UNPAID_INTERNSHIP' ELSE 'COMMISSION_ONLY' END END")}, gpa_codes) AS reason_codes,
+    {_list("'Role match: ' || role", "CASE WHEN entry THEN 'Experience match: Entry level (0-2 years)' END", "CASE WHEN len(skills) > 0 THEN 'Skills matched: ' || array_to_string(skills[1:3], ', ') END", "'Industry match: ' || industry", "CASE WHEN leads THEN 'Leadership/Execution fit' END", "CASE WHEN studied THEN 'Education match' END", "'Willing to relocate (nationwide)'")} AS why_match,
+    {_list("CASE WHEN three THEN 'Requires 3+ years experience' END", "CASE WHEN five THEN 'Requires 5+ years experience' END", "CASE WHEN unpaid THEN 'Commission-only or unpaid' END", "CASE WHEN gpa_points < 0 THEN 'GPA risk: ' || gpa_status END")} AS gaps
+    FROM (SELECT *, {_first("t", _p.roles)} AS role, {_list(*[f"CASE WHEN contains(f, '{s}') THEN '{s}' END" for s in _p.skills])} AS skills,
+        CASE {" ".join(f"WHEN contains(f, '{i}') OR contains(coalesce(lower(company), ''), '{i}') THEN '{i}'" for i in _p.industries)} END AS industry,
+        {_contains_any("f", _p.entry_terms)} AS entry, {_contains_any("f", _p.leadership)} AS leads, {_contains_any("f", _p.education)} AS studied,
+        regexp_matches(f, '3\\s*(?:year|tahun)') AS three, regexp_matches(f, '5\\s*(?:year|tahun)') AS five, {_contains_any("f", ["commission only", "unpaid", "tidak dibayar"])} AS unpaid
+        FROM (SELECT *, lower(job_title) AS t, lower(job_title) || ' ' || coalesce(lower(job_description_summary), '') || ' ' || coalesce(lower(requirements), '') AS f FROM graded)))"""
+
+_REASON = "coalesce(CASE WHEN deadline_status = 'Expired' THEN 'Expired deadline' END, CASE WHEN match_score < 75 THEN 'Score below 75' END, CASE WHEN coalesce(data_confidence, 0) < 60 THEN 'Data confidence below 60' END, CASE WHEN recommendation NOT IN ('Apply', 'Apply / Maybe') THEN 'Recommendation not Apply' END, " + ", ".join(f"CASE WHEN list_contains(reason_codes, '{s}') THEN '{ {'GPA_RISK_HIGH': 'High GPA gap', 'DEADLINE_EXPIRED': 'Expired deadline'}.get(s, s.replace('_', ' ').title())}' END" for s in V.SEVERE) + ", CASE WHEN job_url IS NULL THEN 'Missing apply URL' END, CASE WHEN gpa_status = 'High GPA Gap' THEN 'High GPA gap' END, CASE WHEN gpa_status = 'Moderate GPA Gap' AND match_score < 90 THEN 'Moderate GPA gap and score below 90' END, CASE WHEN gpa_status = 'Slight GPA Gap' AND match_score < 80 THEN 'Slight GPA gap and score below 80' END)"
+_CODE = "CASE urgency_level " + " ".join(f"WHEN '{u}' THEN '{c}'" for u, c in V.DEADLINE_CODES.items()) + " END"
+
+WITH = f"WITH postings AS ({POSTINGS}), graded AS ({_GRADED}), scored AS ({_SCORED})"
+_DATED = f"""src AS (SELECT * FROM scored), due AS ({_DUE}),
+    moved AS (SELECT * EXCLUDE (match_score, match_category, recommendation, reason_codes), CASE WHEN deadline_points <> 0 THEN greatest(0, least(100, match_score + deadline_points)) ELSE match_score END AS match_score, list_concat(list_filter(reason_codes, lambda x: NOT starts_with(x, 'DEADLINE_')), [{_CODE}]) AS reason_codes FROM due),
+    dated AS (SELECT *, {_CAT.format("match_score")} AS match_category, {_REC.format("match_score")} AS recommendation FROM moved),
+    full_rows AS (SELECT *, {_REASON} AS reason FROM dated)"""
+WITH_ALL = f"{WITH}, {_DATED}"
+
+
+def _scored(spark, sf):
+    return S.score(postings(spark, sf), PROFILE)
+
+
+def _graded(spark, sf):
+    return S.with_grade(postings(spark, sf), F.concat_ws(" ", "job_description_summary", "requirements", "job_title"))
+
+
+def _full(spark, sf):
+    return R.reasons(S.with_deadline(_scored(spark, sf), TODAY))
+
+
+_joined = lambda c, s: F.array_join(c, s).alias(c)
+
+
+@query(f"{WITH} SELECT row_number() OVER (ORDER BY match_score DESC, data_confidence DESC, seq) AS rank, seq, job_title, match_score, match_category, recommendation FROM scored QUALIFY rank <= 20")
+def score_rank_top20(spark, sf):
+    df = _scored(spark, sf).select("seq", "job_title", "match_score", "match_category", "recommendation", "data_confidence")
+    return A.top(df, 20, F.desc("match_score"), F.desc("data_confidence"), F.asc("seq")).drop("data_confidence")
+
+
+@query(f"{WITH} SELECT seq, match_score, match_category, recommendation, array_to_string(reason_codes, ', ') AS reason_codes, array_to_string(why_match, '; ') AS why_match, array_to_string(gaps, '; ') AS gaps FROM scored")
+def rule_scores(spark, sf):
+    return _scored(spark, sf).select("seq", "match_score", "match_category", "recommendation", _joined("reason_codes", ", "), _joined("why_match", "; "), _joined("gaps", "; "))
+
+
+@query(f"WITH postings AS ({POSTINGS}), graded AS ({_GRADED}) SELECT seq, CAST(g AS DOUBLE) AS gpa_required, CAST(gpa_gap AS DOUBLE) AS gpa_gap, gpa_status, gpa_points FROM graded")
+def gpa_bands(spark, sf):
+    return _graded(spark, sf).select("seq", F.col("gpa_required").cast("double").alias("gpa_required"), F.col("gpa_gap").cast("double").alias("gpa_gap"), "gpa_status", "gpa_points")
+
+
+@query(f"WITH src AS ({POSTINGS}), due AS ({_DUE}) SELECT seq, CAST(due AS VARCHAR) AS deadline_parsed, n AS days_until_deadline, deadline_status, urgency_level, deadline_points FROM due")
+def deadline_bands(spark, sf):
+    rows = S.with_due(postings(spark, sf), F.col("job_url"), F.concat_ws(" ", "deadline", "job_description_summary", "requirements"), TODAY)
+    return rows.select("seq", F.col("deadline_parsed").cast("string").alias("deadline_parsed"), "days_until_deadline", "deadline_status", "urgency_level", "deadline_points")
+
+
+@query(f"{WITH_ALL} SELECT coalesce(reason, 'passes') AS reason, count(*) AS n, min(seq) AS first_seen FROM full_rows GROUP BY 1")
+def apply_reason(spark, sf):
+    return A.open_counts(_full(spark, sf).withColumn("reason", F.coalesce("reason", F.lit("passes"))), "reason")
+
+
+@query(f"""{WITH} SELECT seq, match_score, gpa_status FROM scored WHERE match_score >= 75 AND data_confidence >= 60 AND recommendation IN ('Apply', 'Apply / Maybe')
+    AND NOT list_has_any(reason_codes, [{", ".join(f"'{s}'" for s in V.SEVERE_EXPORT)}]) AND gpa_status <> 'High GPA Gap' AND NOT (gpa_status = 'Moderate GPA Gap' AND list_contains(reason_codes, 'MAJOR_RISK'))""")
+def apply_today_exporter(spark, sf):
+    c = F.col
+    return _scored(spark, sf).where(S.apply_today(c("match_score"), c("data_confidence"), c("recommendation"), c("reason_codes"), c("gpa_status"))).select("seq", "match_score", "gpa_status")
+
+
+@query(f"{WITH} SELECT count_if(match_score >= 85) AS strong, count_if(match_score >= 75 AND match_score < 85) AS good, count_if(match_score >= 60 AND match_score < 75) AS possible, count_if(match_score >= 45 AND match_score < 60) AS weak, count_if(match_score < 45) AS rejected FROM scored")
+def category_counts(spark, sf):
+    return A.category_counts(_scored(spark, sf))
+
+
+@query(f"""{WITH_ALL} SELECT count(*) AS rows_total, count_if(reason IS NULL) AS apply_today, count_if(match_score >= 85) AS strong, count_if(match_score BETWEEN 75 AND 84) AS good, count_if(match_score BETWEEN 60 AND 74) AS possible,
+    count_if(deadline_status = 'Expired') AS expired, count_if(deadline_status = 'Open') AS open, count_if(deadline_status = 'Unknown') AS unknown, count_if(urgency_level = 'High') AS urgent, count_if(urgency_level = 'Medium') AS soon,
+    count_if(reason = 'Expired deadline' AND match_score >= 75) AS expired_removed, {", ".join(f"count_if(gpa_status = '{x}') AS gpa_{i}" for i, x in enumerate(V.GRADE_LABELS))}, 0 - count(*) + (SELECT count(*) FROM part) AS duplicates_removed FROM full_rows""")
+def run_summary(spark, sf):
+    return A.run_summary(_full(spark, sf), _table(spark, sf, "part").count())
+
+
+_OLD = f"SELECT seq, job_url, job_title, company, data_confidence, CAST(seq * 13 % 101 AS INT) AS match_score FROM ({POSTINGS})"
+
+
+def _old(spark, sf):
+    return postings(spark, sf).select("seq", "job_url", "job_title", "company", "data_confidence", (F.col("seq") * 13 % 101).cast("int").alias("match_score"), F.array(F.lit("GPA_MEETS"), F.lit("VAGUE_JD")).alias("reason_codes"))
+
+
+@query(f"""WITH base AS ({POSTINGS}), w AS (SELECT lower(trim(job_url)) AS u, max_by(requirements, seq) FILTER (WHERE true) AS r1, arg_max(struct_pack(requirements := requirements, job_description_summary := job_description_summary, salary := salary, deadline := deadline), seq) AS w FROM base GROUP BY 1),
+    postings AS (SELECT o.*, w.w.requirements AS requirements, w.w.job_description_summary AS job_description_summary, w.w.salary AS salary, w.w.deadline AS deadline, ['GPA_MEETS', 'VAGUE_JD'] AS old_codes FROM ({_OLD}) o LEFT JOIN w ON lower(trim(o.job_url)) = w.u),
+    graded AS ({_GRADED}), scored AS (SELECT * EXCLUDE (match_score), greatest(0, least(100, match_score + gpa_points)) AS match_score, list_concat(list_filter(old_codes, lambda x: NOT starts_with(x, 'GPA_')), gpa_codes) AS reason_codes, '' AS match_category, '' AS recommendation FROM graded), {_DATED}
+    SELECT seq, match_score, match_category, recommendation, gpa_status, deadline_status, array_to_string(reason_codes, ', ') AS reason_codes, reason FROM full_rows""")
+def audit_adjust(spark, sf):
+    return R.audit(_old(spark, sf), postings(spark, sf), TODAY).select("seq", "match_score", "match_category", "recommendation", "gpa_status", "deadline_status", _joined("reason_codes", ", "), "reason")
+
+
+_CHOSEN = "(SELECT seq, CAST(seq * 31 % 101 AS INT) AS semantic_score FROM scored WHERE match_score >= 60 ORDER BY match_score DESC, data_confidence DESC, date_posted ASC NULLS LAST, company ASC NULLS FIRST, seq LIMIT 20)"
+
+
+@query(f"""{WITH}, m AS {_CHOSEN}, b AS (SELECT s.seq, data_confidence, CASE WHEN m.seq IS NULL THEN CAST(match_score AS DECIMAL(5,1)) ELSE CAST(round(match_score * 0.4 + semantic_score * 0.6, 1) AS DECIMAL(5,1)) END AS b FROM scored s LEFT JOIN m ON s.seq = m.seq)
+    SELECT seq, CAST(b AS DOUBLE) AS match_score, {_CAT.format("b")} AS match_category, {_REC.format("b")} AS recommendation FROM b""")
+def semantic_blend(spark, sf):
+    model = lambda df: df.select("seq", (F.col("seq") * 31 % 101).cast("int").alias("semantic_score"))
+    return R.with_model(_scored(spark, sf), model).select("seq", F.col("match_score").cast("double").alias("match_score"), "match_category", "recommendation")
+
+
+@query(f"""{WITH} SELECT seq, CASE {" ".join(f"WHEN match_score >= {p[0]} THEN '{p[1]}'" for p in V.PRIORITIES[:-1])} ELSE '{V.PRIORITIES[-1][1]}' END AS priority, CASE {" ".join(f"WHEN match_score >= {p[0]} THEN '{p[2]}'" for p in V.PRIORITIES[:-1])} ELSE '{V.PRIORITIES[-1][2]}' END AS priority_recommendation,
+    CASE {" ".join(f"WHEN match_score >= {p[0]} THEN '{p[3]}'" for p in V.PRIORITIES[:-1])} ELSE '{V.PRIORITIES[-1][3]}' END AS apply_notes, trim(job_title) AS job_title, coalesce(company, '') AS company, coalesce(salary, '') AS salary FROM scored""")
+def priority_export(spark, sf):
+    return P.wide(_scored(spark, sf)).select("seq", "priority", "priority_recommendation", "apply_notes", "job_title", "company", "salary")
+
+
+_KEY = "coalesce(nullif(lower(trim(job_url)), ''), coalesce(lower(trim(company)), '') || '|' || coalesce(lower(trim(job_title)), '') || '|' || coalesce(lower(trim(location)), ''))"
+
+
+@query(f"WITH p AS ({POSTINGS}) SELECT seq, job_url, job_title FROM p QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY seq) = 1")
+def dedup_first(spark, sf):
+    df = postings(spark, sf).withColumn("apply_url", F.lit(None).cast("string"))
+    return D.first_rows(df, D.record_key()).select("seq", "job_url", "job_title")
+
+
+@query(f"""WITH p AS (SELECT *, CAST(seq * 13 % 101 AS INT) AS match_score, {_KEY} AS k FROM ({POSTINGS})), g AS (SELECT k, min(seq) AS seq, max(match_score) AS match_score, count(*) AS c FROM p GROUP BY k),
+    d AS (SELECT k, job_description_summary FROM p QUALIFY row_number() OVER (PARTITION BY k ORDER BY length(coalesce(job_description_summary, '')) DESC, seq) = 1)
+    SELECT g.seq, p.job_title, d.job_description_summary, g.match_score, CASE WHEN c > 1 THEN 'merged_duplicate' ELSE 'single' END AS origin, CASE WHEN c > 1 THEN g.k END AS duplicate_group FROM g JOIN d ON g.k = d.k JOIN p ON p.seq = g.seq""")
+def dedup_merge(spark, sf):
+    df = postings(spark, sf).withColumns({"apply_url": F.lit(None).cast("string"), "match_score": (F.col("seq") * 13 % 101).cast("int")})
+    return D.merged_rows(df, D.record_key()).select("seq", "job_title", "job_description_summary", "match_score", "origin", "duplicate_group")
+
+
+_STOP = ", ".join(f"'{w}'" for w in V.TITLE_STOP)
+_TITLE = f"array_to_string(list_filter(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(lower(job_title), '\\b20\\d{{2}}\\b', '', 'g'), '\\bbatch\\s*\\d+\\b', '', 'g'), '\\bbatch\\s*[ivxlcdm]+\\b', '', 'g'), '[a-z]+'), lambda w: length(w) > 2 AND NOT list_contains([{_STOP}], w)), '')"
+
+
+@query(f"""WITH p AS ({POSTINGS}), a AS (SELECT * FROM p WHERE job_url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(trim(job_url)) ORDER BY seq) = 1 UNION ALL SELECT * FROM p WHERE job_url IS NULL), t AS (SELECT *, {_TITLE} AS k FROM a)
+    SELECT seq, min(seq) OVER (PARTITION BY k) AS place FROM t WHERE length(k) >= 8 QUALIFY row_number() OVER (PARTITION BY k ORDER BY data_confidence DESC, seq) = 1 UNION ALL SELECT seq, seq FROM t WHERE length(k) < 8""")
+def dedup_fuzzy(spark, sf):
+    return D.fuzzy_rows(postings(spark, sf)).select("seq", "place")
+
+
+_WORDS = ["the ", "tion", "license", "idiot", "que ", "und ", "mit "]
+
+
+@query(f"SELECT doc_id, array_to_string({_list(*[f'''CASE WHEN contains(lower(text), '{w}') THEN '{w}' END''' for w in _WORDS])}, ', ') AS keywords_found FROM documents")
+def keyword_hits(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", F.array_join(T.all_in(F.lower("text"), _WORDS), ", ").alias("keywords_found"))
+
+
+@query(f"WITH p AS ({POSTINGS}) SELECT seq, 20 + CASE WHEN company IS NULL THEN 0 ELSE 15 END + CASE WHEN location IS NULL THEN 0 ELSE 15 END + CASE WHEN requirements IS NULL THEN 0 ELSE 15 END + CASE WHEN job_description_summary IS NULL THEN 0 ELSE 15 END + CASE WHEN date_posted IS NULL AND deadline IS NULL THEN 0 ELSE 10 END + CASE WHEN job_url IS NULL THEN 0 ELSE 10 END AS confidence FROM p")
+def confidence(spark, sf):
+    c = F.col
+    points = S.data_confidence(title=c("job_title"), company=c("company"), location=c("location"), requirements=c("requirements"), description=c("job_description_summary"), responsibilities=F.lit(None), posted=c("date_posted"), deadline=c("deadline"), url=c("job_url"))
+    return postings(spark, sf).select("seq", points.alias("confidence"))
+
+
+@query("""WITH e AS (SELECT 'https://s' || (user_id % 40) || '.example' AS domain, CAST(ts AS DATE) AS day, event_type = 'error' OR user_id % 40 < 3 AS failed FROM events),
+    g AS (SELECT domain, day, count(*) AS n, count_if(failed) AS f FROM e GROUP BY domain, day), c AS (SELECT domain, day, sum(n) OVER w AS total, sum(f) OVER w AS errors FROM g WINDOW w AS (PARTITION BY domain ORDER BY day)),
+    s AS (SELECT *, CASE WHEN total >= 3 AND errors / total > 0.8 THEN true WHEN total >= 3 AND errors / total < 0.3 THEN false END AS says FROM c)
+    SELECT domain, CAST(max(total) AS BIGINT) AS total, CAST(max_by(errors, day) AS BIGINT) AS errors, coalesce(max_by(says, day) FILTER (WHERE says IS NOT NULL), false) AS blocked FROM s GROUP BY domain""")
+def url_domain_health(spark, sf):
+    e = _table(spark, sf, "events").withColumn("url", F.concat(F.lit("https://s"), F.col("user_id") % 40, F.lit(".example/path/x")))
+    log = e.select(T.domain(F.col("url")).alias("domain"), F.to_date("ts").alias("day"), ((F.col("event_type") == "error") | (F.col("user_id") % 40 < 3)).alias("failed"))
+    return B.health(log, "domain", "day", F.col("failed"))
+
+
+@query("""WITH RECURSIVE t AS MATERIALIZED (SELECT user_id, list(ts ORDER BY ts) AS l FROM events GROUP BY user_id),
+    a AS (SELECT user_id, l[1] AS got, l FROM t UNION ALL SELECT user_id, list_filter(l, lambda x: x >= a.got + INTERVAL 24 HOUR)[1], l FROM a WHERE len(list_filter(l, lambda x: x >= a.got + INTERVAL 24 HOUR)) > 0)
+    SELECT user_id, count(*) AS n, CAST(min(got) AS VARCHAR) AS first_at, CAST(max(got) AS VARCHAR) AS last_at FROM a GROUP BY user_id""")
+def ttl_accept(spark, sf):
+    got = B.accepted(_table(spark, sf, "events"), "user_id")
+    text = lambda c: F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1")
+    return got.groupBy("user_id").agg(F.count("*").alias("n"), text(F.min("accepted_at")).alias("first_at"), text(F.max("accepted_at")).alias("last_at"))
+
+
+_STATUS = "CASE event_type WHEN 'click' THEN 'applied' WHEN 'view' THEN 'assessment' WHEN 'purchase' THEN 'interview' WHEN 'signup' THEN 'result' END"
+_BOARD = f"SELECT user_id AS id, {_STATUS} AS status, ts, event_id AS seq FROM events"
+
+
+def _board(spark, sf):
+    return _table(spark, sf, "events").selectExpr("user_id AS id", f"{_STATUS} AS status", "ts", "event_id AS seq")
+
+
+@query(f"WITH b AS ({_BOARD}) SELECT * FROM (SELECT id, arg_max(struct_pack(s := status), struct_pack(a := ts, b := seq)).s AS status FROM b GROUP BY id) WHERE status IS NOT NULL")
+def board_latest(spark, sf):
+    return B.latest(_board(spark, sf), "id", "status", "ts", "seq")
+
+
+@query(f"WITH b AS ({_BOARD}) SELECT id, CAST(floor(epoch(min(ts))) AS BIGINT) AS applied_at FROM b WHERE status = 'applied' GROUP BY id")
+def first_applied(spark, sf):
+    return B.first_applied(_board(spark, sf), "id").select("id", F.floor(F.unix_timestamp(F.col("applied_at").cast("timestamp"))).alias("applied_at"))
+
+
+@query(f"WITH b AS ({_BOARD}) SELECT id, seq, status, row_number() OVER (PARTITION BY id ORDER BY ts DESC, seq DESC) AS rn FROM b QUALIFY rn <= 3")
+def timeline_last3(spark, sf):
+    return B.last_events(_board(spark, sf), "id").select("id", "seq", "status", "rn")
+
+
+@query(f"WITH p AS ({POSTINGS}), b AS (SELECT * FROM (SELECT id, arg_max(struct_pack(s := status), struct_pack(a := ts, b := seq)).s AS status FROM ({_BOARD}) GROUP BY id) WHERE status IS NOT NULL) SELECT seq, coalesce(status, 'Not Applied') AS status FROM p LEFT JOIN b ON p.seq = b.id")
+def board_join(spark, sf):
+    board = B.latest(_board(spark, sf), "id", "status", "ts", "seq")
+    return B.with_status(postings(spark, sf).withColumnRenamed("seq", "id"), board, "id").select(F.col("id").alias("seq"), "status")
+
+
+_ID = "substring(regexp_replace(lower(concat_ws('', {0}, {1}, location)), '[^a-z0-9]', '', 'g'), 1, 80)"
+
+
+@query(f"""WITH p AS ({POSTINGS}), h AS (SELECT seq, {_ID.format("company", "job_title")} AS a, {_ID.format("job_title", "company")} AS b FROM p),
+    l AS (SELECT a AS id, seq FROM h UNION SELECT b, seq FROM h), f AS (SELECT id, min(seq) AS history_seq FROM l GROUP BY id),
+    k AS (SELECT CASE WHEN seq % 2 = 0 THEN a ELSE b END AS id, seq AS board_seq FROM h WHERE seq % 3 = 0) SELECT board_seq, k.id, history_seq FROM k LEFT JOIN f USING (id)""")
+def either_key_join(spark, sf):
+    p = postings(spark, sf)
+    ids = p.select("seq", T.slug(F.col("company"), F.col("job_title"), F.col("location")).alias("a"), T.slug(F.col("job_title"), F.col("company"), F.col("location")).alias("b"))
+    keys = ids.where("seq % 3 = 0").select(F.when(F.col("seq") % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("id"), F.col("seq").alias("board_seq"))
+    history = ids.withColumn("history_seq", F.col("seq"))
+    return B.by_either(keys, history, "id", ["a", "b"], "seq").select("board_seq", "id", "history_seq")
+
+
+@query(f"WITH p AS ({POSTINGS}) SELECT seq FROM p WHERE seq NOT IN (SELECT user_id FROM events WHERE event_type = 'error')")
+def anti_hidden(spark, sf):
+    hidden = _table(spark, sf, "events").where("event_type = 'error'").select(F.col("user_id").alias("seq")).distinct()
+    return postings(spark, sf).select("seq").join(hidden, "seq", "left_anti")
+
+
+@query(f"WITH p AS ({POSTINGS}) SELECT seq, company FROM p WHERE seq IN (SELECT user_id FROM events WHERE event_type = 'click')")
+def semi_applied(spark, sf):
+    done = _table(spark, sf, "events").where("event_type = 'click'").select(F.col("user_id").alias("seq"))
+    return postings(spark, sf).select("seq", "company").join(done, "seq", "left_semi")
+
+
+@query("WITH d AS (SELECT CAST(unnest(generate_series(DATE '2024-02-15' - 83, DATE '2024-02-15', INTERVAL 1 DAY)) AS DATE) AS day), c AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'click' AND user_id % 50 = 0 GROUP BY 1) SELECT CAST(d.day AS VARCHAR) AS day, coalesce(n, 0) AS n, least(coalesce(n, 0), 4) AS level FROM d LEFT JOIN c USING (day)")
+def heatmap_84d(spark, sf):
+    e = _table(spark, sf, "events").where("event_type = 'click' AND user_id % 50 = 0")
+    return A.heat_map(e, "2024-02-15").withColumn("day", F.col("day").cast("string"))
+
+
+@query(f"{WITH} SELECT seq, match_score FROM scored WHERE match_score >= 60 AND (contains(lower(job_title), 'trainee') OR contains(coalesce(lower(company), ''), 'trainee') OR contains(coalesce(lower(location), ''), 'trainee')) AND contains(location, 'Jakarta')")
+def filter_search(spark, sf):
+    return R.view(_scored(spark, sf), "Trainee", 60, "Jakarta").select("seq", "match_score").orderBy(F.desc("match_score"), "seq")
+
+
+@query("SELECT c_mktsegment AS industry, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5")
+def top_industries(spark, sf):
+    done = _table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    rows = _table(spark, sf, "customer").join(done, "c_custkey", "left_semi")
+    return rows.groupBy(F.coalesce("c_mktsegment", F.lit("Other")).alias("industry")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "industry").limit(5)
+
+
+@query(f"WITH postings AS ({POSTINGS}), graded AS ({_GRADED}) SELECT label, place, (SELECT count(*) FROM graded WHERE gpa_status = label AND seq % 7 = 0) AS n FROM (VALUES {', '.join(f'''('{x}', {i})''' for i, x in enumerate(V.GRADE_LABELS))}) t(label, place)")
+def dense_labels(spark, sf):
+    return A.dense_counts(_graded(spark, sf).where("seq % 7 = 0"), "gpa_status", V.GRADE_LABELS, "No GPA Listed")
+
+
+@query(f"""{WITH}, u AS (SELECT seq, aspect, value FROM (SELECT seq, job_title, CAST(match_score AS VARCHAR) AS match_score, match_category, coalesce(location, '~') AS location FROM scored WHERE seq IN (1, 2, 3)) UNPIVOT (value FOR aspect IN (job_title, match_score, match_category, location)))
+    SELECT aspect, nullif(max(value) FILTER (WHERE seq = 1), '~') AS "1", nullif(max(value) FILTER (WHERE seq = 2), '~') AS "2", nullif(max(value) FILTER (WHERE seq = 3), '~') AS "3" FROM u GROUP BY aspect""")
+def compare_transpose(spark, sf):
+    return A.transposed(_scored(spark, sf), "seq", ["job_title", "match_score", "match_category", "location"], [1, 2, 3])
+
+
+_A = r"(?is)<a\s[^>]*href=[\"'']([^\"''#]+)[\"''][^>]*>(.*?)</a>"
+
+
+@query(f"""WITH a AS (SELECT page_id, url, unnest(list_zip(regexp_extract_all(html, '{_A}', 1), regexp_extract_all(html, '{_A}', 2), range(len(regexp_extract_all(html, '{_A}', 1))))) AS z FROM pages),
+    f AS (SELECT page_id, z[3] AS pos, trim(regexp_replace(z[2], '<[^>]+>', '', 'g')) AS job_title, string_split(CASE WHEN starts_with(z[1], 'http') THEN z[1] ELSE array_to_string(string_split(url, '/')[1:3], '/') || CASE WHEN starts_with(z[1], '/') THEN '' ELSE '/' END || z[1] END, '?')[1] AS job_url FROM a)
+    SELECT page_id, job_url, min(pos) AS pos, arg_min(job_title, pos) AS job_title FROM f GROUP BY ALL""")
+def html_links(spark, sf):
+    return G.links(_table(spark, sf, "pages"), "any").select("page_id", "job_url", F.col("pos").cast("long").alias("pos"), "job_title")
+
+
+@query(f"WITH p AS ({POSTINGS}) SELECT coalesce(company, '') AS company, CASE WHEN {_contains_any('coalesce(lower(company), chr(32))', V.STATE_OWNED)} THEN 'BUMN' WHEN {_contains_any('coalesce(lower(company), chr(32))', V.MULTINATIONAL)} THEN 'Multinasional' ELSE 'Swasta' END AS company_type, count(*) AS n FROM p GROUP BY 1, 2")
+def company_types(spark, sf):
+    return postings(spark, sf).groupBy(F.coalesce("company", F.lit("")).alias("company"), T.company_type(F.col("company")).alias("company_type")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH p AS ({POSTINGS}) SELECT seq, {_ID.format('company', 'job_title')} AS id, {_TITLE} AS title_key FROM p")
+def slug_titles(spark, sf):
+    return postings(spark, sf).select("seq", T.slug(F.col("company"), F.col("job_title"), F.col("location")).alias("id"), T.title_key(F.col("job_title")).alias("title_key"))
+
+
+@query(f"WITH p AS (SELECT seq, job_title || CASE seq % 3 WHEN 0 THEN '' WHEN 1 THEN ' - ' || coalesce(company, 'x') ELSE ' - ' || coalesce(company, 'x') || ' - site' END AS t FROM ({POSTINGS})), s AS (SELECT seq, string_split(t, ' - ') AS a FROM p) SELECT seq, a[1] AS job_title, CASE WHEN len(a) >= 3 THEN a[len(a) - 1] WHEN len(a) = 2 THEN a[2] END AS company FROM s")
+def feed_titles(spark, sf):
+    t = F.concat("job_title", F.when(F.col("seq") % 3 == 0, "").when(F.col("seq") % 3 == 1, F.concat(F.lit(" - "), F.coalesce("company", F.lit("x")))).otherwise(F.concat(F.lit(" - "), F.coalesce("company", F.lit("x")), F.lit(" - site"))))
+    title, company = T.feed_title(F.col("t"))
+    return postings(spark, sf).withColumn("t", t).select("seq", title.alias("job_title"), company.alias("company"))
+
+
+@query(f"{WITH_ALL}, o AS (SELECT *, row_number() OVER (ORDER BY match_score DESC, data_confidence DESC, date_posted ASC NULLS LAST, company ASC NULLS FIRST, seq) AS rn FROM full_rows WHERE reason IS NULL) SELECT seq, match_score FROM o WHERE CASE WHEN (SELECT max(match_score) FROM o) >= 80 THEN match_score >= 80 AND rn <= 5 ELSE rn <= 3 END")
+def notification(spark, sf):
+    return R.announced(_full(spark, sf)).select("seq", "match_score")
+
+
+@query(f"{WITH} SELECT seq FROM scored WHERE (salary IS NULL)::INT + (company IS NULL)::INT + (location IS NULL)::INT + (deadline IS NULL)::INT >= 2 AND data_confidence < 65 AND match_score >= 55")
+def needs_enrichment(spark, sf):
+    return R.needs_enrichment(_scored(spark, sf)).select("seq")
+
+
+@query(f"{WITH} SELECT seq FROM scored WHERE data_confidence < 60 OR salary IS NULL OR list_has_any(reason_codes, ['GPA_RISK', 'MAJOR_RISK', 'VAGUE_JD']) ORDER BY seq LIMIT 10")
+def manual_review_top10(spark, sf):
+    return R.manual_review(_scored(spark, sf)).select("seq").orderBy("seq").limit(10)
+
+
+@query("WITH s AS (SELECT user_id AS id, max_by(event_type, event_id) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1), l AS (SELECT user_id AS id, max_by(event_type, event_id) AS v FROM events WHERE event_id % 2 = 1 GROUP BY 1) SELECT id, coalesce(l.v, s.v) AS v FROM s FULL JOIN l USING (id)")
+def state_merge(spark, sf):
+    e = _table(spark, sf, "events")
+    one = lambda k: e.where(F.col("event_id") % 2 == k).groupBy(F.col("user_id").alias("id")).agg(F.max_by("event_type", "event_id").alias("v"))
+    return B.merged_state(one(0), one(1), "id", "v")
+
+
+@query("SELECT user_id AS id FROM events WHERE event_type = 'click' GROUP BY 1 HAVING count(*) % 2 = 1")
+def toggles(spark, sf):
+    return B.toggled(_table(spark, sf, "events").where("event_type = 'click'").withColumnRenamed("user_id", "id"), "id")
+
+
+@query("SELECT * FROM (SELECT user_id AS id, nullif(arg_max(coalesce(CASE WHEN event_type = 'error' THEN '' ELSE event_type END, ''), struct_pack(a := ts, b := event_id)), '') AS note FROM events GROUP BY 1) WHERE note IS NOT NULL")
+def notes_upsert(spark, sf):
+    e = _table(spark, sf, "events").select(F.col("user_id").alias("id"), F.when(F.col("event_type") == "error", " ").otherwise(F.col("event_type")).alias("note"), "ts", "event_id")
+    return B.upserted(e, "id", "note", "ts", "event_id")
+
+
+@query("SELECT user_id AS id, max(ts)::DATE::VARCHAR AS day, 14 - date_diff('day', max(ts)::DATE, DATE '2024-01-31') AS days_left, CASE WHEN 14 - date_diff('day', max(ts)::DATE, DATE '2024-01-31') > 3 THEN 'later' WHEN 14 - date_diff('day', max(ts)::DATE, DATE '2024-01-31') >= 1 THEN 'soon' ELSE 'due' END AS band FROM events WHERE event_type = 'click' GROUP BY 1")
+def stage_countdown(spark, sf):
+    e = _table(spark, sf, "events").where("event_type = 'click'").groupBy(F.col("user_id").alias("id")).agg(F.to_date(F.max("ts")).alias("day"))
+    left = 14 - F.date_diff(F.lit("2024-01-31").cast("date"), "day")
+    return e.select("id", F.col("day").cast("string").alias("day"), left.alias("days_left"), F.when(left > 3, "later").when(left >= 1, "soon").otherwise("due").alias("band"))
+
+
+@query("WITH c AS (SELECT user_id, max(ts) AS ts FROM events GROUP BY 1) SELECT user_id FROM c WHERE ts > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY")
+def cache_fresh(spark, sf):
+    cache = _table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("ts"))
+    return B.fresh(cache, "user_id", F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"), "interval 7 days").select("user_id")
+
+
+@query(f"WITH p AS ({POSTINGS}), d AS (SELECT seq, row_number() OVER (PARTITION BY 's' || (seq % 7) ORDER BY seq % 3, seq) AS rn, seq % 7 AS source_no FROM p), k AS (SELECT * FROM d WHERE rn <= 40), n AS (SELECT source_no, sum(count(*)) OVER (ORDER BY source_no) - count(*) AS b FROM k GROUP BY source_no) SELECT seq FROM k JOIN n USING (source_no) WHERE b < 100")
+def link_limits(spark, sf):
+    found = postings(spark, sf).select("seq", F.concat(F.lit("s"), F.col("seq") % 7).alias("source_name"), (F.col("seq") % 7).alias("source_no"), (F.col("seq") % 3).alias("page"), F.col("seq").alias("pos"))
+    return G.limited(found, 40, 100).select("seq")
+
+
+@query("SELECT event_type, count(*) AS n, min(event_id) AS first_seen FROM events GROUP BY 1")
+def open_histogram(spark, sf):
+    return A.open_counts(_table(spark, sf, "events"), "event_type", "event_id")
+
+
+_LD = [
+    (1, '<script type="application/ld+json">{"@type":"JobPosting","title":"A","hiringOrganization":{"name":"Org"},"jobLocation":{"address":{"addressLocality":"Jakarta","addressRegion":"DKI"}},"baseSalary":{"value":{"minValue":5,"maxValue":7,"unitText":"MONTH"}},"validThrough":"2026-05-31"}</script>'),
+    (2, '<script type="application/ld+json">broken {</script><script type="application/ld+json">[{"@type":"Thing"},{"@type":"JobPosting","title":"B","hiringOrganization":"Org B","jobLocation":"Bandung","baseSalary":4}]</script>'),
+    (3, '<script type="application/ld+json">{"@graph":[{"@type":"JobPosting","title":"C","jobLocation":[1],"baseSalary":{"value":9}},{"@type":"JobPosting","title":"D"}]}</script>'),
+    (4, "<p>nothing</p>"),
+]
+
+
+@query("SELECT * FROM (VALUES (1, 'A', 'Org', 'Jakarta', '2026-05-31', '5-7 MONTH'), (2, 'B', 'Org B', 'Bandung', NULL, '4'), (3, 'C', NULL, NULL, NULL, '9')) t(page_id, job_title, company, location, deadline, salary)")
+def jsonld_extract(spark, sf):
+    return G.job_ld(spark.createDataFrame(_LD, "page_id int, html string")).select("page_id", "job_title", "company", "location", "deadline", "salary")
+
+
+@query(f"{WITH_ALL} SELECT row_number() OVER (ORDER BY match_score DESC, data_confidence DESC, CASE deadline_status WHEN 'Open' THEN 0 WHEN 'Unknown' THEN 1 ELSE 2 END, CASE urgency_level WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 WHEN 'Low' THEN 2 WHEN 'Unknown' THEN 3 ELSE 4 END, company ASC NULLS FIRST, job_title, seq) AS rank, seq FROM full_rows")
+def deadline_ranks(spark, sf):
+    return A.ranked(_full(spark, sf).select("seq", "match_score", "data_confidence", "deadline_status", "urgency_level", "company", "job_title"), *R.deadline_order()).select("rank", "seq")

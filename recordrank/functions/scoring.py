@@ -35,9 +35,22 @@ def recommendation(score: Column, confidence: Column | None = None) -> Column:
     return rec if confidence is None else F.when(F.coalesce(confidence, F.lit(100)) < 50, "Review Manually").otherwise(rec)
 
 
-def grade_fields(text: Column, candidate: float = 3.29) -> dict[str, Column]:
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once for each row, whatever refers to them.
+
+    The optimiser copies an expression into filters and projections above it; it does not copy out of a generator,
+    and ``inline`` over an array of one struct is one that stays in generated code.
+    """
+    keep = [F.col(c) for c in df.columns if c not in columns]
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias(*columns)) if len(columns) > 1 else df.select(*keep, F.explode(F.array(*columns.values())).alias(*columns))
+
+
+def with_grade(df: DataFrame, text: Column, candidate: float = 3.29) -> DataFrame:
     """Required grade, gap, status, points and codes of the requirement in a text."""
-    value, phrase = T.grade(text), T.grade_phrase(text)
+    df = settled(df, _text=text)
+    df = settled(df, **{f"_g{i}": g for i, g in enumerate(T.grade_tries(F.col("_text")))}, _phrase=T.grade_phrase(F.col("_text")))
+    df = settled(df, gpa_required=F.coalesce(*[F.when(F.col(f"_g{i}").between(2, 4), F.col(f"_g{i}")) for i in range(len(V.GRADE_PATTERNS))]))
+    value, phrase = F.col("gpa_required"), F.col("_phrase")
 
     def pick(at: int, wrap=F.lit) -> Column:
         out = F
@@ -45,17 +58,25 @@ def grade_fields(text: Column, candidate: float = 3.29) -> dict[str, Column]:
             out = out.when(value <= F.lit(str(limit)).cast("decimal(3,2)"), wrap(rest[at]))
         return out.when(phrase, wrap(V.GRADE_QUALITATIVE[at])).otherwise(wrap(V.GRADE_NONE[at]))
 
-    gap = F.when(value.isNotNull(), F.greatest(value - F.lit(str(candidate)).cast("decimal(3,2)"), F.lit(0)))
-    return {"gpa_required": value, "gpa_gap": F.when(value <= F.lit("3.29").cast("decimal(3,2)"), F.lit(0)).otherwise(gap).cast("decimal(4,2)"), "gpa_status": pick(0), "gpa_points": pick(1), "gpa_codes": pick(2, _codes)}
+    gap = F.when(value <= F.lit("3.29").cast("decimal(3,2)"), F.lit(0)).when(value.isNotNull(), F.greatest(value - F.lit(str(candidate)).cast("decimal(3,2)"), F.lit(0))).cast("decimal(4,2)")
+    return settled(df, gpa_gap=gap, gpa_status=pick(0), gpa_points=pick(1), gpa_codes=pick(2, _codes)).drop("_text", "_phrase", *[f"_g{i}" for i in range(len(V.GRADE_PATTERNS))])
 
 
-def deadline_fields(day: Column, today: Column) -> dict[str, Column]:
+def with_due(df: DataFrame, url: Column, text: Column, today: str) -> DataFrame:
+    """Deadline, days left, status, urgency and points."""
+    df = settled(df, _text=text)
+    df = settled(df, **{f"_d{i}": T.groups(F.col("_text"), p) for i, (p, _) in enumerate(V.DEADLINE_PATTERNS)}, _u=T.groups(url, T.URL_MONTH))
+    df = settled(df, deadline_parsed=F.coalesce(T.url_deadline(F.col("_u")), T.text_deadline([F.col(f"_d{i}") for i in range(len(V.DEADLINE_PATTERNS))])))
+    return settled(df, **_due_fields(F.col("deadline_parsed"), F.lit(today).cast("date"))).drop("_text", "_u", *[f"_d{i}" for i in range(len(V.DEADLINE_PATTERNS))])
+
+
+def _due_fields(day: Column, today: Column) -> dict[str, Column]:
     left = F.date_diff(day, today)
     status = urgency = points = F
     for limit, s, u, p in V.DEADLINE_BANDS:
         status, urgency, points = status.when(left <= limit, s), urgency.when(left <= limit, u), points.when(left <= limit, p)
     urgency = urgency.when(left.isNotNull(), "Low").otherwise("Unknown")
-    return {"deadline_parsed": day, "days_until_deadline": left, "deadline_status": status.when(left.isNotNull(), "Open").otherwise("Unknown"), "urgency_level": urgency, "deadline_points": points.otherwise(0)}
+    return {"days_until_deadline": left, "deadline_status": status.when(left.isNotNull(), "Open").otherwise("Unknown"), "urgency_level": urgency, "deadline_points": points.otherwise(0)}
 
 
 def deadline_code(urgency: Column) -> Column:
@@ -72,11 +93,14 @@ def score(postings: DataFrame, profile: V.Profile | None = None) -> DataFrame:
     """
     p = profile or V.Profile()
     blank = lambda c: F.coalesce(F.lower(F.col(c)), F.lit(""))
-    rows = postings.withColumns({"_title": blank("job_title"), "_full": F.concat_ws(" ", blank("job_title"), blank("job_description_summary"), blank("requirements")), "_company": blank("company")})
+    rows = settled(postings, _title=blank("job_title"), _full=F.concat_ws(" ", blank("job_title"), blank("job_description_summary"), blank("requirements")), _company=blank("company"))
     title, full = F.col("_title"), F.col("_full")
-    grade_text = F.concat_ws(" ", "job_description_summary", "requirements", "responsibilities", "job_title") if "responsibilities" in postings.columns else F.concat_ws(" ", "job_description_summary", "requirements", "job_title")
-    rows = rows.withColumns({"_role": T.first_in(title, p.roles), "_skills": T.all_in(full, p.skills), "_industry": F.coalesce(*[F.when(F.contains(full, F.lit(i)) | F.contains(F.col("_company"), F.lit(i)), F.lit(i)) for i in p.industries]), **grade_fields(grade_text, p.grade)})
-    rows = rows.withColumns({"_entry": T.any_in(full, p.entry_terms), "_leads": T.any_in(full, p.leadership), "_studied": T.any_in(full, p.education), "_three": full.rlike(r"3\s*(?:year|tahun)"), "_five": full.rlike(r"5\s*(?:year|tahun)"), "_unpaid": T.any_in(full, ["commission only", "unpaid", "tidak dibayar"])})
+    rows = with_grade(rows, F.concat_ws(" ", *[c for c in ("job_description_summary", "requirements", "responsibilities", "job_title") if c in postings.columns]), p.grade)
+    industry = F.coalesce(*[F.when(F.contains(full, F.lit(i)) | F.contains(F.col("_company"), F.lit(i)), F.lit(i)) for i in p.industries])
+    rows = settled(
+        rows, _role=T.first_in(title, p.roles), _skills=T.all_in(full, p.skills), _industry=industry, _entry=T.any_in(full, p.entry_terms), _leads=T.any_in(full, p.leadership), _studied=T.any_in(full, p.education),
+        _three=full.rlike(r"3\s*(?:year|tahun)"), _five=full.rlike(r"5\s*(?:year|tahun)"), _unpaid=T.any_in(full, ["commission only", "unpaid", "tidak dibayar"]),
+    )
     c, when = F.col, F.when
     points = (
         when(c("_role").isNotNull(), 20).otherwise(0) + 20 + F.least(F.lit(20), F.size("_skills") * 2) + when(c("_industry").isNotNull(), 10).otherwise(0) + when(c("_leads"), 10).otherwise(0) + when(c("_studied"), 10).otherwise(0)
@@ -96,7 +120,7 @@ def score(postings: DataFrame, profile: V.Profile | None = None) -> DataFrame:
         F.concat(F.lit("Industry match: "), c("_industry")), when(c("_leads"), "Leadership/Execution fit"), when(c("_studied"), "Education match"), F.lit("Willing to relocate (nationwide)" if p.relocates else None),
     )
     gaps = some(when(c("_three"), "Requires 3+ years experience"), when(c("_five"), "Requires 5+ years experience"), when(c("_unpaid"), "Commission-only or unpaid"), when(c("gpa_points") < 0, F.concat(F.lit("GPA risk: "), c("gpa_status"))))
-    rows = rows.withColumns({"match_score": F.greatest(F.lit(0), F.least(F.lit(100), points)), "reason_codes": codes, "why_match": why, "gaps": gaps})
+    rows = settled(rows, match_score=F.greatest(F.lit(0), F.least(F.lit(100), points)), reason_codes=codes, why_match=why, gaps=gaps)
     rows = rows.withColumns({"match_category": category(c("match_score")), "recommendation": recommendation(c("match_score"), c("data_confidence"))})
     return rows.drop(*[x for x in rows.columns if x.startswith("_")], "gpa_codes", "gpa_points")
 
@@ -104,11 +128,11 @@ def score(postings: DataFrame, profile: V.Profile | None = None) -> DataFrame:
 def with_deadline(scored: DataFrame, today: str) -> DataFrame:
     """The deadline's columns, its points within the score, and its code in place of an older one."""
     text = F.concat_ws(" ", "deadline", "job_description_summary", "requirements")
-    rows = scored.withColumns(deadline_fields(T.deadline(F.col("job_url"), text), F.lit(today).cast("date")))
+    rows = with_due(scored, F.col("job_url"), text, today)
     changed = F.greatest(F.lit(0), F.least(F.lit(100), F.col("match_score") + F.col("deadline_points")))
-    rows = rows.withColumn("match_score", F.when(F.col("deadline_points") != 0, changed).otherwise(F.col("match_score")))
+    rows = settled(rows, match_score=F.when(F.col("deadline_points") != 0, changed).otherwise(F.col("match_score")))
     codes = F.concat(F.filter("reason_codes", lambda x: ~x.startswith("DEADLINE_")), F.array(deadline_code(F.col("urgency_level"))))
-    return rows.withColumns({"match_category": category(F.col("match_score")), "recommendation": recommendation(F.col("match_score"), F.col("data_confidence")), "reason_codes": codes})
+    return settled(rows, match_category=category(F.col("match_score")), recommendation=recommendation(F.col("match_score"), F.col("data_confidence")), reason_codes=codes)
 
 
 def not_today(rows_score: Column, confidence: Column, rec: Column, codes: Column, grade_status: Column, deadline_status: Column, url: Column) -> Column:

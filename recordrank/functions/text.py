@@ -61,42 +61,40 @@ def matched(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, f"(?i){pattern}", group), F.lit(""))
 
 
-def grade(text: Column) -> Column:
-    """The required grade: the first pattern whose first match lies in 2.0 to 4.0."""
-    tries = []
-    for p in V.GRADE_PATTERNS:
-        v = F.replace(matched(text, p), F.lit(","), F.lit(".")).try_cast("decimal(3,2)")
-        tries.append(F.when(v.between(2, 4), v))
-    return F.coalesce(*tries)
+def grade_tries(text: Column) -> list[Column]:
+    """The number of each pattern's first match; the first in 2.0 to 4.0 is the required grade."""
+    return [F.replace(matched(text, p), F.lit(","), F.lit(".")).try_cast("decimal(3,2)") for p in V.GRADE_PATTERNS]
 
 
 def grade_phrase(text: Column) -> Column:
     return F.coalesce(text.rlike(f"(?i)(?:{V.GRADE_PHRASES})"), F.lit(False))
 
 
-def url_deadline(url: Column) -> Column:
-    """The month's end for a path with ``/MM/YYYY/``."""
-    month, year = matched(url, r"/(\d{2})/(20\d{2})/", 1).cast("int"), matched(url, r"/(\d{2})/(20\d{2})/", 2).cast("int")
-    ok = month.between(1, 12) & year.between(2024, 2030)
-    return F.when(ok, F.last_day(F.try_to_date(F.format_string("%04d-%02d-01", year, month), "yyyy-MM-dd")))
+#: A month in an address.
+URL_MONTH = r"/(\d{2})/(20\d{2})/"
 
 
-def text_deadline(text: Column) -> Column:
-    """The date of the first pattern that matches; null when that date does not exist."""
-    months = F.create_map(*[F.lit(x) for kv in V.MONTHS.items() for x in kv])
-    out = None
-    for p, kind in V.DEADLINE_PATTERNS:
-        a, b, c = (matched(text, p, i) for i in (1, 2, 3))
-        y, m, d = (a, b, c) if kind == "ymd" else (c, F.try_element_at(months, F.lower(b)).cast("string"), a)
-        day = F.try_to_date(F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
-        day = F.when(m.isNotNull(), day)
-        hit = text.rlike(f"(?i){p}")
-        out = F.when(hit, day) if out is None else out.when(hit, day)
-    return out
+def groups(text: Column, pattern: str) -> Column:
+    """The groups of the first match, or null where the pattern does not match."""
+    n = pattern.replace("(?:", "").replace("\\(", "").count("(")
+    return F.when(text.rlike(f"(?i){pattern}"), F.array(*[F.regexp_extract(text, f"(?i){pattern}", i + 1) for i in range(n)]))
+
 
+def url_deadline(found: Column) -> Column:
+    """The month's end for the groups of ``URL_MONTH``."""
+    month, year = found[0].cast("int"), found[1].cast("int")
+    return F.when(month.between(1, 12) & year.between(2024, 2030), F.last_day(F.try_to_date(F.concat(found[1], F.lit("-"), found[0], F.lit("-01")), "yyyy-MM-dd")))
 
-def deadline(url: Column, text: Column) -> Column:
-    return F.coalesce(url_deadline(url), text_deadline(text))
+
+def text_deadline(found: list[Column]) -> Column:
+    """The date of the first pattern that matches, from all patterns' groups; null when that date does not exist."""
+    months = F.create_map(*[F.lit(x) for kv in V.MONTHS.items() for x in kv])
+    out = F
+    for g, (_, kind) in zip(found, V.DEADLINE_PATTERNS):
+        y, m, d = (g[0], g[1], g[2]) if kind == "ymd" else (g[2], F.try_element_at(months, F.lower(g[1])).cast("string"), g[0])
+        day = F.try_to_date(F.concat(F.lpad(y, 4, "0"), F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+        out = out.when(g.isNotNull(), day)
+    return out
 
 
 def company_type(name: Column) -> Column:

@@ -25,7 +25,7 @@ def deadline_order() -> list[Column]:
 
 def reasons(df: DataFrame) -> DataFrame:
     c = F.col
-    return df.withColumn("reason", S.not_today(c("match_score"), c("data_confidence"), c("recommendation"), c("reason_codes"), c("gpa_status"), c("deadline_status"), F.coalesce(listed(c("job_url")), listed(c("apply_url"))) if "apply_url" in df.columns else listed(c("job_url"))))
+    return S.settled(df, reason=S.not_today(c("match_score"), c("data_confidence"), c("recommendation"), c("reason_codes"), c("gpa_status"), c("deadline_status"), F.coalesce(listed(c("job_url")), listed(c("apply_url"))) if "apply_url" in df.columns else listed(c("job_url"))))
 
 
 def batch(postings: DataFrame, today: str, profile: V.Profile | None = None) -> DataFrame:
@@ -45,8 +45,8 @@ def audit(ranked: DataFrame, wide: DataFrame, today: str) -> DataFrame:
     more = wide.select(F.lower(F.trim("job_url")).alias("_u"), "seq", *fields).groupBy("_u").agg(F.max_by(F.struct(*fields), "seq").alias("w"))
     rows = ranked.join(more, F.lower(F.trim(ranked["job_url"])) == F.col("_u"), "left")
     rows = rows.withColumns({c: F.coalesce(listed(F.col(f"w.{c}")), F.col(c) if c in ranked.columns else F.lit(None).cast("string")) for c in fields}).drop("_u", "w")
-    rows = rows.withColumns(S.grade_fields(F.concat_ws(" ", "job_description_summary", "requirements", "job_title")))
-    rows = rows.withColumn("match_score", F.greatest(F.lit(0), F.least(F.lit(100), F.col("match_score") + F.col("gpa_points"))))
+    rows = S.with_grade(rows, F.concat_ws(" ", "job_description_summary", "requirements", "job_title"))
+    rows = S.settled(rows, match_score=F.greatest(F.lit(0), F.least(F.lit(100), F.col("match_score") + F.col("gpa_points"))))
     rows = rows.withColumn("reason_codes", F.concat(F.filter("reason_codes", lambda x: ~x.startswith("GPA_")), F.col("gpa_codes"))).drop("gpa_codes", "gpa_points")
     return reasons(S.with_deadline(rows, today))
 

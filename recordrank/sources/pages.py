@@ -84,8 +84,8 @@ def job_ld(pages: DataFrame, html: str = "html") -> DataFrame:
         return f"try_variant_get({v}, '{path}', 'string')"
 
     one = pages.select("*", F.posexplode(F.regexp_extract_all(html, F.lit(_SCRIPT), F.lit(1))).alias("_s", "_t")).withColumn("_v", F.try_parse_json("_t")).drop("_t", html)
-    lists = "coalesce(try_cast(_v as array<variant>), try_cast(try_variant_get(_v, '$.\"@graph\"', 'variant') as array<variant>), array(_v))"
-    items = one.selectExpr("*", f"posexplode({lists}) as (_i, _p)").where(F.expr(at("_p", '$."@type"')) == "JobPosting")
+    lists = "coalesce(try_cast(_v as array<variant>), try_cast(try_variant_get(_v, '$[\"@graph\"]', 'variant') as array<variant>), array(_v))"
+    items = one.selectExpr("*", f"posexplode({lists}) as (_i, _p)").where(F.expr(at("_p", '$["@type"]')) == "JobPosting")
     keys = [c for c in pages.columns if c != html]
     first = items.groupBy(*keys).agg(F.min(F.struct("_s", "_i")).alias("_o")).withColumnsRenamed({k: f"_{k}" for k in keys})
     same = items["_s"] == F.col("_o._s")
