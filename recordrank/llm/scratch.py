@@ -18,14 +18,18 @@ def root(spark: SparkSession) -> str:
     return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read back: lineage ends there and no part is computed twice."""
+def keep(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """``df`` written as Parquet and read back: lineage ends there and no part is computed twice.
+
+    With ``release``, the driver's JVM collects its garbage, so that the shuffle files of the phase that has ended can go.
+    """
     spark = df.sparkSession
     path = f"{root(spark).rstrip('/')}/recordrank/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
-    spark._jvm.System.gc()  # shuffle files of finished phases go when the driver's JVM has collected their plans
+    if release:
+        spark._jvm.System.gc()
     if not _LEFT:
         atexit.register(_clear)
     _LEFT.append((spark, path))
