@@ -295,5 +295,16 @@ def test_language_model(docs, rows, empty):
         assert math.isclose(r.base_score, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9) and r.score < 0
     assert sum(r.score for r in got if not r.held_out) > sum(r.base_score for r in got if not r.held_out)
     assert score_documents(empty).count() == 0
-    t = sample_tables(np.array([1, 5, 1000]), np.array([0.1, 0.1, 0.1]), 0.5, np.random.default_rng(1))
-    assert t[0] == 1 and 1 <= t[1] <= 5 and 1 < t[2] < 200
+
+
+def test_seating_follows_the_restaurant_process():
+    rng = random.Random(4)
+    for customers, mass, discount in ((1, 2.0, 0.5), (20, 2.0, 0.5), (60, 5.0, 0.8)):
+        sums = []
+        for _ in range(3000):  # one customer after the other
+            t = 1
+            for i in range(1, customers):
+                t += rng.random() < mass / (mass + i - discount * t)
+            sums.append(t)
+        got = sample_tables(np.full(3000, customers), np.full(3000, mass), discount, np.random.default_rng(1))
+        assert abs(got.mean() - np.mean(sums)) < 0.05 * np.mean(sums) + 0.01 and got.min() >= 1 and got.max() <= customers
