@@ -66,24 +66,6 @@ def scan(words: list[bytes], automaton, codes: dict[bytes, str], hits: bytearray
         items.update(own)
 
 
-def _scanned(windows):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, codes = build(windows.value)
-        for batch in batches:
-            n_words, all_hits, all_items = [], [], []
-            for text, hits, items in zip(batch.column(1), batch.column(3), batch.column(4)):
-                words = word_list(text.as_py())
-                mark, own = bytearray(hits.as_py() or bytes(len(words))), set(items.as_py() or ())
-                if codes and words:
-                    scan(words, automaton, codes, mark, own)
-                n_words.append(len(words))
-                all_hits.append(bytes(mark) if own else None)
-                all_items.append(sorted(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(all_hits, pa.binary()), pa.array(all_items, pa.list_(pa.string()))], names=[x.split()[0] for x in _SCHEMA.split(", ")])
-
-    return run
-
-
 def spans(text: str, hits: bytes) -> list[dict]:
     """Character ranges in the original text of the runs of marked words."""
     out: list[dict] = []
@@ -98,16 +80,36 @@ def spans(text: str, hits: bytes) -> list[dict]:
 
 
 _RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:int,end:int>>"
+_NAMES = ["doc_id", "text", "n_words", "hits", "items"]
+_KINDS = [pa.string(), pa.int64(), pa.binary(), pa.list_(pa.string())]
+_RESULT_NAMES = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"]
+_RESULT_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
 
 
-def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hits, items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-        counts = [sum(h) if h else 0 for h in hits]
-        where = [spans(t.as_py(), h) if h else [] for t, h in zip(batch.column(1), hits)]
-        digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(digests), pa.array([c > 0 for c in counts]), batch.column(4), pa.array(where, kind)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"])
+def _scanned(windows, first: bool, last: bool):
+    """One block's pass over the texts. The first block starts from bare rows, and the last one tells the results, so that
+    with a single block each text goes to Python once and only the results come back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, codes = build(windows.value)
+        for batch in batches:
+            out: list[list] = [[] for _ in (_RESULT_NAMES if last else _NAMES)[1:]]
+            for i, text in enumerate(batch.column(1)):
+                text = text.as_py()
+                words = word_list(text)
+                mark = bytearray((None if first else batch.column(3)[i].as_py()) or bytes(len(words)))
+                own = set(() if first else batch.column(4)[i].as_py() or ())
+                if codes and words:
+                    scan(words, automaton, codes, mark, own)
+                items = sorted(own)
+                hits = bytes(mark) if own else None
+                row = (len(words), sum(mark), len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), bool(own), items, spans(text, hits) if hits else []) if last else (text, len(words), hits, items)
+                for column, value in zip(out, row):
+                    column.append(value)
+            kinds = _RESULT_KINDS if last else _KINDS
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, k) for x, k in zip(out, kinds)]], names=_RESULT_NAMES if last else _NAMES)
+
+    return run
 
 
 def window_blocks(benchmark: DataFrame, spark, item_col: str, item_text: str, window: int, block_bytes: int) -> list:
@@ -131,10 +133,12 @@ def benchmark_overlap(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     words; items with a null id count as the item ``null``. Repeated items are one item, repeated documents are told each.
     Empty tables give no rows, or no hits. Other columns are ignored. Windows shared by many items are held once.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"))
-    for windows in window_blocks(benchmark, docs.sparkSession, item_col, item_text, window, block_bytes):
-        rows = rows.mapInArrow(_scanned(windows), _SCHEMA)
-    return rows.mapInArrow(_told, _RESULT)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    blocks = window_blocks(benchmark, docs.sparkSession, item_col, item_text, window, block_bytes)
+    for i, windows in enumerate(blocks):
+        first, last = i == 0, i == len(blocks) - 1
+        rows = rows.mapInArrow(_scanned(windows, first, last), _RESULT if last else _SCHEMA)
+    return rows
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
