@@ -308,3 +308,14 @@ def test_seating_follows_the_restaurant_process():
             sums.append(t)
         got = sample_tables(np.full(3000, customers), np.full(3000, mass), discount, np.random.default_rng(1))
         assert abs(got.mean() - np.mean(sums)) < 0.05 * np.mean(sums) + 0.01 and got.min() >= 1 and got.max() <= customers
+
+
+@pytest.mark.parametrize(("customers", "mass", "discount"), [(1000, 5.0, 0.8), (20_000, 5.0, 0.8), (20_000, 100.0, 0.8)])
+def test_seating_of_many_customers(customers, mass, discount):
+    """Means within five standard errors of customers seated one by one: seating in blocks is 6 to 12 % above."""
+    rng, runs = np.random.default_rng(7), 4000
+    t = np.ones(runs)
+    for i in range(1, customers):
+        t += rng.random(runs) < mass / (mass + i - discount * t)
+    got = sample_tables(np.full(runs, customers), np.full(runs, mass), discount, np.random.default_rng(1))
+    assert abs(got.mean() - t.mean()) < 5 * np.sqrt((got.var() + t.var()) / runs)
