@@ -319,3 +319,12 @@ def test_seating_of_many_customers(customers, mass, discount):
         t += rng.random(runs) < mass / (mass + i - discount * t)
     got = sample_tables(np.full(runs, customers), np.full(runs, mass), discount, np.random.default_rng(1))
     assert abs(got.mean() - t.mean()) < 5 * np.sqrt((got.var() + t.var()) / runs)
+
+
+def test_contexts_do_not_share_a_restaurant(spark):
+    """Each of 200,000 contexts has one follower of its own, so all but the rarest tokens are foretold; merged contexts would not foretell them."""
+    n = 200_000
+    lines = spark.range(n).select(F.format_string("c%d f%d", "id", F.pmod(F.col("id") * 7919, F.lit(n))).alias("line"))
+    df = lines.select(F.expr("explode(array_repeat(line, 4))").alias("text")).withColumn("doc_id", F.monotonically_increasing_id())
+    r = score_documents(df).where("not held_out").agg(F.avg(F.col("score") - F.col("base_score")).alias("gain"), F.count("*").alias("n")).first()
+    assert r.n > 3 * n and r.gain > 5
