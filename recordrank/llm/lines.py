@@ -1,6 +1,6 @@
 """Near-duplicate lines by a segment-partition edit join, with DataFrame functions only.
 
-A line is cut into ``threshold + 1`` segments. Within the threshold, two lines share a segment whole, at places that
+A line is cut into one segment more than the edits its length allows. Within those, two lines share a segment whole, at places that
 differ by what the number of errors before and after it allows; so a line probes, for each length it may be near to, the
 few substrings that can be such a segment. Pairs that share a key and whose letter counts differ by no more than the errors allow are verified by
 a banded edit distance whose band is a bit vector in one integer.
@@ -16,6 +16,8 @@ from .scratch import drop, keep
 
 #: Letters whose counts are compared before verification.
 _COUNTED = "etan"
+#: Characters of a line for each edit beyond the first.
+PER_EDIT = 12
 
 
 def _segments(length: Column, i: int, k: int) -> tuple[Column, Column]:
@@ -24,20 +26,38 @@ def _segments(length: Column, i: int, k: int) -> tuple[Column, Column]:
     return (size * i + F.greatest(F.lit(0), longer - (k - i))).cast("int"), (size + (F.lit(i) >= F.lit(k) - longer).cast("int")).cast("int")
 
 
+def _allowed(length: Column, threshold: int) -> Column:
+    """Edits within which a line is near the shorter one of a pair: one for each ``PER_EDIT`` characters, at least one, at most ``threshold``."""
+    return F.least(F.lit(threshold), F.greatest(F.lit(1), F.floor(length / PER_EDIT))).cast("int")
+
+
 def _keys(line: Column, length: Column, threshold: int) -> tuple[list[Column], list[Column]]:
-    """A key for each segment, and probes, null where a substring would not be within the line."""
-    k = threshold + 1
-    own, probes = [], []
-    for i in range(k):
-        start, size = _segments(length, i, k)
-        own.append(F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size)))
-    for shift in range(k):
-        other = length - shift
-        for i in range(k):
-            start, size = _segments(other, i, k)
-            for move in range(max(-i, shift - (threshold - i)), min(i, shift + (threshold - i)) + 1):
-                ok = (start + move >= 0) & (start + move + size <= length)
-                probes.append(F.when(ok, F.xxhash64(other, F.lit(i), F.substring(line, start + move + 1, size))))
+    """A key for each segment, and probes for lines that are not longer, null where a substring would not be within the line.
+
+    The number of segments follows from the edits that the shorter line allows, so short lines are cut into few.
+    """
+
+    def placed(line_length: Column, t: int, i: int, move: int, inside: bool) -> Column:
+        start, size = _segments(line_length, i, t + 1)
+        key = F.xxhash64(line_length, F.lit(i), F.substring(line, start + move + 1, size))
+        return F.when((start + move >= 0) & (start + move + size <= length), key) if inside else key
+
+    def chosen(line_length: Column, by_edits: dict[int, Column]) -> Column:
+        allowed, (first, *rest) = _allowed(line_length, threshold), sorted(by_edits.items())
+        out = F.when(allowed == first[0], first[1])
+        for t, c in rest:
+            out = out.when(allowed == t, c)
+        return out
+
+    own = [chosen(length, {t: placed(length, t, i, 0, False) for t in range(max(1, i), threshold + 1)}) for i in range(threshold + 1)]
+    probes = []
+    for shift in range(threshold + 1):
+        other, places = length - shift, {}
+        for t in range(max(1, shift), threshold + 1):
+            moves = [(i, move) for i in range(t + 1) for move in range(max(-i, shift - (t - i)), min(i, shift + (t - i)) + 1)]
+            for slot, (i, move) in enumerate(moves):
+                places.setdefault(slot, {})[t] = placed(other, t, i, move, True)
+        probes += [chosen(other, by_edits) for by_edits in places.values()]
     return own, probes
 
 
@@ -75,9 +95,8 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
 
         return F.transform(F.array(inner), after)[0]
 
-    start = F.struct(F.lit(full ^ ((1 << (threshold + 1)) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(threshold).alias("d")).cast(kind)
-
     def walk(v: Column) -> Column:
+        start = F.struct(F.lit(full ^ ((1 << (threshold + 1)) - 1)).alias("vp"), F.lit(0).alias("vn"), F.least(v["n"], F.lit(threshold)).alias("d")).cast(kind)
         steps = F.transform(v["y"], lambda ch, j: F.struct(ch.alias("ch"), j.alias("j")))
         return F.aggregate(steps, start, lambda s, c: step(s, c, v["x"], v["n"]), lambda s: s["d"])
 
@@ -92,18 +111,18 @@ def _stripped(pairs: DataFrame, rounds: int = 5) -> DataFrame:
     for _ in range(rounds):
         half = F.floor(F.length(b) / 2).cast("int")
         head = F.when(F.left(a, half) == F.left(b, half), half).otherwise(0)
-        pairs = pairs.select("h", "g", "longer", "shorter", head.alias("cut")).select("h", "g", *[F.expr(f"substring({c}, cut + 1)").alias(c) for c in ("longer", "shorter")])
+        pairs = pairs.select("h", "g", "allowed", "longer", "shorter", head.alias("cut")).select("h", "g", "allowed", *[F.expr(f"substring({c}, cut + 1)").alias(c) for c in ("longer", "shorter")])
         tail = F.when(F.right(a, half) == F.right(b, half), half).otherwise(0)
-        pairs = pairs.select("h", "g", "longer", "shorter", tail.alias("cut")).select("h", "g", *[F.expr(f"left({c}, length({c}) - cut)").alias(c) for c in ("longer", "shorter")])
+        pairs = pairs.select("h", "g", "allowed", "longer", "shorter", tail.alias("cut")).select("h", "g", "allowed", *[F.expr(f"left({c}, length({c}) - cut)").alias(c) for c in ("longer", "shorter")])
     # behind a generator: a filter on the strings is not copied down through the rounds
-    return pairs.select("h", "g", F.inline(F.array(F.struct("longer", "shorter"))))
+    return pairs.select("h", "g", "allowed", F.inline(F.array(F.struct("longer", "shorter"))))
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 1, least: int = 8) -> DataFrame:
     """``(doc_id, line_no, n_chars, class_doc, class_line, links, kept)`` for each line that is not blank.
 
-    Lines are cut at line feeds and compared as they are. Lines that are equal, or of at least ``least`` characters and within ``threshold``
-    edits, are linked; a class is what links reach, named by its first line in order of document and line number, which is the one kept.
+    Lines are cut at line feeds and compared as they are. Lines that are equal, or of at least ``least`` characters and within an edit
+    for each ``PER_EDIT`` characters of the shorter one, at least one and at most ``threshold``, are linked; a class is what links reach, named by its first line in order of document and line number, which is the one kept.
     ``links`` counts the different texts that a line's text is linked with. A null or empty text has no lines. A null id is before
     all others. Rows that repeat an id and a text have lines of the same name, kept together. An empty table gives no rows. Other columns
     are ignored. Lines are told apart by 128 bits of hashes.
@@ -116,8 +135,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # all of fixed width and equal for equal lines, so that a hash aggregation takes them
     keyed = lines.where(F.col("n_chars") >= F.lit(max(least, threshold + 1))).select("h", *[c.alias(name) for name, c in values.items()])
     keyed = keep(keyed.groupBy("h").agg(*[F.max(name).alias(name) for name in values]), "line_keys", release=True)
-    index = keyed.select("h", F.explode(F.array(*[f"own{i}" for i in range(len(own))])).alias("key"), *[F.col(f"count{i}").alias(f"c{i}") for i in range(len(counts))])
-    probe = keyed.select(F.col("h").alias("g"), F.explode(F.array_distinct(F.array(*[f"probe{i}" for i in range(len(probes))]))).alias("key"), *[F.col(f"count{i}").alias(f"e{i}") for i in range(len(counts))])
+    index = keyed.select("h", F.explode(F.array(*[f"own{i}" for i in range(len(own))])).alias("key"), *[F.col(f"count{i}").alias(f"c{i}") for i in range(len(counts))]).where("key is not null")
+    probe = keyed.select(F.col("h").alias("g"), F.explode(F.array_distinct(F.array(*[f"probe{i}" for i in range(len(probes))]))).alias("key"), *[F.col(f"count{i}").alias(f"e{i}") for i in range(len(counts))]).where("key is not null")
     apart = sum((F.abs(F.pmod(F.col(f"c{i}").cast("int") - F.col(f"e{i}").cast("int") + 64, F.lit(128)) - 64) for i in range(len(_COUNTED))), F.lit(0))
     pairs = index.join(probe, (index["key"] == probe["key"]) & (F.col("h") != F.col("g")) & (apart <= 2 * threshold))
     pairs = keep(pairs.select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).distinct(), "line_pairs", release=True)
@@ -126,8 +145,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = keep(lines.select("h", "line").join(wanted, "h").groupBy("h").agg(F.any_value("line").alias("line")), "line_texts", release=True)
     both = pairs.join(texts, "h").join(texts.select(F.col("h").alias("g"), F.col("line").alias("other")), "g")
     longer, shorter = F.when(F.length("line") >= F.length("other"), F.col("line")).otherwise(F.col("other")), F.when(F.length("line") >= F.length("other"), F.col("other")).otherwise(F.col("line"))
-    both = _stripped(both.select("h", "g", longer.alias("longer"), shorter.alias("shorter")))
-    links = keep(both.where(banded_distance(F.col("longer"), F.col("shorter"), threshold) <= threshold).select(F.col("h").alias("a"), F.col("g").alias("b")), "line_links", release=True)
+    both = _stripped(both.select("h", "g", _allowed(F.least(F.length("line"), F.length("other")), threshold).alias("allowed"), longer.alias("longer"), shorter.alias("shorter")))
+    links = keep(both.where(banded_distance(F.col("longer"), F.col("shorter"), threshold) <= F.col("allowed")).select(F.col("h").alias("a"), F.col("g").alias("b")), "line_links", release=True)
     drop(pairs, texts)
     found = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))

@@ -50,7 +50,7 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_classes(_table(spark, sf_dir, "documents"))
+    return line_classes(_table(spark, sf_dir, "documents"), threshold=4, least=5)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

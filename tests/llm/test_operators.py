@@ -328,3 +328,38 @@ def test_contexts_do_not_share_a_restaurant(spark):
     df = lines.select(F.expr("explode(array_repeat(line, 4))").alias("text")).withColumn("doc_id", F.monotonically_increasing_id())
     r = score_documents(df).where("not held_out").agg(F.avg(F.col("score") - F.col("base_score")).alias("gain"), F.count("*").alias("n")).first()
     assert r.n > 3 * n and r.gain > 5
+
+
+def test_lines_of_more_edits(spark, tmp_path):
+    """The query links by an edit for 12 characters, 1 to 4, from 5 characters on."""
+    from recordrank.llm.queries import op7_lines
+
+    def distance(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            e = [i]
+            for j, y in enumerate(b, 1):
+                e.append(min(e[-1] + 1, d[j] + 1, d[j - 1] + (x != y)))
+            d = e
+        return d[-1]
+
+    rng = random.Random(8)
+    lines = []
+    for n in (5, 6, 7, 11, 12, 23, 24, 25, 35, 36, 47, 48, 49, 60, 90):
+        for _ in range(3):
+            base = "".join(rng.choice("abcdefgt ") for _ in range(n - 1)) + "x"
+            lines.append(base)
+            for edits in range(1, 6):
+                v = list(base)
+                for _ in range(edits):
+                    k = rng.randrange(len(v))
+                    v[k : k + rng.randint(0, 1)] = rng.choice(["", "y", "z"])
+                lines.append("".join(v).strip() or "q")
+    p = list(range(len(lines)))
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            n = min(len(a), len(b))
+            if a == b or (n >= 5 and abs(len(a) - len(b)) <= 4 and distance(a, b) <= min(4, max(1, n // 12))):
+                p[max(find(p, i), find(p, j))] = min(find(p, i), find(p, j))
+    spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.class_doc for r in op7_lines(spark, str(tmp_path)).collect()} == {i: find(p, i) for i in range(len(lines))}
