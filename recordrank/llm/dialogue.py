@@ -6,9 +6,11 @@ spans of the assistant's words are the loss mask.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import keep
+
 _TURN = "struct<speaker:string,body:string>"
 
 
@@ -23,20 +25,33 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     A part covers ``part_turns`` turn numbers, so that a dialogue of any length is spread over many rows and tasks; a
     participant of the dialogue gets all its parts. ``mask`` has the character ranges of the assistant's words and of the end mark after
     them. Turns are in order of number, then speaker, then text; a null number comes first, in part null. A null speaker is named
-    ``unknown``, a null text is empty, and a null dialogue id is a dialogue of its own. Repeated rows are said again; a part with
-    more than ``salt`` times ``part_turns`` of them is cut by a hash of its rows, which keeps each piece in order. An empty table
-    gives no rows. Other columns are ignored. Speakers' names have ``|`` and ``>`` and line ends replaced by ``_``.
+    ``unknown``, a null text is empty, and a null dialogue id is a dialogue of its own. Repeated rows are said again. A part is cut
+    after every ``salt`` times ``part_turns`` rows in that order into pieces, numbered from 0. An empty table gives no rows. Other columns are ignored. Speakers' names have ``|`` and ``>`` and line ends replaced by ``_``.
     """
     name = F.regexp_replace(F.coalesce(F.col(speaker_col).cast("string"), F.lit("unknown")), r"[|>\r\n]", "_")
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), name.alias("speaker"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     rows = rows.withColumn("part", F.floor(F.col("turn") / part_turns))
-    same = rows.groupBy("conv_id", "part").agg(F.count("*").alias("c")).where(F.col("c") > salt * part_turns)
-    same = same.select(F.col("conv_id").alias("v"), F.col("part").alias("w"), F.ceil(F.col("c") / (salt * part_turns)).alias("pieces"))
-    rows = rows.join(same, F.col("conv_id").eqNullSafe(F.col("v")) & F.col("part").eqNullSafe(F.col("w")), "left")
-    rows = rows.withColumn("piece", F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("turn", "speaker", "body", F.floor(F.rand(1) * 64)), "pieces")).otherwise(0))
+    limit = salt * part_turns
+    whole = ["conv_id", "part"]
+    here = F.col("conv_id").eqNullSafe(F.col("v")) & F.col("part").eqNullSafe(F.col("w"))
+    long = keep(rows.groupBy(*whole).agg(F.count("*").alias("c")).where(F.col("c") > limit).select(F.col("conv_id").alias("v"), F.col("part").alias("w")), "dialogue_parts")
+    # places in a long part: equal rows are counted, the rest is in ranges whose sizes are added up, so no task holds a part
+    order = ["turn", "speaker", "body"]
+    counted = rows.join(long, here, "left_semi").groupBy(*whole, *order).agg(F.count("*").alias("times"))
+    placed = keep(counted.repartitionByRange(*whole, *order).withColumn("task", F.spark_partition_id()), "dialogue_rows")
+    sizes = placed.groupBy(*whole, "task").agg(F.sum("times").alias("held"))
+    ahead = F.sum("held").over(Window.partitionBy(*whole).orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(F.col("conv_id").alias("v"), F.col("part").alias("w"), F.col("task").alias("x"), F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    local = F.sum("times").over(Window.partitionBy(*whole, "task").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("times")
+    spread = placed.withColumn("local", local).join(offsets, here & (F.col("task") == F.col("x"))).withColumn("at", F.col("ahead") + F.col("local"))
+    first, last = F.floor(F.col("at") / limit), F.floor((F.col("at") + F.col("times") - 1) / limit)
+    spread = spread.withColumn("piece", F.explode(F.sequence(first, last)))
+    held = F.least(F.col("at") + F.col("times"), (F.col("piece") + 1) * limit) - F.greatest(F.col("at"), F.col("piece") * limit)
+    short = rows.join(long, here, "left_anti").select(*whole, *order, F.lit(0).cast("long").alias("piece"), F.lit(1).alias("times"))
+    cut = short.unionByName(spread.select(*whole, *order, "piece", held.cast("int").alias("times")))
     people = rows.select(F.col("conv_id").alias("p"), F.col("speaker").alias("me")).distinct()
-    said = rows.groupBy("conv_id", "part", "piece").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "body"))).alias("said"))
-    said = said.withColumn("said", F.transform("said", lambda t: F.struct(t["speaker"].alias("speaker"), t["body"].alias("body"))))
+    said = cut.groupBy("conv_id", "part", "piece").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "body", "times"))).alias("said"))
+    said = said.withColumn("said", F.flatten(F.transform("said", lambda t: F.array_repeat(F.struct(t["speaker"].alias("speaker"), t["body"].alias("body")), t["times"]))))
     each = said.join(people, F.col("conv_id").eqNullSafe(F.col("p")))
     me = F.col("me")
     pieces = F.transform("said", lambda t: F.concat(_head(t, me), t["body"], F.lit("<|end|>\n")))

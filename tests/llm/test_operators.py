@@ -363,3 +363,19 @@ def test_lines_of_more_edits(spark, tmp_path):
                 p[max(find(p, i), find(p, j))] = min(find(p, i), find(p, j))
     spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id: r.class_doc for r in op7_lines(spark, str(tmp_path)).collect()} == {i: find(p, i) for i in range(len(lines))}
+
+
+def test_long_dialogues_are_cut_by_position(spark):
+    rng = random.Random(6)
+    rows = [(c, rng.choice([None, 0, 1]), rng.choice("ab"), f"t{rng.randrange(60)}") for c in [None] * 300 + [1] * 150] + [(2, 0, "a", "same")] * 50 + [(3, 0, "a", "x")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = [sorted(map(str, rotate(d, part_turns=4, salt=2).collect())) for d in (df.repartition(3), df.orderBy(F.desc("text")).repartition(7))]
+    assert got[0] == got[1]
+    parts = defaultdict(list)
+    for r in sorted(rotate(df, part_turns=4, salt=2).where("speaker = 'a'").collect(), key=lambda r: r.piece):
+        assert r.piece == len(parts[r.conv_id, r.part])
+        parts[r.conv_id, r.part].append(r)
+    want = defaultdict(list)
+    for c, t, s, x in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3])):
+        want[c, None if t is None else t // 4].append("<|assistant|>\n" * (s == "a") + "<|user name=b|>\n" * (s == "b") + x + "<|end|>\n")
+    assert {k: [r.rendered for r in v] for k, v in parts.items()} == {k: ["".join(v[i : i + 8]) for i in range(0, len(v), 8)] for k, v in want.items()}
