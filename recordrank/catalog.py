@@ -484,3 +484,22 @@ def jsonld_extract(spark, sf):
 @query(f"{WITH_ALL} SELECT row_number() OVER (ORDER BY match_score DESC, data_confidence DESC, CASE deadline_status WHEN 'Open' THEN 0 WHEN 'Unknown' THEN 1 ELSE 2 END, CASE urgency_level WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 WHEN 'Low' THEN 2 WHEN 'Unknown' THEN 3 ELSE 4 END, company ASC NULLS FIRST, job_title, seq) AS rank, seq FROM full_rows")
 def deadline_ranks(spark, sf):
     return A.ranked(_full(spark, sf).select("seq", "match_score", "data_confidence", "deadline_status", "urgency_level", "company", "job_title"), *R.deadline_order()).select("rank", "seq")
+
+
+# The operators of three queries above that read a part of the rows, over whole tables.
+@query(ORACLES["heatmap_84d"].replace(" AND user_id % 50 = 0", ""))
+def heatmap_84d_whole(spark, sf):
+    return A.heat_map(_table(spark, sf, "events").where("event_type = 'click'"), "2024-02-15").withColumn("day", F.col("day").cast("string"))
+
+
+@query(ORACLES["dense_labels"].replace(" AND seq % 7 = 0", ""))
+def dense_labels_whole(spark, sf):
+    return A.dense_counts(_graded(spark, sf), "gpa_status", V.GRADE_LABELS, "No GPA Listed")
+
+
+@query(ORACLES["either_key_join"].replace(" WHERE seq % 3 = 0", ""))
+def either_key_join_whole(spark, sf):
+    p = postings(spark, sf)
+    ids = p.select("seq", T.slug(F.col("company"), F.col("job_title"), F.col("location")).alias("a"), T.slug(F.col("job_title"), F.col("company"), F.col("location")).alias("b"))
+    keys = ids.select(F.when(F.col("seq") % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("id"), F.col("seq").alias("board_seq"))
+    return B.by_either(keys, ids.withColumn("history_seq", F.col("seq")), "id", ["a", "b"], "seq").select("board_seq", "id", "history_seq")

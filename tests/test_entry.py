@@ -40,3 +40,10 @@ def test_streams_agree_with_batches(spark, tmp_path):
     batch = B.accepted(log.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "user_id")
     assert spark.table("acc").count() == batch.count()
     assert spark.table("last").count() == log.select("user_id").distinct().count()
+
+
+@pytest.mark.parametrize("name", ["heatmap_84d", "dense_labels", "either_key_join"])
+def test_whole_tables(spark, con, name):
+    sql = catalog.ORACLES[f"{name}_whole"]
+    assert "% 50" not in sql and "% 7" not in sql.split("graded WHERE")[-1] and "% 3 = 0)" not in sql.split("k AS")[-1]
+    assert rows(catalog.QUERIES[f"{name}_whole"](spark, SF).toPandas()) == rows(con.execute(sql).df())
