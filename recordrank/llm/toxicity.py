@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import drop, keep
 from .words import PUNCT, slices
 
 BUCKETS = 1 << 18
@@ -31,58 +32,56 @@ def features(part) -> tuple[np.ndarray, np.ndarray]:
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for part in slices(batch.column(1), PUNCT):
+        codes, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for part in slices(batch.column(2), PUNCT):
             code, bounds = features(part)
-            rows += [code[a:b].astype(np.uint32).tobytes() for a, b in zip(bounds, bounds[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["positive", "codes"])
+            codes.append(code.astype(np.int32))
+            sizes.append(np.diff(bounds))
+        offsets = pa.array(np.cumsum(np.concatenate(sizes)), pa.int32())
+        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(codes)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["positive", "picked", "codes"])
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, keep: int = 2048, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights over the buckets and the bias."""
-    weights = np.zeros(BUCKETS, np.float32)
-    if not positive or not unlabelled:
-        return weights, -4.0
-    count = lambda rows: np.bincount(np.concatenate(rows), minlength=BUCKETS)
-    n_p, n_u = len(positive), len(unlabelled)
-    c_p, c_u = count(positive), count(unlabelled)
-    p, u = c_p / n_p, c_u / n_u
-    both = (c_p + c_u) / (n_p + n_u)
-    score = (p - u) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n_p + 1 / n_u))
-    chosen = np.argsort(-np.abs(score), kind="stable")[:keep]
-    chosen = np.sort(chosen[(np.abs(score[chosen]) > 5) & (c_p[chosen] + c_u[chosen] >= 5)])
-    if not len(chosen):
-        return weights, float(np.log(prior / (1 - prior)))
+def _placed(chosen: np.ndarray):
+    """Sampled rows to the places of their chosen features, of two bytes each."""
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
 
-    def matrix(rows):
-        x = np.zeros((len(rows), len(chosen)), np.float32)
-        for i, r in enumerate(rows):
-            at = place[r]
-            x[i, at[at >= 0]] = 1
-        return x
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = (place[np.asarray(row.as_py(), np.int64)] for row in batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[x >= 0].astype(np.uint16).tobytes() for x in at], pa.binary())], names=["positive", "picked", "at"])
+
+    return run
+
+
+def risk(xp: np.ndarray, xu: np.ndarray, w: np.ndarray, b: float, prior: float) -> tuple[float, float, np.ndarray, float]:
+    """The parts of the risk, ``prior * E_P[l(+)]`` and ``E_U[l(-)] - prior * E_P[l(-)]``, and the gradient of the step.
 
-    xp, xu = matrix(positive), matrix(unlabelled)
-    w, b = np.zeros(len(chosen), np.float32), np.float32(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(chosen) + 1, np.float32), np.zeros(len(chosen) + 1, np.float32)
+    Where the second part is negative, the step goes against its gradient alone.
+    """
+    zp, zu = xp @ w + b, xu @ w + b
     logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    gp, gu = logistic(zp), logistic(zu)  # derivatives of l(-); those of l(+) are less by one
+    positive = prior * np.logaddexp(0, -zp).mean()
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    minus_w, minus_b = xu.T @ gu / len(xu) - prior * (xp.T @ gp) / len(xp), gu.mean() - prior * gp.mean()
+    if negative < 0:
+        return positive, negative, -minus_w, -minus_b
+    return positive, negative, prior * (xp.T @ (gp - 1)) / len(xp) + minus_w, prior * (gp - 1).mean() + minus_b
+
+
+def train(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights of the columns and the bias, from rows of positive and of unlabelled documents."""
+    w, b = np.zeros(xp.shape[1], np.float32), np.float32(np.log(prior / (1 - prior)))
+    m, v = np.zeros(len(w) + 1, np.float32), np.zeros(len(w) + 1, np.float32)
     for t in range(1, steps + 1):
-        zp, zu = xp @ w + b, xu @ w + b
-        gp, gu = logistic(zp), logistic(zu)  # derivatives of l(-); those of l(+) are less by one
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        d_minus_w = xu.T @ gu / n_u - prior * (xp.T @ gp) / n_p
-        d_minus_b = gu.mean() - prior * gp.mean()
-        if negative >= 0:
-            gw, gb = prior * (xp.T @ (gp - 1)) / n_p + d_minus_w, prior * (gp - 1).mean() + d_minus_b
-        else:
-            gw, gb = -d_minus_w, -d_minus_b
+        _, _, gw, gb = risk(xp, xu, w, b, prior)
         g = np.append(gw + decay * w, gb)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    weights[chosen] = w
-    return weights, float(b)
+    return w, float(b)
 
 
 def _score(model, texts: pa.Array) -> np.ndarray:
@@ -99,8 +98,11 @@ def _crc(c):
     return F.crc32(c.cast("string"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, positives: int = 3000, unlabelled: int = 9000) -> tuple[np.ndarray, float]:
-    """A classifier of texts, learned on a bounded sample; see ``toxicity``."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, positives: int = 3000, unlabelled: int = 9000, keep_features: int = 2048) -> tuple[np.ndarray, float]:
+    """A classifier of texts, learned on a bounded sample; see ``toxicity``.
+
+    The driver gets counts of at most ``BUCKETS`` features, and two bytes for each of at most ``keep_features`` features of a sampled text.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label")).where(F.col("label").isNotNull() & (_crc(F.col("doc_id")) % folds != 0))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -109,18 +111,37 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = F.xxhash64(F.col("doc_id"), F.lit(3))
     chosen = known.where("label = 1").orderBy(order).limit(positives).select("doc_id", F.lit(True).alias("positive"))
     n = rows.count()
-    # a hash threshold, so that no sort of all documents is needed; four deviations above the number wanted at most
+    # a hash threshold, so that no sort of all documents is needed; four deviations above the number wanted at most.
+    # Unlabelled text is the hash's pick of all learning rows, confirmed toxic ones among them where it falls on them: a plain sample at every size
     part = min(1.0, unlabelled / max(n, 1))
     pick = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 30)) < int(part * (1 << 30))
-    sample = rows.where(F.col("doc_id").isNotNull() & (_crc(F.col("doc_id")) % folds != 0)).join(F.broadcast(chosen), "doc_id", "left").withColumn("pick", pick).where("positive or pick")
-    sample = sample.select(F.coalesce("positive", F.lit(False)).alias("positive"), "text").mapInArrow(_sampled, "positive boolean, codes binary")
+    sample = rows.where(F.col("doc_id").isNotNull() & (_crc(F.col("doc_id")) % folds != 0)).join(F.broadcast(chosen), "doc_id", "left")
+    sample = sample.select(F.coalesce("positive", F.lit(False)).alias("positive"), pick.alias("picked"), "text").where("positive or picked")
+    sample = keep(sample.mapInArrow(_sampled, "positive boolean, picked boolean, codes array<int>"), "toxic_sample")
+    weights = np.zeros(BUCKETS, np.float32)
+    size = sample.agg(F.count_if("positive").alias("p"), F.count_if("picked").alias("u")).first()
+    if not size.p or not size.u:
+        drop(sample)
+        return weights, -4.0
+    counts = sample.select("positive", "picked", F.explode("codes").alias("code")).groupBy("code").agg(F.count_if("positive").alias("p"), F.count_if("picked").alias("u"))
+    p, u, both = F.col("p") / size.p, F.col("u") / size.u, (F.col("p") + F.col("u")) / (size.p + size.u)
+    apart = F.abs(p - u) / F.sqrt(F.greatest(both * (1 - both), F.lit(1e-9)) * (1 / size.p + 1 / size.u))
+    best = counts.where(F.col("p") + F.col("u") >= 5).select("code", apart.alias("apart")).where("apart > 5").orderBy(F.desc("apart"), "code").limit(keep_features)
+    features_kept = np.array(sorted(r.code for r in best.collect()), np.int64)
+    if not len(features_kept):
+        drop(sample)
+        return weights, float(np.log(prior / (1 - prior)))
     told: dict[bool, list[np.ndarray]] = {True: [], False: []}
-    for r in sample.toLocalIterator():
-        told[r.positive].append(np.frombuffer(bytes(r.codes), np.uint32))
-    # toxic documents are part of the unlabelled text too, in their share
-    n_clean = len(told[False])
-    extra = int(round(prior * n_clean / (1 - prior))) if seen.n else 0
-    return train(told[True], told[False] + told[True][:extra], prior)
+    for r in sample.mapInArrow(_placed(features_kept), "positive boolean, picked boolean, at binary").toLocalIterator():
+        x = np.zeros(len(features_kept), np.float32)
+        x[np.frombuffer(bytes(r["at"]), np.uint16)] = 1
+        if r.positive:
+            told[True].append(x)
+        if r.picked:
+            told[False].append(x)
+    drop(sample)
+    weights[features_kept], bias = train(np.stack(told[True]), np.stack(told[False]), prior)
+    return weights, bias
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, **fitting) -> DataFrame:
