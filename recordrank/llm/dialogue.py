@@ -19,51 +19,59 @@ def _head(turn: Column, me: Column) -> Column:
     return F.when(mine, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), turn["speaker"], F.lit("|>\n")))
 
 
-def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", part_turns: int = 256, salt: int = 16) -> DataFrame:
-    """``(conv_id, speaker, part, n_turns, rendered, mask)``: a row for each participant and part of a dialogue.
+def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", part_turns: int = 65536) -> DataFrame:
+    """``(conv_id, speaker, part, n_turns, rendered, mask)``: a row for each participant of a dialogue, and for each part of a very long one.
 
-    A part covers ``part_turns`` turn numbers, so that a dialogue of any length is spread over many rows and tasks; a
-    participant of the dialogue gets all its parts. ``mask`` has the character ranges of the assistant's words and of the end mark after
-    them. Turns are in order of number, then speaker, then text; a null number comes first, in part null. A null speaker is named
-    ``unknown``, a null text is empty, and a null dialogue id is a dialogue of its own. Repeated rows are said again. A part is cut
-    after every ``salt`` times ``part_turns`` rows in that order into pieces, numbered from 0. An empty table gives no rows. Other columns are ignored. Speakers' names have ``|`` and ``>`` and line ends replaced by ``_``.
+    Turns are in order of number, then speaker, then text; a null number comes first. A dialogue is rendered whole up to ``part_turns``
+    rows; after every so many rows in that order a new part begins, numbered from 0, and every participant of the dialogue gets all
+    parts. So no task holds a dialogue of any size, and rows without a dialogue, which count as one dialogue, are spread. ``mask`` has the character ranges of the
+    assistant's words and of the end mark after them. A null speaker is named ``unknown``, a null text is empty. Repeated rows are said
+    again. An empty table gives no rows. Other columns are ignored. Speakers' names have ``|`` and ``>`` and line ends replaced by ``_``.
     """
     name = F.regexp_replace(F.coalesce(F.col(speaker_col).cast("string"), F.lit("unknown")), r"[|>\r\n]", "_")
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), name.alias("speaker"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    rows = rows.withColumn("part", F.floor(F.col("turn") / part_turns))
-    limit = salt * part_turns
-    whole = ["conv_id", "part"]
-    here = F.col("conv_id").eqNullSafe(F.col("v")) & F.col("part").eqNullSafe(F.col("w"))
-    long = keep(rows.groupBy(*whole).agg(F.count("*").alias("c")).where(F.col("c") > limit).select(F.col("conv_id").alias("v"), F.col("part").alias("w")), "dialogue_parts")
-    # places in a long part: equal rows are counted, the rest is in ranges whose sizes are added up, so no task holds a part
+    here = F.col("conv_id").eqNullSafe(F.col("v"))
+    sizes = rows.groupBy("conv_id").agg(F.count("*").alias("c"))
+    long = keep(sizes.where(F.col("c") > part_turns).select(F.col("conv_id").alias("v")), "dialogues_long")
+    # places in a long dialogue: equal rows are counted, the rest is in ranges whose sizes are added up, so no task holds a dialogue
     order = ["turn", "speaker", "body"]
-    counted = rows.join(long, here, "left_semi").groupBy(*whole, *order).agg(F.count("*").alias("times"))
-    placed = keep(counted.repartitionByRange(*whole, *order).withColumn("task", F.spark_partition_id()), "dialogue_rows")
-    sizes = placed.groupBy(*whole, "task").agg(F.sum("times").alias("held"))
-    ahead = F.sum("held").over(Window.partitionBy(*whole).orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(F.col("conv_id").alias("v"), F.col("part").alias("w"), F.col("task").alias("x"), F.coalesce(ahead, F.lit(0)).alias("ahead"))
-    local = F.sum("times").over(Window.partitionBy(*whole, "task").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("times")
+    counted = rows.join(long, here, "left_semi").groupBy("conv_id", *order).agg(F.count("*").alias("times"))
+    placed = keep(counted.repartitionByRange("conv_id", *order).withColumn("task", F.spark_partition_id()), "dialogue_rows")
+    held = placed.groupBy("conv_id", "task").agg(F.sum("times").alias("held"))
+    ahead = F.sum("held").over(Window.partitionBy("conv_id").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = held.select(F.col("conv_id").alias("v"), F.col("task").alias("x"), F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    local = F.sum("times").over(Window.partitionBy("conv_id", "task").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("times")
     spread = placed.withColumn("local", local).join(offsets, here & (F.col("task") == F.col("x"))).withColumn("at", F.col("ahead") + F.col("local"))
-    first, last = F.floor(F.col("at") / limit), F.floor((F.col("at") + F.col("times") - 1) / limit)
-    spread = spread.withColumn("piece", F.explode(F.sequence(first, last)))
-    held = F.least(F.col("at") + F.col("times"), (F.col("piece") + 1) * limit) - F.greatest(F.col("at"), F.col("piece") * limit)
-    short = rows.join(long, here, "left_anti").select(*whole, *order, F.lit(0).cast("long").alias("piece"), F.lit(1).alias("times"))
-    cut = short.unionByName(spread.select(*whole, *order, "piece", held.cast("int").alias("times")))
+    first, last = F.floor(F.col("at") / part_turns), F.floor((F.col("at") + F.col("times") - 1) / part_turns)
+    spread = spread.withColumn("part", F.explode(F.sequence(first, last)))
+    times = F.least(F.col("at") + F.col("times"), (F.col("part") + 1) * part_turns) - F.greatest(F.col("at"), F.col("part") * part_turns)
+    short = rows.join(long, here, "left_anti").select("conv_id", *order, F.lit(0).cast("long").alias("part"), F.lit(1).alias("times"))
+    cut = short.unionByName(spread.select("conv_id", *order, "part", times.cast("int").alias("times")))
     people = rows.select(F.col("conv_id").alias("p"), F.col("speaker").alias("me")).distinct()
-    said = cut.groupBy("conv_id", "part", "piece").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "body", "times"))).alias("said"))
+    said = cut.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "body", "times"))).alias("said"))
     said = said.withColumn("said", F.flatten(F.transform("said", lambda t: F.array_repeat(F.struct(t["speaker"].alias("speaker"), t["body"].alias("body")), t["times"]))))
     each = said.join(people, F.col("conv_id").eqNullSafe(F.col("p")))
     me = F.col("me")
     pieces = F.transform("said", lambda t: F.concat(_head(t, me), t["body"], F.lit("<|end|>\n")))
-    each = each.select("conv_id", me.alias("speaker"), "part", "piece", F.size("said").cast("long").alias("n_turns"), F.array_join(pieces, "").alias("rendered"), "said")
+    each = each.select("conv_id", me.alias("speaker"), "part", F.size("said").cast("long").alias("n_turns"), F.array_join(pieces, "").alias("rendered"), "said")
     me = F.col("speaker")
     kind = "struct<at:int,spans:array<struct<start:int,end:int>>>"
+    ranges = "array<struct<start:int,end:int>>"
 
     def walk(state: Column, t: Column) -> Column:
         begin = state["at"] + F.length(_head(t, me))
         end = begin + F.length(t["body"]) + F.length(F.lit("<|end|>"))
-        mine = F.when(t["speaker"] == me, F.array(F.struct(begin.alias("start"), end.alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+        mine = F.when(t["speaker"] == me, F.array(F.struct(begin.alias("start"), end.alias("end")))).otherwise(F.array().cast(ranges))
         return F.struct((end + 1).alias("at"), F.concat(state["spans"], mine).alias("spans")).cast(kind)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")).cast(kind)
-    return each.select("conv_id", "speaker", "part", "piece", "n_turns", "rendered", F.aggregate("said", start, walk, lambda s: s["spans"]).alias("mask"))
+    def folded(turns: Column, at: Column) -> Column:
+        return F.aggregate(turns, F.struct(at.cast("int").alias("at"), F.array().cast(ranges).alias("spans")).cast(kind), walk)
+
+    # blocks of turns are folded one by one and joined at the end, so that no long array is copied at each turn
+    block = 64
+    starts = F.sequence(F.lit(1), F.greatest(F.size("said"), F.lit(1)), F.lit(block))
+    blocks = each.withColumn("blocks", F.transform(starts, lambda i: F.slice("said", i, block)))
+    local = blocks.withColumn("local", F.transform("blocks", lambda b: folded(b, F.lit(0))))
+    sums = F.aggregate("local", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["at"])))
+    moved = F.zip_with(F.col("local"), F.slice("offsets", F.lit(1), F.size("local")), lambda x, o: F.transform(x["spans"], lambda r: F.struct((r["start"] + o).alias("start"), (r["end"] + o).alias("end"))))
+    return local.withColumn("offsets", sums).select("conv_id", "speaker", "part", "n_turns", "rendered", F.flatten(moved).alias("mask"))

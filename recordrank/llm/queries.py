@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ from .pii import pseudonymise
 from .toxicity import toxicity
 
 
+_SESSION_KEY = secrets.token_hex(32)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,8 +31,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key stands for a secret that a deployment sets in ``spark.recordrank.pii.key``."""
-    key = spark.sparkContext.getConf().get("spark.recordrank.pii.key", "not a secret")
+    """A deployment sets its secret in ``spark.recordrank.pii.key``; without one, a random key is made that lasts as long as this process."""
+    key = spark.sparkContext.getConf().get("spark.recordrank.pii.key") or _SESSION_KEY
     return pseudonymise(_table(spark, sf_dir, "documents"), key)
 
 
@@ -73,11 +78,12 @@ ORACLES = {
     "op4_perspectives": """
         WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS body FROM conversations),
         p AS (SELECT DISTINCT conv_id, role AS speaker FROM t),
-        e AS (SELECT t.conv_id, p.speaker, floor(turn / 256.0)::BIGINT AS part, turn, role, body, role = speaker AS mine,
-                CASE WHEN role = speaker THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || role || '|>' || chr(10) END AS head FROM t JOIN p USING (conv_id)),
+        n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, body) - 1) // 65536 AS part FROM t),
+        e AS (SELECT n.conv_id, p.speaker, part, turn, role, body, role = speaker AS mine,
+                CASE WHEN role = speaker THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || role || '|>' || chr(10) END AS head FROM n JOIN p USING (conv_id)),
         l AS (SELECT *, length(head) + length(body) + length('<|end|>') + 1 AS size FROM e),
         o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, role, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin_at FROM l)
-        SELECT conv_id, speaker, part, 0::BIGINT AS piece, count(*) AS n_turns,
+        SELECT conv_id, speaker, part, count(*) AS n_turns,
             string_agg(head || body || '<|end|>' || chr(10), '' ORDER BY turn, role, body) AS rendered,
             coalesce(string_agg((begin_at + length(head))::BIGINT::VARCHAR || '-' || (begin_at + size - 1)::BIGINT::VARCHAR, ',' ORDER BY turn, role, body) FILTER (WHERE mine), '') AS mask
         FROM o GROUP BY ALL""",
