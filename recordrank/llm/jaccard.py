@@ -277,7 +277,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = ["n", "u", "fa", "fb"]
     similar = all_docs.where("tokens is not null")
     nodes = similar.groupBy(*key).agg(F.min("doc_id").alias("least"), F.sum("copies").alias("copies"), F.min("tokens").alias("tokens"))
-    nodes = keep(nodes.withColumn("node", F.xxhash64(*key)), "jaccard_nodes")
+    nodes = keep(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard_nodes")  # numbered once, as it is written
     posted = nodes.select("node", "n", "u", "tokens").mapInArrow(_posted(percent), "token bigint, node bigint")
     posted = keep(posted, "jaccard_prefixes")
     heads = posted.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1")
@@ -312,12 +312,16 @@ def first_of_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stay or go together.
     """
     named = docs.where(F.col(id_col).isNotNull())
-    stay = jaccard_classes(named, id_col, text_col, width, percent).where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    return unique_and_repeated(docs, stay.withColumnRenamed("doc_id", "_id"), F.col(id_col) == F.col("_id"), [id_col, text_col]).unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    stay = jaccard_classes(named, id_col, text_col, width, percent).where("component_id = doc_id").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows"))
+    rows = unique_and_repeated(docs, stay, F.col(f"row.{id_col}") == F.col("id"), [id_col, text_col]).select("row.*")
+    return rows.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
 
 
 def unique_and_repeated(docs: DataFrame, groups: DataFrame, on, same: list[str]) -> DataFrame:
-    """``docs`` joined with ``groups``; of a group of more than one row in ``_rows``, one row for each value of ``same`` stays."""
-    extra = [c for c in groups.columns if c.startswith("_") and c not in ("_copies",)]
-    joined = docs.join(groups, on)
-    return joined.where("_rows = 1").drop(*extra).unionByName(joined.where("_rows > 1").dropDuplicates(same).drop(*extra))
+    """``docs``, each as one column ``row``, joined with ``groups``; of a group of more than one row in ``rows``, one row for each value of ``same`` stays.
+
+    As the documents' columns are within ``row``, none can have the name of a column of ``groups``.
+    """
+    joined = docs.select(F.struct("*").alias("row")).join(groups, on)
+    keys = {f"same{i}": F.col(f"row.{c}") for i, c in enumerate(same)}
+    return joined.where("rows = 1").unionByName(joined.where("rows > 1").withColumns(keys).dropDuplicates(list(keys)).drop(*keys))

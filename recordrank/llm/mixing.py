@@ -120,8 +120,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **mix) -> DataFrame:
     """The mix itself: the rows of ``docs``, with all their columns, each as often as it is taken."""
-    taken = mix_sources(docs, id_col, text_col, source_col, **mix).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
-    taken = taken.agg(F.count("*").alias("_rows"), F.sum("copies").alias("_copies")).where("_copies > 0")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (word_count(F.col(text_col)) == F.col("_size"))
+    taken = mix_sources(docs, id_col, text_col, source_col, **mix).groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("words"))
+    taken = taken.agg(F.count("*").alias("rows"), F.sum("copies").alias("copies")).where("copies > 0")
+    row = lambda c: F.col(f"row.{c}")
+    same = row(id_col).cast("long").eqNullSafe(F.col("id")) & row(source_col).eqNullSafe(F.col("of")) & (word_count(row(text_col)) == F.col("words"))
     rows = unique_and_repeated(docs, taken, same, [id_col, source_col, text_col])
-    return rows.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).drop("_copies")
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
