@@ -1,7 +1,7 @@
 """Tables between the phases of an operator.
 
 They go to the folder that the cluster names in ``spark.checkpoint.dir``, which all executors and the driver share.
-Where it is unset, as in tests, a folder under /tmp/checkpoints is used.
+Where it is unset, a local master uses a folder under /tmp/checkpoints; on a cluster, where executors and driver do not share that folder, it is an error.
 """
 
 from __future__ import annotations
@@ -15,7 +15,13 @@ _LEFT: list[tuple[SparkSession, str]] = []
 
 
 def root(spark: SparkSession) -> str:
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    conf = spark.sparkContext.getConf()
+    if path := conf.get("spark.checkpoint.dir"):
+        return path
+    master = conf.get("spark.master") or ""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "/tmp/checkpoints"
 
 
 def keep(df: DataFrame, name: str, release: bool = False) -> DataFrame:

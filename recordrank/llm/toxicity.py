@@ -49,7 +49,8 @@ def _placed(chosen: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = (place[np.asarray(row.as_py(), np.int64)] for row in batch.column(2))
+            codes, cuts = batch.column(2).values.to_numpy(), batch.column(2).offsets.to_numpy()
+            at = (place[codes[a:b]] for a, b in zip(cuts, cuts[1:]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[x >= 0].astype(np.uint16).tobytes() for x in at], pa.binary())], names=["positive", "picked", "at"])
 
     return run

@@ -1,6 +1,7 @@
 """The operators against brute force on small fixtures: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import hmac
 import random
 import re
 from collections import Counter, defaultdict
@@ -114,7 +115,7 @@ def test_exact(docs, rows, empty):
         group[(t or "").translate(LOW)].append(i)
     want = Counter((i, max(g), len(g), i == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in group.items() for i in g)
     assert Counter(map(tuple, exact_duplicates(docs).collect())) == want
-    assert Counter(map(tuple, exact_duplicates(docs, digit=1, growth=2, salts=2).collect())) == want
+    assert Counter(map(tuple, exact_duplicates(docs, digit=1, growth=2).collect())) == want
     assert exact_duplicates(empty).count() == 0
 
 
@@ -187,6 +188,32 @@ def test_pseudonyms(spark):
     assert pseudonymise(ids, "k").select("text").distinct().count() == 1000
 
 
+def test_pseudonyms_by_brute_force(spark):
+    """The digits' permutation against Python's own HMAC; formats of one value link, and no plan has the key."""
+
+    def network(values, moduli, kind):
+        half = len(values) // 2
+        a, b, ma, mb = values[:half], values[half:], moduli[:half], moduli[half:]
+        for r in range(1, 11):
+            text = "|".join([kind, str(r), ",".join(map(str, b)), ",".join(map(str, ma + mb))])
+            s = hmac.new(b"my key", text.encode(), "sha512").hexdigest()
+            a, b, ma, mb = b, [(x + int(s[i % 20 * 6 : i % 20 * 6 + 6], 16)) % ma[i] for i, x in enumerate(a)], mb, ma
+        return a + b
+
+    forms = ["4929348385146306", "4929 3483 8514 6306", "+12125550147", "+1 212 555 0147", "+1 (212) 555-0147", "+62 812 3456 7890", "+6281234567890", "ABCDEF0123456789abcdef0123456789", "2024-02-29", "29.02.2024", "29/02/2024"]
+    out = pseudonymise(spark.createDataFrame(list(enumerate(forms)), "doc_id int, text string"), "my key")
+    assert "my key" not in out._jdf.queryExecution().toString() and "n_changed" in out.columns
+    got = [r.text for r in out.orderBy("doc_id").collect()]
+    digits = ["".join(c for c in x if c.isdigit()) for x in got]
+    body = network([int(c) for c in "492934838514630"], [10] * 15, "card")
+    assert list(map(int, digits[0][:15])) == body and digits[0] == digits[1] and [c for c in got[1] if not c.isdigit()] == [" "] * 3
+    assert digits[2] == digits[3] == digits[4] == "1" + "".join(map(str, network([int(c) for c in "2125550147"], [10] * 10, "number+1")))
+    assert digits[5] == digits[6] and got[5].startswith("+62 ") and digits[5] != "6281234567890"
+    assert re.fullmatch("[A-F]{6}[0-9]{10}[a-f]{6}[0-9]{10}", got[7]) and got[7] != forms[7]
+    assert got[8].split("-") == got[9].split(".")[::-1] == got[10].split("/")[::-1]
+    assert pseudonymise(spark.createDataFrame([], "doc_id int, text string"), "k").count() == 0
+
+
 def test_toxicity_on_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     for sample, most in ((2000, 0.06), (9000, 0.03)):  # the toxic share of 2,000 rows is less than the labelled positives
@@ -227,7 +254,7 @@ def test_toxicity_edge_cases(spark):
 def test_dialogues(spark):
     rows = [(1, t, r, x) for t, r, x in [(0, "ann", "hi"), (1, "bob", "yo"), (2, "cy", None), (2, "ann", "b"), (600, "bob", "late")]] + [(None, 0, None, "q"), (2, None, "a|b>", "z")] + [(3, 0, "x", "same")] * 40
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("part", F.lit(1))
-    got = rotate(df, part_turns=2, salt=2).collect()
+    got = rotate(df, part_turns=4).collect()
     said = Counter()
     for r in got:
         mine = [r.rendered[m.start : m.end] for m in r["mask"]]
@@ -400,13 +427,45 @@ def test_long_dialogues_are_cut_by_position(spark):
     rng = random.Random(6)
     rows = [(c, rng.choice([None, 0, 1]), rng.choice("ab"), f"t{rng.randrange(60)}") for c in [None] * 300 + [1] * 150] + [(2, 0, "a", "same")] * 50 + [(3, 0, "a", "x")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    got = [sorted(map(str, rotate(d, part_turns=4, salt=2).collect())) for d in (df.repartition(3), df.orderBy(F.desc("text")).repartition(7))]
+    got = [sorted(map(str, rotate(d, part_turns=8).collect())) for d in (df.repartition(3), df.orderBy(F.desc("text")).repartition(7))]
     assert got[0] == got[1]
     parts = defaultdict(list)
-    for r in sorted(rotate(df, part_turns=4, salt=2).where("speaker = 'a'").collect(), key=lambda r: r.piece):
-        assert r.piece == len(parts[r.conv_id, r.part])
-        parts[r.conv_id, r.part].append(r)
+    for r in sorted(rotate(df, part_turns=8).where("speaker = 'a'").collect(), key=lambda r: r.part):
+        assert r.part == len(parts[r.conv_id])
+        parts[r.conv_id].append(r)
     want = defaultdict(list)
     for c, t, s, x in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3])):
-        want[c, None if t is None else t // 4].append("<|assistant|>\n" * (s == "a") + "<|user name=b|>\n" * (s == "b") + x + "<|end|>\n")
+        want[c].append("<|assistant|>\n" * (s == "a") + "<|user name=b|>\n" * (s == "b") + x + "<|end|>\n")
     assert {k: [r.rendered for r in v] for k, v in parts.items()} == {k: ["".join(v[i : i + 8]) for i in range(0, len(v), 8)] for k, v in want.items()}
+
+
+def test_a_dialogue_of_thousands_of_turns_is_whole(spark):
+    rows = [(1, t, "ab"[t % 2], f"turn {t} é") for t in range(5000)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(4)
+    for r in rotate(df).collect():
+        assert r.part == 0 and r.n_turns == 5000
+        assert [r.rendered[m.start : m.end] for m in r["mask"]] == [f"turn {t} é<|end|>" for t in range(5000) if "ab"[t % 2] == r.speaker]
+
+
+def test_stages_take_any_other_columns(spark):
+    """Documents whose columns have the names of helper columns; equal and null ids; empty tables."""
+    names = "_rows _copies _size _id _source id rows copies of words row same0 node first least part".split()
+    rows = [(1, "a b c d e f g", "s"), (2, "a b c d e f g", "s"), (3, "h i j", None), (3, "h i j", None), (None, "k", "t"), (None, None, "t"), (4, "", "s")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumns({n: F.lit(7) for n in names})
+    alone = first_of_classes(df)
+    assert alone.columns == df.columns and sorted(str(r.doc_id) for r in alone.collect()) == ["1", "3", "4", "None", "None"]
+    mix = mixed(df)
+    want = Counter()
+    for r in mix_sources(df).collect():
+        want[r.doc_id, r["size"]] += r.copies
+    assert mix.columns == df.columns and Counter((r.doc_id, len((r.text or "").split())) for r in mix.collect()) == +want
+    assert first_of_classes(df.limit(0)).count() == mixed(df.limit(0)).count() == 0
+    assert without_benchmark(df, df.select(F.col("doc_id").alias("item_id"), "text").limit(0)).columns == df.columns
+
+
+def test_equal_or_missing_ids_do_not_merge_texts(spark):
+    """Groups of rows without an id or with one id, whose texts part after the first digits only."""
+    rows = [(i, ("x" * 100) + tail) for tail in ("a" * 300, "b" * 300, "a" * 299 + "b") for i in (None, 0, None, 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = exact_duplicates(df).collect()
+    assert len(got) == 12 and {r.group_size for r in got} == {4} and len({r.text_sha256 for r in got}) == 3 and {r.keep_id for r in got} == {0}
