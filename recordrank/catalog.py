@@ -17,6 +17,7 @@ from .operators import dedup as D
 from .operators import summaries as A
 from .plans import runs as R
 from .plans import sinks as P
+from .sources import dom
 from .sources import pages as G
 
 TODAY = "2026-05-24"
@@ -71,7 +72,7 @@ def query(sql: str | None = None):
 
 
 def _contains_any(text: str, words: list[str]) -> str:
-    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+    return "(" + " OR ".join("contains({}, '{}')".format(text, w.replace("'", "''")) for w in words) + ")"
 
 
 def _first(text: str, words: list[str]) -> str:
@@ -137,11 +138,11 @@ _SCORED = f"""SELECT *, {_CAT.format("match_score")} AS match_category, {_REC.fo
         FROM (SELECT *, lower(job_title) AS t, lower(job_title) || ' ' || coalesce(lower(job_description_summary), '') || ' ' || coalesce(lower(requirements), '') AS f FROM graded)))"""
 
 _REASON = "coalesce(CASE WHEN deadline_status = 'Expired' THEN 'Expired deadline' END, CASE WHEN match_score < 75 THEN 'Score below 75' END, CASE WHEN coalesce(data_confidence, 0) < 60 THEN 'Data confidence below 60' END, CASE WHEN recommendation NOT IN ('Apply', 'Apply / Maybe') THEN 'Recommendation not Apply' END, " + ", ".join(f"CASE WHEN list_contains(reason_codes, '{s}') THEN '{ {'GPA_RISK_HIGH': 'High GPA gap', 'DEADLINE_EXPIRED': 'Expired deadline'}.get(s, s.replace('_', ' ').title())}' END" for s in V.SEVERE) + ", CASE WHEN job_url IS NULL THEN 'Missing apply URL' END, CASE WHEN gpa_status = 'High GPA Gap' THEN 'High GPA gap' END, CASE WHEN gpa_status = 'Moderate GPA Gap' AND match_score < 90 THEN 'Moderate GPA gap and score below 90' END, CASE WHEN gpa_status = 'Slight GPA Gap' AND match_score < 80 THEN 'Slight GPA gap and score below 80' END)"
-_CODE = "CASE urgency_level " + " ".join(f"WHEN '{u}' THEN '{c}'" for u, c in V.DEADLINE_CODES.items()) + " END"
+_CODE = "CASE urgency_level " + " ".join(f"WHEN '{u}' THEN {c}" for u, c in V.DEADLINE_CODES.items()) + " END"
 
 WITH = f"WITH postings AS ({POSTINGS}), graded AS ({_GRADED}), scored AS ({_SCORED})"
 _DATED = f"""src AS (SELECT * FROM scored), due AS ({_DUE}),
-    moved AS (SELECT * EXCLUDE (match_score, match_category, recommendation, reason_codes), CASE WHEN deadline_points <> 0 THEN greatest(0, least(100, match_score + deadline_points)) ELSE match_score END AS match_score, list_concat(list_filter(reason_codes, lambda x: NOT starts_with(x, 'DEADLINE_')), [{_CODE}]) AS reason_codes FROM due),
+    moved AS (SELECT * EXCLUDE (match_score, match_category, recommendation, reason_codes), CASE WHEN deadline_points <> 0 THEN greatest(0, least(100, match_score + deadline_points)) ELSE match_score END AS match_score, list_concat(list_filter(reason_codes, lambda x: NOT starts_with(x, 'DEADLINE_')), {_CODE}) AS reason_codes FROM due),
     dated AS (SELECT *, {_CAT.format("match_score")} AS match_category, {_REC.format("match_score")} AS recommendation FROM moved),
     full_rows AS (SELECT *, {_REASON} AS reason FROM dated)"""
 WITH_ALL = f"{WITH}, {_DATED}"
@@ -201,11 +202,21 @@ def category_counts(spark, sf):
     return A.category_counts(_scored(spark, sf))
 
 
-@query(f"""{WITH_ALL} SELECT count(*) AS rows_total, count_if(reason IS NULL) AS apply_today, count_if(match_score >= 85) AS strong, count_if(match_score BETWEEN 75 AND 84) AS good, count_if(match_score BETWEEN 60 AND 74) AS possible,
+_KEY = "coalesce(nullif(lower(trim(job_url)), ''), coalesce(lower(trim(company)), '') || '|' || coalesce(lower(trim(job_title)), '') || '|' || coalesce(lower(trim(location)), ''))"
+#: All rows deduplicated before they are scored.
+WITH_BATCH = WITH_ALL.replace(f"postings AS ({POSTINGS})", f"""raw AS (SELECT *, {_KEY} AS k FROM ({POSTINGS})), longest AS (SELECT k, job_description_summary FROM raw QUALIFY row_number() OVER (PARTITION BY k ORDER BY length(coalesce(job_description_summary, '')) DESC, seq) = 1),
+    postings AS (SELECT r.* EXCLUDE (job_description_summary), l.job_description_summary FROM raw r JOIN longest l ON r.k = l.k QUALIFY row_number() OVER (PARTITION BY r.k ORDER BY seq) = 1)""")
+
+
+def _batch(spark, sf):
+    return R.batch(postings(spark, sf), TODAY, PROFILE)
+
+
+@query(f"""{WITH_BATCH} SELECT count(*) AS rows_total, count_if(reason IS NULL) AS apply_today, count_if(match_score >= 85) AS strong, count_if(match_score BETWEEN 75 AND 84) AS good, count_if(match_score BETWEEN 60 AND 74) AS possible,
     count_if(deadline_status = 'Expired') AS expired, count_if(deadline_status = 'Open') AS open, count_if(deadline_status = 'Unknown') AS unknown, count_if(urgency_level = 'High') AS urgent, count_if(urgency_level = 'Medium') AS soon,
     count_if(reason = 'Expired deadline' AND match_score >= 75) AS expired_removed, {", ".join(f"count_if(gpa_status = '{x}') AS gpa_{i}" for i, x in enumerate(V.GRADE_LABELS))}, 0 - count(*) + (SELECT count(*) FROM part) AS duplicates_removed FROM full_rows""")
 def run_summary(spark, sf):
-    return A.run_summary(_full(spark, sf), _table(spark, sf, "part").count())
+    return A.run_summary(_batch(spark, sf), _table(spark, sf, "part").agg(F.count("*")).scalar())
 
 
 _OLD = f"SELECT seq, job_url, job_title, company, data_confidence, CAST(seq * 13 % 101 AS INT) AS match_score FROM ({POSTINGS})"
@@ -236,10 +247,7 @@ def semantic_blend(spark, sf):
 @query(f"""{WITH} SELECT seq, CASE {" ".join(f"WHEN match_score >= {p[0]} THEN '{p[1]}'" for p in V.PRIORITIES[:-1])} ELSE '{V.PRIORITIES[-1][1]}' END AS priority, CASE {" ".join(f"WHEN match_score >= {p[0]} THEN '{p[2]}'" for p in V.PRIORITIES[:-1])} ELSE '{V.PRIORITIES[-1][2]}' END AS priority_recommendation,
     CASE {" ".join(f"WHEN match_score >= {p[0]} THEN '{p[3]}'" for p in V.PRIORITIES[:-1])} ELSE '{V.PRIORITIES[-1][3]}' END AS apply_notes, trim(job_title) AS job_title, coalesce(company, '') AS company, coalesce(salary, '') AS salary FROM scored""")
 def priority_export(spark, sf):
-    return P.wide(_scored(spark, sf)).select("seq", "priority", "priority_recommendation", "apply_notes", "job_title", "company", "salary")
-
-
-_KEY = "coalesce(nullif(lower(trim(job_url)), ''), coalesce(lower(trim(company)), '') || '|' || coalesce(lower(trim(job_title)), '') || '|' || coalesce(lower(trim(location)), ''))"
+    return P.priority_fields(_scored(spark, sf)).withColumns({c: T.clean(F.col(c)) for c in ("job_title", "company", "salary")}).select("seq", "priority", "priority_recommendation", "apply_notes", "job_title", "company", "salary")
 
 
 @query(f"WITH p AS ({POSTINGS}) SELECT seq, job_url, job_title FROM p QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY seq) = 1")
@@ -334,11 +342,11 @@ _ID = "substring(regexp_replace(lower(concat_ws('', {0}, {1}, location)), '[^a-z
 
 @query(f"""WITH p AS ({POSTINGS}), h AS (SELECT seq, {_ID.format("company", "job_title")} AS a, {_ID.format("job_title", "company")} AS b FROM p),
     l AS (SELECT a AS id, seq FROM h UNION SELECT b, seq FROM h), f AS (SELECT id, min(seq) AS history_seq FROM l GROUP BY id),
-    k AS (SELECT CASE WHEN seq % 2 = 0 THEN a ELSE b END AS id, seq AS board_seq FROM h WHERE seq % 3 = 0) SELECT board_seq, k.id, history_seq FROM k LEFT JOIN f USING (id)""")
+    k AS (SELECT CASE WHEN seq % 2 = 0 THEN a ELSE b END AS id, seq AS board_seq FROM h) SELECT board_seq, k.id, history_seq FROM k LEFT JOIN f USING (id)""")
 def either_key_join(spark, sf):
     p = postings(spark, sf)
     ids = p.select("seq", T.slug(F.col("company"), F.col("job_title"), F.col("location")).alias("a"), T.slug(F.col("job_title"), F.col("company"), F.col("location")).alias("b"))
-    keys = ids.where("seq % 3 = 0").select(F.when(F.col("seq") % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("id"), F.col("seq").alias("board_seq"))
+    keys = ids.select(F.when(F.col("seq") % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("id"), F.col("seq").alias("board_seq"))
     history = ids.withColumn("history_seq", F.col("seq"))
     return B.by_either(keys, history, "id", ["a", "b"], "seq").select("board_seq", "id", "history_seq")
 
@@ -355,9 +363,9 @@ def semi_applied(spark, sf):
     return postings(spark, sf).select("seq", "company").join(done, "seq", "left_semi")
 
 
-@query("WITH d AS (SELECT CAST(unnest(generate_series(DATE '2024-02-15' - 83, DATE '2024-02-15', INTERVAL 1 DAY)) AS DATE) AS day), c AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'click' AND user_id % 50 = 0 GROUP BY 1) SELECT CAST(d.day AS VARCHAR) AS day, coalesce(n, 0) AS n, least(coalesce(n, 0), 4) AS level FROM d LEFT JOIN c USING (day)")
+@query("WITH d AS (SELECT CAST(unnest(generate_series(DATE '2024-02-15' - 83, DATE '2024-02-15', INTERVAL 1 DAY)) AS DATE) AS day), c AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1) SELECT CAST(d.day AS VARCHAR) AS day, coalesce(n, 0) AS n, least(coalesce(n, 0), 4) AS level FROM d LEFT JOIN c USING (day)")
 def heatmap_84d(spark, sf):
-    e = _table(spark, sf, "events").where("event_type = 'click' AND user_id % 50 = 0")
+    e = _table(spark, sf, "events").where("event_type = 'click'")
     return A.heat_map(e, "2024-02-15").withColumn("day", F.col("day").cast("string"))
 
 
@@ -373,9 +381,9 @@ def top_industries(spark, sf):
     return rows.groupBy(F.coalesce("c_mktsegment", F.lit("Other")).alias("industry")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "industry").limit(5)
 
 
-@query(f"WITH postings AS ({POSTINGS}), graded AS ({_GRADED}) SELECT label, place, (SELECT count(*) FROM graded WHERE gpa_status = label AND seq % 7 = 0) AS n FROM (VALUES {', '.join(f'''('{x}', {i})''' for i, x in enumerate(V.GRADE_LABELS))}) t(label, place)")
+@query(f"WITH postings AS ({POSTINGS}), graded AS ({_GRADED}) SELECT label, place, (SELECT count(*) FROM graded WHERE gpa_status = label) AS n FROM (VALUES {', '.join(f'''('{x}', {i})''' for i, x in enumerate(V.GRADE_LABELS))}) t(label, place)")
 def dense_labels(spark, sf):
-    return A.dense_counts(_graded(spark, sf).where("seq % 7 = 0"), "gpa_status", V.GRADE_LABELS, "No GPA Listed")
+    return A.dense_counts(_graded(spark, sf), "gpa_status", V.GRADE_LABELS, "No GPA Listed")
 
 
 @query(f"""{WITH}, u AS (SELECT seq, aspect, value FROM (SELECT seq, job_title, CAST(match_score AS VARCHAR) AS match_score, match_category, coalesce(location, '~') AS location FROM scored WHERE seq IN (1, 2, 3)) UNPIVOT (value FOR aspect IN (job_title, match_score, match_category, location)))
@@ -416,14 +424,14 @@ def notification(spark, sf):
     return R.announced(_full(spark, sf)).select("seq", "match_score")
 
 
-@query(f"{WITH} SELECT seq FROM scored WHERE (salary IS NULL)::INT + (company IS NULL)::INT + (location IS NULL)::INT + (deadline IS NULL)::INT >= 2 AND data_confidence < 65 AND match_score >= 55")
+@query(f"{WITH} SELECT seq FROM scored WHERE 1 + (salary IS NULL)::INT + (company IS NULL)::INT + (deadline IS NULL)::INT >= 2 AND data_confidence < 65 AND match_score >= 55")
 def needs_enrichment(spark, sf):
     return R.needs_enrichment(_scored(spark, sf)).select("seq")
 
 
-@query(f"{WITH} SELECT seq FROM scored WHERE data_confidence < 60 OR salary IS NULL OR list_has_any(reason_codes, ['GPA_RISK', 'MAJOR_RISK', 'VAGUE_JD']) ORDER BY seq LIMIT 10")
+@query(f"{WITH} SELECT seq FROM scored WHERE data_confidence < 60 OR salary IS NULL OR list_has_any(reason_codes, ['GPA_RISK', 'MAJOR_RISK', 'VAGUE_JD']) ORDER BY match_score DESC, data_confidence DESC, date_posted ASC NULLS LAST, company ASC NULLS FIRST, seq LIMIT 10")
 def manual_review_top10(spark, sf):
-    return R.manual_review(_scored(spark, sf)).select("seq").orderBy("seq").limit(10)
+    return R.manual_review(_scored(spark, sf)).orderBy(*R.rank_order()).limit(10).select("seq")
 
 
 @query("WITH s AS (SELECT user_id AS id, max_by(event_type, event_id) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1), l AS (SELECT user_id AS id, max_by(event_type, event_id) AS v FROM events WHERE event_id % 2 = 1 GROUP BY 1) SELECT id, coalesce(l.v, s.v) AS v FROM s FULL JOIN l USING (id)")
@@ -468,17 +476,21 @@ def open_histogram(spark, sf):
     return A.open_counts(_table(spark, sf, "events"), "event_type", "event_id")
 
 
-_LD = [
-    (1, '<script type="application/ld+json">{"@type":"JobPosting","title":"A","hiringOrganization":{"name":"Org"},"jobLocation":{"address":{"addressLocality":"Jakarta","addressRegion":"DKI"}},"baseSalary":{"value":{"minValue":5,"maxValue":7,"unitText":"MONTH"}},"validThrough":"2026-05-31"}</script>'),
-    (2, '<script type="application/ld+json">broken {</script><script type="application/ld+json">[{"@type":"Thing"},{"@type":"JobPosting","title":"B","hiringOrganization":"Org B","jobLocation":"Bandung","baseSalary":4}]</script>'),
-    (3, '<script type="application/ld+json">{"@graph":[{"@type":"JobPosting","title":"C","jobLocation":[1],"baseSalary":{"value":9}},{"@type":"JobPosting","title":"D"}]}</script>'),
-    (4, "<p>nothing</p>"),
+_LD_OPEN, _LD_END = '<script type="application/ld+json">', "</script>"
+_LD_CASES = [
+    f"""concat('{_LD_OPEN}{{"@type":"JobPosting","title":"', p_name, '","hiringOrganization":{{"name":"Org ', CAST({_K} % 9 AS STRING), '"}},"jobLocation":{{"address":{{"addressLocality":"Jakarta","addressRegion":"DKI"}}}},"baseSalary":{{"value":{{"minValue":', CAST({_K} % 5 AS STRING), ',"maxValue":7,"unitText":"MONTH"}}}},"validThrough":"2026-05-31","datePosted":"2026-05-01","employmentType":"FULL"}}{_LD_END}')""",
+    f"""concat('{_LD_OPEN}broken {{{_LD_END}{_LD_OPEN}[{{"@type":"Thing"}},{{"@type":"JobPosting","title":"', p_name, '","hiringOrganization":"', p_brand, '","jobLocation":"Bandung","baseSalary":', CAST({_K} % 7 AS STRING), '}}]{_LD_END}')""",
+    f"""concat('{_LD_OPEN}{{"@graph":[{{"@type":"JobPosting","title":"', p_name, '","jobLocation":[1],"baseSalary":{{"value":9}},"description":"d', CAST({_K} AS STRING), '"}},{{"@type":"JobPosting","title":"D"}}]}}{_LD_END}')""",
+    "<p>nothing</p>",
 ]
+_LD_HTML = _case(_K, 4, _LD_CASES)
 
 
-@query("SELECT * FROM (VALUES (1, 'A', 'Org', 'Jakarta', '2026-05-31', '5-7 MONTH'), (2, 'B', 'Org B', 'Bandung', NULL, '4'), (3, 'C', NULL, NULL, NULL, '9')) t(page_id, job_title, company, location, deadline, salary)")
+@query(f"""SELECT {_K} AS page_id, p_name AS job_title, CASE {_K} % 4 WHEN 0 THEN 'Org ' || ({_K} % 9) WHEN 1 THEN p_brand END AS company, CASE {_K} % 4 WHEN 0 THEN 'Jakarta' WHEN 1 THEN 'Bandung' END AS location, CASE {_K} % 4 WHEN 0 THEN '2026-05-31' END AS deadline,
+    CASE {_K} % 4 WHEN 0 THEN '2026-05-01' END AS date_posted, CASE {_K} % 4 WHEN 0 THEN 'FULL' END AS employment_type, CASE {_K} % 4 WHEN 2 THEN 'd' || {_K} END AS description, CASE {_K} % 4 WHEN 0 THEN ({_K} % 5) || '-7 MONTH' WHEN 1 THEN ({_K} % 7)::VARCHAR ELSE '9' END AS salary FROM part WHERE {_K} % 4 <> 3""")
 def jsonld_extract(spark, sf):
-    return G.job_ld(spark.createDataFrame(_LD, "page_id int, html string")).select("page_id", "job_title", "company", "location", "deadline", "salary")
+    pages = _table(spark, sf, "part").selectExpr(f"{_K} AS page_id", f"{_LD_HTML} AS html")
+    return G.job_ld(pages).select("page_id", "job_title", "company", "location", "deadline", "date_posted", "employment_type", "description", "salary")
 
 
 @query(f"{WITH_ALL} SELECT row_number() OVER (ORDER BY match_score DESC, data_confidence DESC, CASE deadline_status WHEN 'Open' THEN 0 WHEN 'Unknown' THEN 1 ELSE 2 END, CASE urgency_level WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 WHEN 'Low' THEN 2 WHEN 'Unknown' THEN 3 ELSE 4 END, company ASC NULLS FIRST, job_title, seq) AS rank, seq FROM full_rows")
@@ -486,20 +498,327 @@ def deadline_ranks(spark, sf):
     return A.ranked(_full(spark, sf).select("seq", "match_score", "data_confidence", "deadline_status", "urgency_level", "company", "job_title"), *R.deadline_order()).select("rank", "seq")
 
 
-# The operators of three queries above that read a part of the rows, over whole tables.
-@query(ORACLES["heatmap_84d"].replace(" AND user_id % 50 = 0", ""))
-def heatmap_84d_whole(spark, sf):
-    return A.heat_map(_table(spark, sf, "events").where("event_type = 'click'"), "2024-02-15").withColumn("day", F.col("day").cast("string"))
+# --- more of the batch, its summaries and its lists
 
+_COUNTS = ", ".join(f"count_if({c}) AS {n}" for n, c in {
+    "strong_match_count": "match_score >= 85", "good_match_count": "match_score >= 75 AND match_score < 85", "possible_match_count": "match_score >= 60 AND match_score < 75", "weak_match_count": "match_score >= 45 AND match_score < 60", "not_recommended_count": "match_score < 45",
+    "gpa_priority_match_count": "gpa_status = 'Priority GPA Match'", "gpa_meets_count": "gpa_status = 'Meets GPA'", "gpa_slight_gap_count": "gpa_status = 'Slight GPA Gap'", "gpa_moderate_gap_count": "gpa_status = 'Moderate GPA Gap'", "gpa_high_gap_count": "gpa_status = 'High GPA Gap'",
+    "gpa_not_listed_count": "gpa_status = 'No GPA Listed'", "gpa_qualitative_count": "gpa_status = 'Qualitative GPA Requirement'", "scores_changed_by_gpa_count": "gpa_status <> 'No GPA Listed'",
+}.items())
+_DUE_COUNTS = ", ".join(f"count_if({c}) AS {n}" for n, c in {
+    "deadline_open_count": "deadline_status = 'Open'", "deadline_expired_count": "deadline_status = 'Expired'", "deadline_unknown_count": "deadline_status = 'Unknown'", "deadline_urgent_high_count": "urgency_level = 'High'", "deadline_urgent_medium_count": "urgency_level = 'Medium'",
+    "scores_changed_by_deadline_count": "deadline_points <> 0", "expired_removed_from_apply_today_count": "reason = 'Expired deadline'", "total_apply_today": "reason IS NULL",
+}.items())
+_START, _END = "2026-05-24 08:00:00", "2026-05-24 08:11:43"
 
-@query(ORACLES["dense_labels"].replace(" AND seq % 7 = 0", ""))
-def dense_labels_whole(spark, sf):
-    return A.dense_counts(_graded(spark, sf), "gpa_status", V.GRADE_LABELS, "No GPA Listed")
 
+def _times():
+    return F.lit(_START).cast("timestamp_ntz"), F.lit(_END).cast("timestamp_ntz")
 
-@query(ORACLES["either_key_join"].replace(" WHERE seq % 3 = 0", ""))
-def either_key_join_whole(spark, sf):
-    p = postings(spark, sf)
-    ids = p.select("seq", T.slug(F.col("company"), F.col("job_title"), F.col("location")).alias("a"), T.slug(F.col("job_title"), F.col("company"), F.col("location")).alias("b"))
-    keys = ids.select(F.when(F.col("seq") % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("id"), F.col("seq").alias("board_seq"))
-    return B.by_either(keys, ids.withColumn("history_seq", F.col("seq")), "id", ["a", "b"], "seq").select("board_seq", "id", "history_seq")
+
+@query(f"{WITH_BATCH} SELECT seq, match_score, match_category, recommendation, origin, duplicate_group, array_to_string(reason_codes, ', ') AS reason_codes, reason FROM (SELECT f.*, CASE WHEN c > 1 THEN 'merged_duplicate' ELSE 'single' END AS origin, CASE WHEN c > 1 THEN f.k END AS duplicate_group FROM full_rows f JOIN (SELECT k, count(*) AS c FROM raw GROUP BY k) g ON f.k = g.k)")
+def batch_rows(spark, sf):
+    return _batch(spark, sf).select("seq", "match_score", "match_category", "recommendation", "origin", "duplicate_group", _joined("reason_codes", ", "), "reason")
+
+
+@query(f"""{WITH_BATCH} SELECT count(*) AS total_exported, {_COUNTS}, {_DUE_COUNTS}, 7 + (SELECT count(*) FROM part) - count(*) AS duplicates_removed, 7 AS previous_rows_loaded, any_value((SELECT count(*) FROM part)) AS new_rows_loaded, 20 AS total_links_discovered, 19 AS total_successful_detail_pages,
+    7 AS historical_rows_loaded, any_value(7 + (SELECT count(*) FROM part)) AS total_rows_before_dedup, 20 AS total_detail_pages_attempted, 1 AS total_detail_pages_failed, 'r1' AS run_id, 703 AS duration_seconds FROM full_rows""")
+def full_run_summary(spark, sf):
+    n = _table(spark, sf, "part").count()
+    loaded = {"previous_rows_loaded": 7, "new_rows_loaded": n, "total_links_discovered": 20, "total_successful_detail_pages": 19}
+    return A.full_summary(_batch(spark, sf), loaded, {"run_id": "r1"}, *_times()).drop("started_at", "finished_at")
+
+
+_READY = "match_score >= 75 AND coalesce(data_confidence, 0) >= 60 AND recommendation IN ('Apply', 'Apply / Maybe')"
+
+
+@query(f"{WITH} SELECT count(*) AS total_exported, {_COUNTS}, count_if({_READY} AND gpa_status <> 'High GPA Gap') AS total_apply_today, count(*) AS previous_rows_loaded, count(*) AS total_rows_before_dedup, 0 AS new_rows_loaded, 0 AS duplicates_removed, 'gpa_rescore' AS run_type, 703 AS duration_seconds FROM scored")
+def rescore_summary(spark, sf):
+    return A.rescore_summary(_scored(spark, sf), None, *_times()).drop("started_at", "finished_at")
+
+
+@query(f"""{WITH_ALL} SELECT count(*) AS total_jobs_audited, count_if(gpa_status IN ('Priority GPA Match', 'Meets GPA', 'No GPA Listed')) AS gpa_ok, count_if(contains(gpa_status, 'GPA Gap')) AS gpa_above, count_if(coalesce(job_description_summary, '') = '' AND coalesce(requirements, '') = '') AS no_description,
+    0 AS enriched_rows, {_COUNTS}, {_DUE_COUNTS}, 'one_pass_audit' AS run_type FROM full_rows""")
+def audit_summary(spark, sf):
+    return A.audit_summary(_full(spark, sf))
+
+
+@query(f"{WITH} SELECT count_if({_READY}) AS report, count_if({_READY} AND gpa_status <> 'High GPA Gap') AS without_severe, count_if({_READY} AND gpa_status <> 'High GPA Gap' AND NOT list_has_any(reason_codes, [{', '.join(repr(x) for x in V.SEVERE_EXPORT)}])) AS both FROM scored")
+def ready_counts(spark, sf):
+    return A.ready_counts(_scored(spark, sf))
+
+
+_RANK = "match_score DESC, data_confidence DESC, date_posted ASC NULLS LAST, company ASC NULLS FIRST, seq"
+
+
+@query(f"{WITH} SELECT seq FROM scored WHERE recommendation = 'Skip' OR list_has_any(reason_codes, ['EXPERIENCE_TOO_HIGH', 'COMMISSION_ONLY', 'UNPAID_INTERNSHIP']) ORDER BY {_RANK} LIMIT 10")
+def skip_top10(spark, sf):
+    return R.skipped(_scored(spark, sf)).orderBy(*R.rank_order()).limit(10).select("seq")
+
+
+@query(f"{WITH_ALL} SELECT seq, gpa_status, deadline_status FROM full_rows WHERE deadline_status = 'Unknown' OR gpa_status IN ('No GPA Listed', 'Qualitative GPA Requirement') OR data_confidence < 60 OR job_url IS NULL")
+def wide_review(spark, sf):
+    return R.wide_review(_full(spark, sf), with_url=True).select("seq", "gpa_status", "deadline_status")
+
+
+@query(f"{WITH}, f AS (SELECT * FROM scored WHERE contains(lower(concat_ws(' ', job_title, company, location, array_to_string(why_match, '; '))), 'logistics')) SELECT seq, match_score, (SELECT count(*) FROM f) AS total_found FROM f ORDER BY {_RANK} LIMIT 5")
+def search_found(spark, sf):
+    return R.search(_scored(spark, sf), "Logistics").select("seq", "match_score", "total_found")
+
+
+_HITS = _list(*[f"CASE WHEN contains(lower(concat_ws(' ', job_title, job_description_summary, requirements)), '{w}') THEN '{w}' END" for w in [*V.POSITIVE, *V.POSITIVE_LOCAL]])
+_MISSES = _list(*[f"CASE WHEN contains(lower(concat_ws(' ', job_title, job_description_summary, requirements)), '{w}') THEN '{w}' END" for w in V.NEGATIVE])
+
+
+def _with_keywords(df):
+    low = F.lower(F.concat_ws(" ", "job_title", "job_description_summary", "requirements"))
+    return df.withColumns({"keywords_found": T.all_in(low, [*V.POSITIVE, *V.POSITIVE_LOCAL]), "negative_keywords_found": T.all_in(low, V.NEGATIVE)})
+
+
+@query(f"WITH postings AS ({POSTINGS}) SELECT seq, array_to_string({_HITS}, ', ') AS keywords_found, array_to_string({_MISSES}, ', ') AS negative_keywords_found FROM postings")
+def vocabulary_hits(spark, sf):
+    return _with_keywords(postings(spark, sf)).select("seq", _joined("keywords_found", ", "), _joined("negative_keywords_found", ", "))
+
+
+@query(f"{WITH} SELECT DISTINCT unnest(h) AS keyword FROM (SELECT {_HITS} AS h FROM scored ORDER BY {_RANK} LIMIT 5) ORDER BY keyword LIMIT 15")
+def keywords_top5(spark, sf):
+    return R.keywords_of_top(_with_keywords(_scored(spark, sf)))
+
+
+@query(f"{WITH}, m AS {_CHOSEN}, b AS (SELECT s.*, CASE WHEN m.seq IS NULL THEN CAST(match_score AS DECIMAL(5,1)) ELSE CAST(round(match_score * 0.4 + semantic_score * 0.6, 1) AS DECIMAL(5,1)) END AS b FROM scored s LEFT JOIN m ON s.seq = m.seq) SELECT row_number() OVER (ORDER BY b DESC, data_confidence DESC, date_posted ASC NULLS LAST, company ASC NULLS FIRST, seq) AS rank, seq, CAST(b AS DOUBLE) AS match_score FROM b")
+def blended_ranks(spark, sf):
+    model = lambda df: df.select("seq", (F.col("seq") * 31 % 101).cast("int").alias("semantic_score"))
+    rows = R.with_model(_scored(spark, sf), model).select("seq", "match_score", "data_confidence", "date_posted", "company")
+    return A.ranked(rows, *R.rank_order()).select("rank", "seq", F.col("match_score").cast("double").alias("match_score"))
+
+
+# --- exports
+
+def _cell(c: str, other: str = V.NOT_LISTED) -> str:
+    return f"coalesce(CAST({c} AS VARCHAR), '{other}')"
+
+
+_EXPORT = {
+    "Rank": _cell("rank"), "Score": _cell("match_score"), "Match Category": "match_category", "Recommendation": "recommendation", "Job Title": _cell("job_title"), "Company": _cell("company"), "Location": _cell("location"), "Source": f"'{V.NOT_LISTED}'", "Link": _cell("job_url"),
+    "Why Match": f"coalesce(nullif(array_to_string(why_match, '; '), ''), '{V.NOT_LISTED}')", "Gaps / Concerns": "coalesce(nullif(array_to_string(gaps, '; '), ''), 'None detected')", "Suggested CV Tailoring": "tailoring", "reason_codes": "array_to_string(reason_codes, ', ')", "data_confidence": _cell("data_confidence"),
+    "scrape_status": f"'{V.NOT_LISTED}'", "run_id": "'r1'", "gpa_required": _cell("g"), "gpa_gap": _cell("CAST(gpa_gap AS DECIMAL(4,2))"), "gpa_status": "gpa_status", "gpa_note": "gpa_note", "salary_ai_extracted": f"'{V.NOT_LISTED}'",
+}
+_EXPORT_DUE = {"deadline_parsed": _cell("due"), "deadline_status": "deadline_status", "days_until_deadline": _cell("n"), "urgency_level": "urgency_level", "deadline_note": "deadline_note", "not_apply_today_reason": "coalesce(reason, '')"}
+_VARIANT = "CASE WHEN contains(lower(job_title), 'sales') AND contains(lower(job_title), 'trainee') THEN 'sales' WHEN contains(lower(job_title), 'retail') OR contains(lower(job_title), 'store') THEN 'retail' WHEN contains(lower(job_title), 'business development') THEN 'development' {} WHEN contains(lower(job_title), 'bumn') OR contains(lower(job_title), 'pertamina') OR contains(lower(job_title), 'pln') THEN 'formal' ELSE 'general' END"
+_NOTES = f"""*, 'Document: ' || {_VARIANT.format("")} || '. Highlight ' || CASE WHEN len(skills) > 0 THEN array_to_string(skills[1:3], ', ') ELSE 'operational leadership' END AS tailoring,
+    CASE {" ".join(f"WHEN g <= {b[0]} THEN 'GPA 3.29 {says} ' || g" for b, says in zip(V.GRADE_BANDS, V.GRADE_NOTES))} WHEN phrase THEN 'Only qualitative academic requirement detected' ELSE 'No GPA requirement detected' END AS gpa_note,
+    CASE WHEN n < 0 THEN 'Expired ' || abs(n) || ' days ago (' || due || ')' WHEN n <= 3 THEN 'Urgent! ' || n || ' days left (' || due || ')' WHEN n IS NOT NULL THEN n || ' days left (' || due || ')' ELSE 'No deadline detected' END AS deadline_note"""
+_NUMBERED = f"{WITH_ALL}, numbered AS (SELECT {_NOTES}, row_number() OVER (ORDER BY {_RANK}) AS rank FROM full_rows)"
+
+
+def _numbered(spark, sf):
+    return A.ranked(_full(spark, sf).withColumn("run_id", F.lit("r1")), *R.rank_order())
+
+
+@query(f"{_NUMBERED} SELECT " + ", ".join(f'{v} AS "{k}"' for k, v in _EXPORT.items()) + " FROM numbered WHERE reason IS NULL")
+def apply_today_export(spark, sf):
+    return P.rendered(_numbered(spark, sf).where("reason is null"), P.RANKED)
+
+
+@query(f"{_NUMBERED} SELECT " + ", ".join(f'{v} AS "{k}"' for k, v in (_EXPORT | _EXPORT_DUE).items()) + " FROM numbered")
+def audit_export(spark, sf):
+    return P.rendered(_numbered(spark, sf), P.AUDIT)
+
+
+_BLANK = lambda c: f"coalesce(trim(CAST({c} AS VARCHAR)), '')"
+_PRIORITY = lambda at: f"CASE {' '.join(f'''WHEN match_score >= {p[0]} THEN '{p[at]}' ''' for p in V.PRIORITIES[:-1])} ELSE '{V.PRIORITIES[-1][at]}' END"
+_WIDE_CELLS = {name: "''" for name in P.WIDE} | {
+    "rank": "rank", "score": "match_score", "super_aggressive_priority": _PRIORITY(1), "super_aggressive_recommendation": _PRIORITY(2), "apply_notes": _PRIORITY(3), "match_category": "match_category", "job_title": _BLANK("job_title"), "company_name": _BLANK("company"), "location": _BLANK("location"),
+    "job_link": _BLANK("job_url"), "date_posted": _BLANK("date_posted"), "salary_min": _BLANK("salary"), "parsing_confidence": "data_confidence", "match_reasons": _BLANK("array_to_string(why_match, '; ')"), "gaps": _BLANK("array_to_string(gaps, '; ')"), "red_flags": _BLANK("array_to_string(reason_codes, ', ')"),
+    "cv_tailoring_notes": "tailoring", "job_description": _BLANK("job_description_summary"), "requirements": _BLANK("requirements"), "data_origin": "'scraper'", "gpa_required": _BLANK("g"), "gpa_gap": _BLANK("CAST(gpa_gap AS DECIMAL(4,2))"), "gpa_status": "gpa_status", "gpa_note": "gpa_note",
+}
+
+
+@query(f"{_NUMBERED} SELECT " + ", ".join(f"{v} AS {k}" for k, v in _WIDE_CELLS.items()) + " FROM numbered")
+def wide_export(spark, sf):
+    return P.wide(_numbered(spark, sf))
+
+
+# --- texts
+
+@query(f"WITH p AS ({POSTINGS}) SELECT seq, {_VARIANT.format('')} AS variant, {_VARIANT.format('WHEN seq % 2 = 0 THEN ' + repr('english'))} AS variant_en FROM p")
+def document_variants(spark, sf):
+    one = lambda language=None: T.document_variant(F.col("job_title"), PROFILE.variants, PROFILE.variant, language)
+    return postings(spark, sf).select("seq", one().alias("variant"), one(F.when(F.col("seq") % 2 == 0, "en")).alias("variant_en"))
+
+
+@query(f"{WITH} SELECT seq, industry, len(why_match) AS parts, CASE WHEN gpa_status IN ('Meets GPA', 'Priority GPA Match', 'No GPA Listed') THEN 'ok' WHEN contains(gpa_status, 'Slight') THEN 'warn' WHEN contains(gpa_status, 'High') THEN 'bad' ELSE 'note' END AS mark FROM scored")
+def explanation_parts(spark, sf):
+    rows = _scored(spark, sf).withColumn("why", F.array_join("why_match", "; "))
+    return rows.select("seq", T.industry_of(F.col("why")).alias("industry"), F.size(T.parts(F.col("why"))).alias("parts"), T.grade_mark(F.col("gpa_status")).alias("mark"))
+
+
+_TITLED = f"SELECT seq, {_case('seq', 7, ['MT @ PT Maju Jaya (2026)', 'Trainee - Jakarta', 'Staff – PT Sinar Abadi - Bandung', 'Loker di PT Tani Makmur', 'MT dari PT Boga.', 'Management Trainee - Kawan Baru Group', 'ODP – Dharma Metal (batch 2)'])} AS job_title, concat(coalesce(location, ''), ' and Bandung, or Surabaya') AS body FROM p"
+_NAMED = "coalesce(" + ", ".join(f"nullif(regexp_replace(trim(regexp_extract(job_title, {_q(x)}, 1)), '[.,]+$', ''), '')" for x in V.COMPANY_IN_TITLE) + ")"
+
+
+@query(f"WITH p AS ({POSTINGS}), t AS ({_TITLED}) SELECT seq, {_NAMED} AS company, upper(c[1]) || c[2:] AS city FROM (SELECT *, {_first('lower(body)', V.CITIES)} AS c FROM t)")
+def title_companies(spark, sf):
+    postings(spark, sf).createOrReplaceTempView("p")
+    return spark.sql(_TITLED).select("seq", T.company_of_title(F.col("job_title")).alias("company"), T.city(F.col("body")).alias("city"))
+
+
+@query(f"WITH p AS ({POSTINGS}) SELECT seq, strftime(TIMESTAMP '{_START}' + to_seconds(seq), '%Y%m%d_%H%M%S') AS run_id, strftime(TIMESTAMP '{_START}' + to_seconds(seq), '%Y-%m-%d_%H-%M-%S') AS folder, date_diff('second', TIMESTAMP '{_START}' + to_seconds(seq), TIMESTAMP '{_END}') AS seconds FROM p")
+def run_names(spark, sf):
+    start, end = _times()
+    at = (start + F.make_dt_interval(secs=F.col("seq"))).cast("timestamp_ntz")
+    run_id, folder = R.run_names(at)
+    return postings(spark, sf).select("seq", run_id.alias("run_id"), folder.alias("folder"), R.duration(at, end).alias("seconds"))
+
+
+# --- boards
+
+@query(f"WITH b AS (SELECT * FROM (SELECT id, arg_max(struct_pack(s := status), struct_pack(a := ts, b := seq)).s AS status FROM ({_BOARD}) GROUP BY id) WHERE status IS NOT NULL) SELECT {', '.join(f'''count_if(status = '{s}') AS {s}''' for s in V.BOARD_STATUSES)}, count(*) AS total FROM b")
+def board_status_counts(spark, sf):
+    return B.status_counts(B.latest(_board(spark, sf), "id", "status", "ts", "seq"), V.BOARD_STATUSES)
+
+
+@query(f"{WITH_ALL} SELECT count_if(reason IS NULL) AS apply_today, count_if(match_score >= 85) AS strong, count_if(match_score >= 75 AND match_score < 85) AS good, count_if(match_score >= 60 AND match_score < 75) AS possible, (SELECT count(*) FROM (SELECT id, arg_max(struct_pack(s := status), struct_pack(a := ts, b := seq)).s AS status FROM ({_BOARD}) GROUP BY id) WHERE status IS NOT NULL) AS applied FROM full_rows")
+def overview(spark, sf):
+    return A.overview(_full(spark, sf), B.latest(_board(spark, sf), "id", "status", "ts", "seq"))
+
+
+@query(f"{WITH}, v AS (SELECT 'location' AS kind, trim(unnest(string_split(location, ','))) AS value FROM scored UNION ALL SELECT 'industry', industry FROM scored) SELECT DISTINCT kind, value FROM v WHERE value <> ''")
+def filter_values(spark, sf):
+    return A.filter_values(_scored(spark, sf).withColumn("industry", T.industry_of(F.array_join("why_match", "; "))))
+
+
+_REMIND = "SELECT user_id AS id, max(ts) AS remind_at FROM events WHERE event_type IN ('view', 'click') GROUP BY 1"
+_NOW = "2024-01-29 12:00:00"
+
+
+@query(f"""WITH p AS ({POSTINGS}), r AS ({_REMIND}), b AS (SELECT id, arg_max(struct_pack(s := status), struct_pack(a := ts, b := seq)).s AS status FROM ({_BOARD}) GROUP BY id),
+    a AS (SELECT seq, status, CAST(floor(epoch(remind_at)) AS BIGINT) - CAST(epoch(TIMESTAMP '{_NOW}') AS BIGINT) AS s FROM p JOIN r ON p.seq = r.id JOIN b ON p.seq = b.id WHERE status IS NOT NULL AND status <> 'result')
+    SELECT seq, status, s <= 0 AS is_past, CASE WHEN s > 0 THEN s // 86400 END AS days, CASE WHEN s > 0 THEN s % 86400 // 3600 END AS hours, CASE WHEN s > 0 THEN s % 3600 // 60 END AS minutes,
+    CASE WHEN s <= 0 THEN 'past' WHEN s >= 86400 THEN (s // 86400) || ' days ' || (s % 86400 // 3600) || ' hours' WHEN s >= 3600 THEN (s // 3600) || ' hours ' || (s % 3600 // 60) || ' minutes' ELSE (s // 60) || ' minutes' END AS label FROM a""")
+def agenda(spark, sf):
+    reminders = _table(spark, sf, "events").where("event_type in ('view', 'click')").groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("remind_at"))
+    board = B.latest(_board(spark, sf), "id", "status", "ts", "seq")
+    rows = B.agenda(postings(spark, sf).withColumnRenamed("seq", "id"), reminders, board, "id").orderBy("remind_at", "id")
+    left = B.countdown(F.date_trunc("second", "remind_at").cast("timestamp_ntz"), F.lit(_NOW).cast("timestamp_ntz"))
+    return rows.select(F.col("id").alias("seq"), "status", *[c.alias(n) for n, c in left.items()])
+
+
+_BOTH = f"h AS (SELECT seq, job_title, {_ID.format('company', 'job_title')} AS a, {_ID.format('job_title', 'company')} AS b FROM p)"
+_ONE = "(SELECT id, min_by(job_title, seq) AS job_title, min(seq) AS seq FROM (SELECT a AS id, seq, job_title FROM h WHERE {0} UNION SELECT b, seq, job_title FROM h WHERE {0}) GROUP BY id)"
+
+
+@query(f"""WITH p AS ({POSTINGS}), {_BOTH}, k AS (SELECT DISTINCT CASE seq % 3 WHEN 0 THEN a WHEN 1 THEN b ELSE 'gone' || seq END AS id FROM h)
+    SELECT k.id, CASE WHEN c.seq IS NOT NULL THEN 'current' WHEN o.seq IS NOT NULL THEN 'history' ELSE 'none' END AS origin, coalesce(c.seq, o.seq) AS seq, coalesce(c.job_title, o.job_title, 'Tracked record (' || substring(k.id, 1, 12) || ')') AS job_title
+    FROM k LEFT JOIN {_ONE.format('seq % 2 = 0')} c ON k.id = c.id LEFT JOIN {_ONE.format('seq % 2 = 1')} o ON k.id = o.id""")
+def tracked_board(spark, sf):
+    ids = postings(spark, sf).select("seq", "job_title", T.slug(F.col("company"), F.col("job_title"), F.col("location")).alias("a"), T.slug(F.col("job_title"), F.col("company"), F.col("location")).alias("b"))
+    key = F.when(F.col("seq") % 3 == 0, F.col("a")).when(F.col("seq") % 3 == 1, F.col("b")).otherwise(F.concat(F.lit("gone"), "seq"))
+    rows = B.tracked(ids.select(key.alias("id")).distinct(), ids.where("seq % 2 = 0"), ids.where("seq % 2 = 1"), "id", ["a", "b"])
+    return B.with_placeholders(rows, "id").select("id", "origin", "seq", "job_title")
+
+
+@query(f"WITH p AS ({POSTINGS}) SELECT seq, 'fresh' AS run FROM p WHERE seq % 3 <> 0 UNION ALL SELECT seq, 'old' FROM p WHERE seq % 2 = 0 AND seq % 3 = 0")
+def history_merge(spark, sf):
+    rows = postings(spark, sf).select("seq")
+    return B.kept_history(rows.where("seq % 2 = 0").withColumn("run", F.lit("old")), rows.where("seq % 3 <> 0").withColumn("run", F.lit("fresh")), "seq")
+
+
+@query("WITH e AS (SELECT user_id % 40 AS d, event_id, event_type = 'error' OR user_id % 40 < 3 AS failed FROM events), h AS (SELECT d, count(*) AS total, count_if(failed) AS errors FROM e GROUP BY d) SELECT event_id FROM e WHERE d NOT IN (SELECT d FROM h WHERE total >= 3 AND errors / total > 0.8)")
+def blocked_sources(spark, sf):
+    e = _table(spark, sf, "events").select((F.col("user_id") % 40).alias("d"), "event_id", ((F.col("event_type") == "error") | (F.col("user_id") % 40 < 3)).alias("failed"), F.lit(1).alias("run"))
+    return B.without_blocked(e, B.health(e, "d", "run", F.col("failed")), "d").select("event_id")
+
+
+# --- caches and models
+
+_FRESH = "SELECT user_id AS k, max(ts) AS ts FROM events GROUP BY 1 HAVING max(ts) > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 14 DAY"
+
+
+def _cache(spark, sf):
+    return _table(spark, sf, "events").select(F.col("user_id").alias("seq"), "ts", F.col("event_type").alias("data"))
+
+
+@query(f"{WITH} SELECT seq FROM scored WHERE 1 + (salary IS NULL)::INT + (company IS NULL)::INT + (deadline IS NULL)::INT >= 2 AND data_confidence < 65 AND match_score >= 55 AND seq NOT IN (SELECT k FROM ({_FRESH})) ORDER BY {_RANK} LIMIT 10")
+def enrichment_batch(spark, sf):
+    return R.enrichment_batch(_scored(spark, sf).withColumn("job_url", F.col("seq")), _cache(spark, sf).withColumnRenamed("seq", "job_url"), F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")).select("seq")
+
+
+@query(f"WITH p AS ({POSTINGS}) SELECT seq, CASE WHEN seq % 2 = 0 AND seq % 5 <> 0 THEN 'Swasta' END AS company_type, coalesce(salary, CASE WHEN seq % 2 = 0 THEN '5 juta' END) AS salary, CASE WHEN seq % 2 = 0 THEN 'Retail' END AS industry, CASE WHEN seq % 2 = 0 THEN 'ok + Enriched (AI)' ELSE 'ok' END AS scrape_status FROM p")
+def enriched_fields(spark, sf):
+    rows = postings(spark, sf).withColumn("scrape_status", F.lit("ok"))
+    data = rows.where("seq % 2 = 0").select("seq", F.when(F.col("seq") % 5 == 0, "unknown").otherwise("Swasta").alias("company_type"), F.lit("5 juta").alias("estimated_salary"), F.lit("Retail").alias("industry"), F.lit("unknown").alias("deadline_info"))
+    return R.enriched(rows, data, "seq").select("seq", "company_type", "salary", "industry", "scrape_status")
+
+
+@query(f"WITH p AS ({POSTINGS}) SELECT seq, CASE WHEN seq % 3 = 0 THEN 'Model ' || seq ELSE company END AS company, job_title, CASE WHEN seq % 3 = 0 THEN 'Success (LLM AI Fallback)' ELSE 'html' END AS scrape_status FROM p")
+def fallback_fields(spark, sf):
+    rows = postings(spark, sf).withColumn("scrape_status", F.lit("html"))
+    answers = rows.where("seq % 3 = 0").select("seq", R.unfenced(F.concat(F.lit('```json{"company": "Model '), F.col("seq").cast("string"), F.lit('", "job_title": null}```'))).alias("a"))
+    told = answers.select("seq", F.from_json("a", "company string, job_title string").alias("f")).select("seq", "f.*")
+    return R.with_fallback(rows, told, "seq").select("seq", "company", "job_title", "scrape_status")
+
+
+@query(f"""{WITH}, t AS (SELECT *, row_number() OVER (ORDER BY {_RANK}) AS rn FROM scored) SELECT string_agg('Title: ' || job_title || chr(10) || 'Company: ' || coalesce(company, '') || chr(10) || 'Desc: ' || substring(coalesce(job_description_summary, ''), 1, 400) || chr(10) || 'Req: ' || substring(coalesce(requirements, ''), 1, 400) || chr(10) || '---' || chr(10), '' ORDER BY rn) AS text FROM t WHERE rn <= 30""")
+def insight_input(spark, sf):
+    return R.insight_input(_scored(spark, sf))
+
+
+@query("WITH a AS (SELECT user_id AS id, max_by(event_type, event_id) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1), c AS (SELECT user_id AS id, max_by(event_type, event_id) AS v FROM events WHERE event_id % 2 = 1 GROUP BY 1) SELECT id, coalesce(c.v, a.v) AS v FROM a FULL JOIN c USING (id) WHERE coalesce(c.v, '') <> 'error' AND coalesce(c.v, a.v) IS NOT NULL")
+def state_upsert(spark, sf):
+    e = _table(spark, sf, "events")
+    one = lambda k: e.where(F.col("event_id") % 2 == k).groupBy(F.col("user_id").alias("id")).agg(F.max_by("event_type", "event_id").alias("v"))
+    return P.upsert_map(one(0), one(1).withColumn("v", F.when(F.col("v") != "error", F.col("v"))), "id", "v")
+
+
+# --- pages: every row of part as a listing page of some kind of board
+
+_HOSTS = ["https://www.jobstreet.example", "https://id.indeed.example", "https://glints.example", "https://www.kalibrr.example", "https://loker.example", "https://jooble.example", "https://prosple.example", "https://curated.example"]
+_TYPES = ["large_job_board"] * 4 + ["job_board", "aggregator", "graduate_job_board", "curated_job_board"]
+_PATHS = ["/id/job/{0}?t=1", "/x?jk={0}&from=1", "/opportunities/jobs/{0}?u=2", "/job/{0}?a", "/job/{0}", "/desc/{0}", "/jobs-internships/{0}", "https://other.example/{0}"]
+_LISTING = "concat('<html><h1>Board ', CAST({k} AS STRING), '</h1><div class=\"post-item\"><a class=\"x jcs-JobTitle\" href=\"', {path}, '\"> <b>', p_name, '</b></a><a href=\"/about\">About us all</a></div><a href=\"/opportunities/jobs/explore\">No</a><article><p>Staff wanted.</p><p>Requirements: ', p_type, '</p></article></html>')"
+_PAGE_SQL = f"""SELECT {_K} AS page_id, {_case(_K, 8, _HOSTS)} AS url, {_case(_K, 8, _TYPES)} AS source_type, {_LISTING.format(k=_K, path=_case(_K, 8, ["concat('" + p.format("', CAST(p_partkey AS STRING), '") + "')" for p in _PATHS]))} AS html FROM part"""
+_RULED = ["board_a", "board_b", "board_d", "board_e", "board_c", "aggregator", "graduate", "curated"]
+_CUT = ["/id/job/{0}", "/x?jk={0}", "/opportunities/jobs/{0}", "/job/{0}", "/job/{0}", "/desc/{0}", "/jobs-internships/{0}", "https://other.example/{0}"]
+_TARGET = _case(_K, 8, ["concat('" + ("" if c.startswith("http") else h) + c.format("', CAST(p_partkey AS STRING), '") + "')" for h, c in zip(_HOSTS, _CUT)])
+
+
+def _listings(spark, sf):
+    _table(spark, sf, "part").createOrReplaceTempView("part_of_listings")
+    return spark.sql(_PAGE_SQL.replace("FROM part", "FROM part_of_listings"))
+
+
+@query(f"SELECT {_K} AS page_id, {_case(_K, 8, _RULED)} AS parser, {_TARGET} AS job_url, trim(p_name) AS job_title FROM part UNION ALL SELECT {_K}, 'board_e', '{_HOSTS[3]}/opportunities/jobs/explore', 'No' FROM part WHERE {_K} % 8 = 3")
+def board_links(spark, sf):
+    pages = _listings(spark, sf)
+    pages = pages.withColumn("parser", G.parser_of(F.col("source_type"), F.col("url")))
+    out = None
+    for rule in _RULED:
+        own = pages.where(F.col("parser") == rule)
+        found = dom.structure_links(own, rule) if rule in ("curated", "graduate") else G.links(own, rule)
+        found = found.select("page_id", F.lit(rule).alias("parser"), "job_url", "job_title")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(f"SELECT {_K} AS page_id, 'Board ' || {_K} AS heading, 'Staff wanted. Requirements: ' || p_type AS body, 'Requirements: ' || p_type AS requirements FROM part")
+def page_fields(spark, sf):
+    return dom.page_fields(_listings(spark, sf)).select("page_id", "heading", "body", "requirements")
+
+
+@query("SELECT page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS heading FROM pages")
+def page_headings(spark, sf):
+    return dom.page_fields(_table(spark, sf, "pages")).select("page_id", "heading")
+
+
+@query(f"""WITH f AS (SELECT 's' || ({_K} % 5) AS source_name, 1 + {_K} % 4 AS page, {_K} AS pos, 'u' || ({_K} % 600) AS job_url FROM part WHERE {_K} % 5 <> 3 OR {_K} % 4 <> 1), d AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY source_name, job_url ORDER BY page, pos) = 1),
+    g AS (SELECT source_name, page, row_number() OVER (PARTITION BY source_name ORDER BY page) AS n FROM (SELECT DISTINCT source_name, page FROM d)) SELECT source_name, job_url, page FROM d WHERE (source_name, page) IN (SELECT (source_name, page) FROM g WHERE n = page)""")
+def paged_links(spark, sf):
+    found = _table(spark, sf, "part").selectExpr(f"concat('s', CAST({_K} % 5 AS STRING)) AS source_name", f"1 + {_K} % 4 AS page", f"{_K} AS pos", f"concat('u', CAST({_K} % 600 AS STRING)) AS job_url", "p_name AS job_title", f"{_K} AS k")
+    return G.until_stale(found.where("k % 5 <> 3 or k % 4 <> 1")).select("source_name", "job_url", "page")
+
+
+@query(f"SELECT c_custkey AS source_no, n AS page, CASE WHEN n = 1 THEN u ELSE rtrim(u, '/') || '/page/' || n || '/' END AS page_url FROM (SELECT c_custkey, 'https://c' || c_custkey || '.example/' AS u, c_custkey % 3 = 0 AS many FROM customer), (SELECT unnest([1, 2, 3]) AS n) WHERE many OR n = 1")
+def page_addresses(spark, sf):
+    rows = _table(spark, sf, "customer").select(F.col("c_custkey").alias("source_no"), F.concat(F.lit("https://c"), F.col("c_custkey"), F.lit(".example/")).alias("url"), F.when(F.col("c_custkey") % 3 == 0, "curated_job_board").otherwise("job_board").alias("source_type"))
+    return G.page_urls(rows, 3).select("source_no", "page", "page_url")

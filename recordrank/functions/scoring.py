@@ -79,11 +79,25 @@ def _due_fields(day: Column, today: Column) -> dict[str, Column]:
     return {"days_until_deadline": left, "deadline_status": status.when(left.isNotNull(), "Open").otherwise("Unknown"), "urgency_level": urgency, "deadline_points": points.otherwise(0)}
 
 
-def deadline_code(urgency: Column) -> Column:
+def deadline_codes(urgency: Column) -> Column:
     out = F
-    for u, code in V.DEADLINE_CODES.items():
-        out = out.when(urgency == u, code)
-    return out.otherwise("DEADLINE_UNKNOWN")
+    for u, codes in V.DEADLINE_CODES.items():
+        out = out.when(urgency == u, _codes(codes))
+    return out.otherwise(_codes(V.DEADLINE_CODES["Unknown"]))
+
+
+def deadline_note(day: Column, left: Column) -> Column:
+    on = F.concat(F.lit(" ("), day.cast("string"), F.lit(")"))
+    days = F.concat(left.cast("string"), F.lit(" days left"), on)
+    return F.when(left < 0, F.concat(F.lit("Expired "), F.abs(left).cast("string"), F.lit(" days ago"), on)).when(left <= 3, F.concat(F.lit("Urgent! "), days)).when(left.isNotNull(), days).otherwise("No deadline detected")
+
+
+def grade_note(required: Column, status: Column, candidate: float = 3.29) -> Column:
+    """A sentence on a grade; it is never searched for a requirement."""
+    out, wanted = F, required.cast("decimal(3,2)").cast("string")
+    for (limit, *_), says in zip(V.GRADE_BANDS, V.GRADE_NOTES):
+        out = out.when(required <= F.lit(str(limit)).cast("decimal(3,2)"), F.concat(F.lit(f"GPA {candidate} {says} "), wanted))
+    return out.when(status == V.GRADE_QUALITATIVE[0], "Only qualitative academic requirement detected").otherwise("No GPA requirement detected")
 
 
 def score(postings: DataFrame, profile: V.Profile | None = None) -> DataFrame:
@@ -95,7 +109,7 @@ def score(postings: DataFrame, profile: V.Profile | None = None) -> DataFrame:
     blank = lambda c: F.coalesce(F.lower(F.col(c)), F.lit(""))
     rows = settled(postings, _title=blank("job_title"), _full=F.concat_ws(" ", blank("job_title"), blank("job_description_summary"), blank("requirements")), _company=blank("company"))
     title, full = F.col("_title"), F.col("_full")
-    rows = with_grade(rows, F.concat_ws(" ", *[c for c in ("job_description_summary", "requirements", "responsibilities", "job_title") if c in postings.columns]), p.grade)
+    rows = with_grade(rows, T.joined_fields(postings.columns, V.GRADE_FIELDS), p.grade)
     industry = F.coalesce(*[F.when(F.contains(full, F.lit(i)) | F.contains(F.col("_company"), F.lit(i)), F.lit(i)) for i in p.industries])
     rows = settled(
         rows, _role=T.first_in(title, p.roles), _skills=T.all_in(full, p.skills), _industry=industry, _entry=T.any_in(full, p.entry_terms), _leads=T.any_in(full, p.leadership), _studied=T.any_in(full, p.education),
@@ -120,18 +134,22 @@ def score(postings: DataFrame, profile: V.Profile | None = None) -> DataFrame:
         F.concat(F.lit("Industry match: "), c("_industry")), when(c("_leads"), "Leadership/Execution fit"), when(c("_studied"), "Education match"), F.lit("Willing to relocate (nationwide)" if p.relocates else None),
     )
     gaps = some(when(c("_three"), "Requires 3+ years experience"), when(c("_five"), "Requires 5+ years experience"), when(c("_unpaid"), "Commission-only or unpaid"), when(c("gpa_points") < 0, F.concat(F.lit("GPA risk: "), c("gpa_status"))))
-    rows = settled(rows, match_score=F.greatest(F.lit(0), F.least(F.lit(100), points)), reason_codes=codes, why_match=why, gaps=gaps)
-    rows = rows.withColumns({"match_category": category(c("match_score")), "recommendation": recommendation(c("match_score"), c("data_confidence"))})
+    skills = F.when(F.size("_skills") > 0, F.array_join(F.slice("_skills", 1, 3), ", ")).otherwise("operational leadership")
+    tailoring = F.concat(F.lit("Document: "), T.document_variant(c("job_title"), p.variants, p.variant), F.lit(". Highlight "), skills)
+    # only what conditions refer to is settled; lists stay plain projections, so a query that does not want them does not make them
+    rows = settled(rows, match_score=F.greatest(F.lit(0), F.least(F.lit(100), points)))
+    rows = rows.withColumns({"reason_codes": codes, "why_match": why, "gaps": gaps, "suggested_cv_tailoring": tailoring})
+    rows = rows.withColumns({"match_category": category(c("match_score")), "recommendation": recommendation(c("match_score"), c("data_confidence")), "gpa_note": grade_note(c("gpa_required"), c("gpa_status"), p.grade)})
     return rows.drop(*[x for x in rows.columns if x.startswith("_")], "gpa_codes", "gpa_points")
 
 
 def with_deadline(scored: DataFrame, today: str) -> DataFrame:
     """The deadline's columns, its points within the score, and its code in place of an older one."""
-    text = F.concat_ws(" ", "deadline", "job_description_summary", "requirements")
-    rows = with_due(scored, F.col("job_url"), text, today)
+    rows = with_due(scored, F.col("job_url"), T.joined_fields(scored.columns, V.DEADLINE_FIELDS), today)
+    rows = rows.withColumn("deadline_note", deadline_note(F.col("deadline_parsed"), F.col("days_until_deadline")))
     changed = F.greatest(F.lit(0), F.least(F.lit(100), F.col("match_score") + F.col("deadline_points")))
     rows = settled(rows, match_score=F.when(F.col("deadline_points") != 0, changed).otherwise(F.col("match_score")))
-    codes = F.concat(F.filter("reason_codes", lambda x: ~x.startswith("DEADLINE_")), F.array(deadline_code(F.col("urgency_level"))))
+    codes = F.concat(F.filter("reason_codes", lambda x: ~x.startswith("DEADLINE_")), deadline_codes(F.col("urgency_level")))
     return settled(rows, match_category=category(F.col("match_score")), recommendation=recommendation(F.col("match_score"), F.col("data_confidence")), reason_codes=codes)
 
 

@@ -110,9 +110,61 @@ def feed_title(title: Column) -> tuple[Column, Column]:
 
 
 def company_of_title(title: Column) -> Column:
-    """A company named in a title: after an at sign, a dash or one of two prepositions, or a name ending in Group."""
-    patterns = [r"@\s*([^|,@]+)", r"\s[-–]\s([^-–|]+)$", r"\bat\s+([^|,-]+)", r"\bdi\s+([^|,-]+)", r"((?:\w+\s+)+group)\b"]
-    return F.coalesce(*[F.nullif(F.trim(F.regexp_replace(matched(title, p), r"^[.,\s]+|[.,\s]+$", "")), F.lit("")) for p in patterns])
+    """A company named in a title: a firm after an at sign, a dash or one of two prepositions, a group, or a name of several words after a dash."""
+    return F.coalesce(*[F.nullif(F.regexp_replace(F.trim(matched(title, p)), "[.,]+$", ""), F.lit("")) for p in V.COMPANY_IN_TITLE])
+
+
+def company_of_body(body: Column, chars: int = 2000) -> Column:
+    """A firm or a bank named in the first characters of a page's body, but for names that are known to be none."""
+    start = F.substring(body, 1, chars)
+    found = [F.regexp_replace(F.trim(F.nullif(F.regexp_extract(start, p, 0), F.lit(""))), "[.,]+$", "") for p in V.COMPANY_IN_BODY]
+    return F.coalesce(*[F.when(~f.isin(V.NOT_COMPANIES), f) for f in found])
+
+
+def joined_fields(columns: list[str], fields: list[str]) -> Column:
+    """The texts of those fields that a table has, without missing ones."""
+    return F.concat_ws(" ", *[listed(F.col(c)) for c in fields if c in columns])
+
+
+def industry_of(why: Column) -> Column:
+    """The industry named in an explanation's text."""
+    return F.nullif(F.trim(F.regexp_extract(why, r"Industry match:\s([^;]+)", 1)), F.lit(""))
+
+
+def parts(text: Column, separator: str = ";") -> Column:
+    """The parts of a joined text, trimmed, without blank ones."""
+    return F.filter(F.transform(F.split(text, separator), F.trim), lambda x: x != "")
+
+
+def grade_mark(status: Column) -> Column:
+    """A message's mark for a grade status."""
+    return F.when(status.isin("Meets GPA", "Priority GPA Match", "No GPA Listed"), "ok").when(F.contains(status, F.lit("Slight")), "warn").when(F.contains(status, F.lit("High")), "bad").otherwise("note")
+
+
+def deadline_label(status: Column, days: Column) -> Column:
+    return F.when(status == "Expired", "Expired").when(days.isNotNull(), F.concat(days.cast("string"), F.lit("d left"))).otherwise(status)
+
+
+def document_variant(title: Column, rules: list[tuple[str, list[str], str]], default: str, language: Column | None = None) -> Column:
+    """The document to send with an application: that of the first rule that holds."""
+    low, out = F.coalesce(F.lower(title), F.lit("")), F
+    for kind, words, variant in rules:
+        if kind == "language":
+            holds = F.lit(False) if language is None else F.coalesce(language.isin(words), F.lit(False))
+        elif kind == "any":
+            holds = any_in(low, words)
+        else:
+            holds = ~F.exists(F.array(*[F.lit(w) for w in words]), lambda w: ~low.contains(w))
+        out = out.when(holds, variant)
+    return out.otherwise(default)
+
+
+def unescaped(c: Column) -> Column:
+    """Common character references as text."""
+    named = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+    for name, value in named.items():
+        c = F.replace(c, F.lit(name), F.lit(value))
+    return c
 
 
 def city(text: Column) -> Column:
@@ -128,4 +180,4 @@ def preview(text: Column, size: int = 500) -> Column:
 
 
 def company_stem(name: Column) -> Column:
-    return F.trim(F.regexp_replace(name, r"(?i)\b(pt|tbk|cv|ltd|inc|persero)\b\.?", ""))
+    return F.trim(F.regexp_replace(name, r"(?i)\b(pt|tbk|cv|ltd|inc|group|corp|corporation|indonesia|persero)\b\.?", ""))

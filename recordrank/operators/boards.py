@@ -27,8 +27,11 @@ def toggled(events: DataFrame, key: str) -> DataFrame:
 
 def accepted(log: DataFrame, key: str, gap: str = "interval 24 hours") -> DataFrame:
     """Per key, the times that lie at least ``gap`` after the time accepted before: a fold over the key's sorted times."""
-    times = log.groupBy(key).agg(F.sort_array(F.collect_list("ts")).alias("ts"))
-    step = f"aggregate(ts, cast(array() as array<timestamp_ntz>), (a, t) -> if(size(a) = 0 or t >= element_at(a, -1) + {gap}, concat(a, array(t)), a))"
+    # the fold's state is the last accepted time; accepted ones are appended, which are far fewer than the times
+    kind = dict(log.dtypes)["ts"]
+    times = log.groupBy(key).agg(F.array_sort(F.collect_set("ts")).alias("ts"))
+    state = f"struct<last:{kind},got:array<{kind}>>"
+    step = f"aggregate(ts, cast(struct(null as last, array() as got) as {state}), (a, t) -> if(a.last is null or t >= a.last + {gap}, cast(struct(t as last, array_append(a.got, t) as got) as {state}), a), a -> a.got)"
     return times.select(key, F.explode(F.expr(step)).alias("accepted_at"))
 
 
@@ -71,3 +74,50 @@ def merged_state(server: DataFrame, local: DataFrame, key: str, value: str) -> D
 def upserted(events: DataFrame, key: str, value: str, *order: str) -> DataFrame:
     """The last value of each key; a blank one deletes."""
     return latest(events.withColumn(value, F.nullif(F.trim(value), F.lit(""))), key, value, *order)
+
+
+def tracked(board: DataFrame, current: DataFrame, history: DataFrame, key: str, keys: list[str], order: str = "seq") -> DataFrame:
+    """Board rows with the current posting that has their key in any of ``keys``, else with the history's, else alone; ``origin`` says which."""
+    names = [c for c in current.columns if c not in keys]
+    one = lambda df: by_either(board.select(key).distinct(), df.select(*keys, *names), key, keys, order).select(F.col(key), F.struct(*names).alias("r"))
+    found = board.join(one(current).withColumnRenamed("r", "now"), key, "left").join(one(history).withColumnRenamed("r", "old"), key, "left")
+    has_now, has_old = F.col(f"now.{order}").isNotNull(), F.col(f"old.{order}").isNotNull()
+    cells = [F.when(has_now, F.col(f"now.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in names]
+    return found.select(*board.columns, F.when(has_now, "current").when(has_old, "history").otherwise("none").alias("origin"), *cells)
+
+
+def with_placeholders(tracked_rows: DataFrame, key: str, order: str = "seq") -> DataFrame:
+    """Rows without a posting get a placeholder for its title, company and place."""
+    none = F.col(order).isNull()
+    fill = {"job_title": F.concat(F.lit("Tracked record ("), F.substring(key, 1, 12), F.lit(")")), "company": F.lit("History"), "location": F.lit(None).cast("string")}
+    return tracked_rows.withColumns({c: F.when(none, v).otherwise(F.col(c)) for c, v in fill.items() if c in tracked_rows.columns})
+
+
+def kept_history(old: DataFrame, fresh_rows: DataFrame, key: str) -> DataFrame:
+    """Fresh rows, and old ones whose key is not among them."""
+    return fresh_rows.unionByName(old.join(fresh_rows.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
+def without_blocked(rows: DataFrame, blocked: DataFrame, key: str) -> DataFrame:
+    """Rows whose source is not blocked."""
+    return rows.join(blocked.where("blocked").select(key), key, "left_anti")
+
+
+def agenda(postings: DataFrame, reminders: DataFrame, board: DataFrame, key: str) -> DataFrame:
+    """Postings with a reminder and a status other than the last one; order by ``remind_at`` for the nearest first."""
+    return postings.join(reminders, key).join(board, key).where("remind_at is not null and status is not null and status <> 'result'")
+
+
+def countdown(at: Column, now: Column) -> dict[str, Column]:
+    """Whether a time is past, else whole days, hours and minutes left, and a label of the two largest of them."""
+    left = F.timestamp_diff("SECOND", now, at)
+    past = left <= 0
+    days, hours, minutes = F.floor(left / 86400), F.floor(left % 86400 / 3600), F.floor(left % 3600 / 60)
+    text = lambda n, unit: F.concat(n.cast("string"), F.lit(unit))
+    label = F.when(past, "past").when(days > 0, F.concat(text(days, " days "), text(hours, " hours"))).when(hours > 0, F.concat(text(hours, " hours "), text(minutes, " minutes"))).otherwise(text(minutes, " minutes"))
+    return {"is_past": past, **{n: F.when(~past, v) for n, v in (("days", days), ("hours", hours), ("minutes", minutes))}, "label": label}
+
+
+def status_counts(board: DataFrame, statuses: list[str]) -> DataFrame:
+    """One row of counts of the known statuses and of all keys."""
+    return board.agg(*[F.count_if(F.col("status") == s).alias(s) for s in statuses], F.count("*").alias("total"))

@@ -5,31 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ANCHOR = r"(?is)<a\s[^>]*href=[\"']([^\"'#]+)[\"'][^>]*>(.*?)</a>"
+_ANCHOR = r"(?is)<a\s[^>]*href=[\"'][^\"'#]+[\"'][^>]*>.*?</a>"
+_HREF = r"(?is)^<a\s[^>]*href=[\"']([^\"'#]+)[\"']"
+_CLASS = r"(?is)^<a\s[^>]*class=[\"']([^\"']*)[\"']"
 
-#: Rules of the parsers: a part of the address that must be in it, one that must not, where it is cut, the least title, one row for each address.
+#: Rules of the parsers: a part of the address that must be in it, one that must not, a part of the anchor's class, where the address is cut, the least title,
+#: a part of the whole address, one row for each address. Those of curated and graduate boards look at the page's structure, see ``dom``.
 RULES = {
     "board_a": {"has": "/id/job/", "cut": "\\?", "title": 0, "once": False},
-    "board_b": {"has": "jk=", "cut": "&", "title": 0, "once": False},
+    "board_b": {"has": "", "class": "jcs-JobTitle", "cut": "&", "title": 0, "once": False},
     "board_c": {"has": "/job/", "cut": None, "title": 6, "once": False},
     "aggregator": {"has": "/desc/", "cut": None, "title": 0, "once": False},
-    "board_d": {"has": "/jobs/", "lacks": "/explore", "cut": "\\?", "title": 0, "once": True},
-    "board_e": {"has": "/jobs?/", "cut": "\\?", "title": 0, "once": True},
-    "curated": {"has": "^http", "cut": None, "title": 0, "once": False},
+    "board_d": {"has": "/opportunities/jobs/", "lacks": "/explore", "cut": "\\?", "title": 0, "once": True},
+    "board_e": {"has": "/jobs?/", "host": "kalibrr", "cut": "\\?", "title": 0, "once": True},
     "any": {"has": "", "cut": "\\?", "title": 0, "once": True},
 }
 
 
+#: Types of sources and their rules; large boards are told apart by address.
+SOURCE_TYPES = {"rss_feed": "rss", "curated_job_board": "curated", "graduate_job_board": "graduate", "job_board": "board_c", "aggregator": "aggregator", "glints": "board_d", "kalibrr": "board_e"}
+
+
 def parser_of(source_type: Column, url: Column) -> Column:
-    """Which rule reads a source."""
-    return F.when(source_type == "rss", "rss").when(source_type == "curated", "curated").when(F.contains(url, F.lit("jobstreet")), "board_a").when(F.contains(url, F.lit("indeed")), "board_b").when(F.contains(url, F.lit("glints")), "board_d").when(F.contains(url, F.lit("kalibrr")), "board_e")
+    """Which rule reads a source: by its type, and for large boards by a part of the address; null for other types."""
+    large = F
+    for part, rule in (("jobstreet", "board_a"), ("indeed", "board_b"), ("glints", "board_d"), ("kalibrr", "board_e")):
+        large = large.when(F.contains(url, F.lit(part)), rule)
+    out = F.when(source_type == "large_job_board", large)
+    for kind, rule in SOURCE_TYPES.items():
+        out = out.when(source_type == kind, rule)
+    return out
 
 
 def anchors(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``(…, pos, href, title)``: a row for each anchor, in order."""
-    found = F.arrays_zip(F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(2)).alias("title"))
-    out = pages.select("*", F.posexplode(found).alias("pos", "_a")).drop(html)
-    return out.select(*[c for c in out.columns if c != "_a"], F.col("_a.href").alias("href"), F.trim(F.regexp_replace("_a.title", "<[^>]+>", "")).alias("title"))
+    """``(…, pos, href, classes, title)``: a row for each anchor, in order."""
+    keys = [c for c in pages.columns if c != html]
+    out = pages.select(*keys, F.posexplode(F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(0))).alias("pos", "_a"))
+    title = F.trim(F.regexp_replace(F.regexp_replace("_a", r"(?is)^<a\s[^>]*>", ""), "<[^>]+>", ""))
+    return out.select(*keys, "pos", F.regexp_extract("_a", _HREF, 1).alias("href"), F.regexp_extract("_a", _CLASS, 1).alias("classes"), title.alias("title"))
 
 
 def links(pages: DataFrame, rule: str, page: str = "page_id", url: str = "url") -> DataFrame:
@@ -40,6 +53,10 @@ def links(pages: DataFrame, rule: str, page: str = "page_id", url: str = "url")
     out = out.withColumn("job_url", full)
     if r["has"]:
         out = out.where(F.col("job_url").rlike(r["has"]))
+    if r.get("class"):
+        out = out.where(F.contains("classes", F.lit(r["class"])))
+    if r.get("host"):
+        out = out.where(F.contains("job_url", F.lit(r["host"])))
     if r.get("lacks"):
         out = out.where(~F.contains("job_url", F.lit(r["lacks"])))
     if r["cut"]:
@@ -52,7 +69,7 @@ def links(pages: DataFrame, rule: str, page: str = "page_id", url: str = "url")
 
 def page_urls(sources: DataFrame, pages: int) -> DataFrame:
     """Addresses of the pages of curated sources; others have one."""
-    n = F.when(F.col("source_type") == "curated", pages).otherwise(1)
+    n = F.when(F.col("source_type") == "curated_job_board", pages).otherwise(1)
     out = sources.select("*", F.explode(F.sequence(F.lit(1), n)).alias("page"))
     return out.withColumn("page_url", F.when(F.col("page") == 1, F.col("url")).otherwise(F.format_string("%s/page/%d/", F.regexp_replace("url", "/$", ""), F.col("page"))))
 
@@ -83,15 +100,13 @@ def job_ld(pages: DataFrame, html: str = "html") -> DataFrame:
     def at(v: str, path: str) -> str:
         return f"try_variant_get({v}, '{path}', 'string')"
 
-    one = pages.select("*", F.posexplode(F.regexp_extract_all(html, F.lit(_SCRIPT), F.lit(1))).alias("_s", "_t")).withColumn("_v", F.try_parse_json("_t")).drop("_t", html)
-    lists = "coalesce(try_cast(_v as array<variant>), try_cast(try_variant_get(_v, '$[\"@graph\"]', 'variant') as array<variant>), array(_v))"
-    items = one.selectExpr("*", f"posexplode({lists}) as (_i, _p)").where(F.expr(at("_p", '$["@type"]')) == "JobPosting")
+    # a page's scripts, their items and the first posting among those are one row's work: array functions, no shuffle
     keys = [c for c in pages.columns if c != html]
-    first = items.groupBy(*keys).agg(F.min(F.struct("_s", "_i")).alias("_o")).withColumnsRenamed({k: f"_{k}" for k in keys})
-    same = items["_s"] == F.col("_o._s")
-    for k in keys:
-        same = same & items[k].eqNullSafe(first[f"_{k}"])
-    p = items.join(first, same & (items["_i"] == F.col("_o._i")))
+    lists = "coalesce(try_cast(v as array<variant>), try_cast(try_variant_get(v, '$[\"@graph\"]', 'variant') as array<variant>), array(v))"
+    is_one = at("p", '$["@type"]') + " = 'JobPosting'"
+    firsts = F.expr(f"get(filter(transform(_v, v -> get(filter({lists}, p -> {is_one}), 0)), p -> p is not null), 0)")
+    scripts = F.transform(F.regexp_extract_all(html, F.lit(_SCRIPT), F.lit(1)), lambda t: F.try_parse_json(t))
+    p = pages.select(*keys, scripts.alias("_v")).select(*keys, F.explode(F.array(firsts)).alias("_p")).where("_p is not null")
     e = lambda path: F.expr(at("_p", path))
     obj = lambda path: F.expr(f"schema_of_variant(try_variant_get(_p, '{path}', 'variant')) like 'OBJECT%'")
     pay, low, high = e("$.baseSalary.value.value"), e("$.baseSalary.value.minValue"), e("$.baseSalary.value.maxValue")

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..functions.text import feed_title, listed, plain
+from ..functions.text import feed_title, listed, plain, unescaped
 
 #: Headers of ranked files and their columns.
 HEADERS = {
     "Rank": "rank", "Score": "match_score", "Match Category": "match_category", "Recommendation": "recommendation", "Job Title": "job_title", "Company": "company", "Location": "location", "Source": "source", "Link": "job_url",
-    "Why Match": "why_match", "Gaps / Concerns": "gaps_or_concerns", "Suggested CV Tailoring": "suggested_cv_tailoring", "Application Deadline": "deadline", "Salary": "salary", "Date Posted": "date_posted", "Apply Link": "apply_url",
+    "Why Match": "why_match", "Gaps / Concerns": "gaps", "Suggested CV Tailoring": "suggested_cv_tailoring", "Application Deadline": "deadline", "Salary": "salary", "Date Posted": "date_posted", "Apply Link": "apply_url",
 }
 #: Names under which files carry the same value.
-SYNONYMS = {"job_title": ["title", "position"], "company": ["company_name", "perusahaan"], "location": ["lokasi"], "job_url": ["url", "link"]}
+SYNONYMS = {"job_title": ["title", "position"], "company": ["company_name", "perusahaan"], "location": ["lokasi"], "job_url": ["url", "link", "job_link"], "match_score": ["score"], "gaps": ["gaps_or_concerns"], "why_match": ["match_reasons", "recommendation_insight"]}
 
 
 def snake(name: str) -> str:
@@ -22,43 +25,77 @@ def snake(name: str) -> str:
     return HEADERS.get(name) or "_".join("".join(ch if ch.isalnum() else " " for ch in name.lower()).split())
 
 
+def _files(spark: SparkSession, path: str, only: str | None, skip: tuple[str, ...]) -> dict[tuple[str, ...], list[str]]:
+    """CSV files under a folder, in order of path, by their header. The driver reads each file's first record and nothing else."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(root):
+        return {}
+    found, names = fs.listFiles(root, True), []
+    while found.hasNext():
+        name = found.next().getPath().toString()
+        if name.endswith(".csv") and not any(x in name for x in skip) and (only is None or only in name):
+            names.append(name)
+    out: dict[tuple[str, ...], list[str]] = {}
+    for name in sorted(names):
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(name))
+        try:
+            head = bytes(stream.readNBytes(1 << 16))
+        finally:
+            stream.close()
+        header = next(csv.reader(io.StringIO(head.decode("utf-8-sig", "ignore"), newline="")), None)
+        if header:
+            out.setdefault(tuple(header), []).append(name)
+    return out
+
+
+def _plain_path(c):
+    return F.regexp_replace(c, "^([a-z0-9]+:)/+", "$1/")
+
+
 def read_ranked(spark: SparkSession, path: str, columns: list[str] | None = None, only: str | None = None, skip: tuple[str, ...] = ("latest", "archive_old")) -> DataFrame:
-    """CSV files of ranked postings under a folder: quoted line ends, a byte-order mark, any column order.
+    """CSV files of ranked postings under a folder: quoted line ends, a byte-order mark, any columns in any order in each file.
 
-    Files whose path contains a text of ``skip`` are left out, and with ``only`` those without it. Every row has ``run_path`` and a ``seq`` that orders
-    the rows by path and place. Numbers that cannot be read are 0. No file gives an empty table of the named columns.
+    Files are read by header, and columns are put together by name; a column that a file lacks is null. Files whose path contains a text of ``skip``
+    are left out, and with ``only`` those without it. Every row has ``run_path`` and a ``seq`` that orders the rows by path and place. A number that cannot be
+    read is 0 for the score and the confidence. No file gives an empty table of the named columns.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("mode", "PERMISSIVE")
-    try:
-        df = reader.csv(path)
-    except AnalysisException:
+    by_header = _files(spark, path, only, skip)
+    if not by_header:
         names = columns or list(dict.fromkeys(HEADERS.values()))
         return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in [*names, "run_path"]) + ", seq bigint")
-    df = df.withColumn("run_path", F.col("_metadata.file_path"))
-    for text in skip:
-        df = df.where(~F.contains("run_path", F.lit(text)))
-    if only:
-        df = df.where(F.contains("run_path", F.lit(only)))
-    df = df.select(*[listed(F.col(f"`{c}`")).alias(snake(c)) if c != "run_path" else F.col(c) for c in df.columns])
-    for name, others in SYNONYMS.items():
-        found = [F.col(c) for c in [name, *others] if c in df.columns]
-        if found:
-            df = df.withColumn(name, F.coalesce(*found)).drop(*[c for c in others if c in df.columns])
+    numbers = spark.createDataFrame([(f, i) for i, f in enumerate(sorted(f for files in by_header.values() for f in files))], "_file string, _no bigint").select(_plain_path(F.col("_file")).alias("_file"), "_no")
+    out = None
+    for header, files in by_header.items():
+        schema = ", ".join(f"`c{i}` string" for i in range(len(header)))
+        df = spark.read.option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").schema(schema).csv(files)
+        names: dict[str, list] = {}
+        for i, name in enumerate(header):
+            names.setdefault(snake(name), []).append(listed(F.col(f"c{i}")))
+        for name, others in SYNONYMS.items():
+            if cells := [c for x in [name, *others] for c in names.pop(x, [])]:
+                names[name] = cells
+        df = df.select(*[F.coalesce(*cells).alias(name) for name, cells in names.items() if name], F.col("_metadata.file_path").alias("run_path"), F.monotonically_increasing_id().alias("_place"))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     for c in ("match_score", "data_confidence"):
-        if c in df.columns:
-            df = df.withColumn(c, F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)))
+        if c in out.columns:
+            out = out.withColumn(c, F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)))
     for c in columns or []:
-        if c not in df.columns:
-            df = df.withColumn(c, F.lit(None).cast("string"))
-    return df.withColumn("seq", F.monotonically_increasing_id())
+        if c not in out.columns:
+            out = out.withColumn(c, F.lit(None).cast("string"))
+    # a file is read by one task from its start on, so its rows are numbered in their order
+    out = out.withColumn("_file", _plain_path(F.col("run_path"))).join(F.broadcast(numbers), "_file", "left")
+    seq = F.coalesce("_no", F.lit(0)) * F.lit(1 << 33) + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return out.withColumn("seq", seq).drop("_file", "_no", "_place")
 
 
 def read_feed(spark: SparkSession, path: str, source: str, limit: int | None = None) -> DataFrame:
     """Links of an RSS file's items that have one: title and company from the title, a description of 300 characters without tags."""
     df = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, description string, pubDate string").load(path)
-    title, company = feed_title(F.col("title"))
+    title, company = feed_title(unescaped(F.col("title")))
     df = df.where(F.coalesce(F.trim("link"), F.lit("")) != "").withColumn("seq", F.monotonically_increasing_id())
-    df = df.select(F.trim("link").alias("job_url"), title.alias("job_title"), F.lit(source).alias("source_name"), company.alias("company"), F.substring(F.trim(plain(F.col("description"))), 1, 300).alias("description_preview"), F.col("pubDate").alias("pub_date"), "seq")
+    df = df.select(F.trim("link").alias("job_url"), title.alias("job_title"), F.lit(source).alias("source_name"), company.alias("company"), F.substring(F.trim(plain(unescaped(F.col("description")))), 1, 300).alias("description_preview"), F.col("pubDate").alias("pub_date"), "seq")
     return df.orderBy("seq").limit(limit) if limit else df
 
 
@@ -87,3 +124,37 @@ def history(*runs: DataFrame) -> DataFrame:
         df = df.withColumn("_run", F.lit(i))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out.withColumn("seq", F.col("_run") * F.lit(1 << 48) + F.col("seq")).drop("_run")
+
+
+#: Schemas of caches, by name; all are maps from a key to an entry.
+CACHES = {"urls": "map<string,timestamp>", "health": "map<string,struct<errors:int,total:int,blocked:boolean>>", "semantic": "map<string,struct<semantic_score:double,reasoning:string,salary:string,timestamp:timestamp>>",
+          "enrichment": "map<string,struct<data:struct<company_type:string,estimated_salary:string,industry:string,deadline_info:string>,timestamp:timestamp>>"}
+
+
+def read_cache(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A cache's document as ``(key, value)``; a missing or broken one is empty."""
+    try:
+        text = spark.read.option("wholetext", True).text(path)
+    except AnalysisException:
+        text = spark.createDataFrame([], "value string")
+    return text.select(F.explode(F.from_json("value", CACHES[name])).alias("key", "value"))
+
+
+def read_bodies(pages: DataFrame, column: str = "api_data") -> DataFrame:
+    """Captured JSON bodies of a page as variants, in order: ``column`` is an array of texts; one that is not JSON is left out."""
+    return pages.select(*[c for c in pages.columns if c != column], F.posexplode(column).alias("pos", "body")).withColumn("body", F.try_parse_json("body")).where("body is not null")
+
+
+def read_artifacts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A published run: its one-row summary, its ranked rows with ids, and its insights; those that are missing are empty."""
+
+    def document(name: str, schema: str) -> DataFrame:
+        try:
+            return spark.read.schema(schema).option("multiLine", True).json(f"{path}/{name}")
+        except AnalysisException:
+            return spark.createDataFrame([], schema)
+
+    rows = read_ranked(spark, path, ["job_title", "company", "location"], skip=())
+    key = lambda *cs: F.substring(F.regexp_replace(F.lower(F.concat_ws("", *cs)), "[^a-z0-9]", ""), 1, 80)
+    rows = rows.withColumns({"id": key("company", "job_title", "location"), "id_alt": key("job_title", "company", "location")})
+    return document("run_summary.json", "run_id string, finished_at string, total_exported bigint, total_apply_today bigint"), rows, document("market_insights.json", "top_skills array<struct<skill:string,demand:string>>, hiring_trend_summary string, salary_insights string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -38,12 +38,36 @@ def latest_stream(events: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def health_stream(log: DataFrame, key: str) -> DataFrame:
-    """Requests and failures of each source, for the update mode; ``failed`` is a boolean."""
-    return log.groupBy(key).agg(F.count("*").alias("total"), F.count_if("failed").alias("errors"))
+    """State of each source after each batch, for the update mode; ``failed`` is a boolean.
+
+    Counts run on, and the decision has hysteresis as in ``boards.health``: a batch is a run, and an open decision keeps the one before.
+    """
+    kind = dict(log.dtypes)[key]
+
+    def add(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        total, errors, blocked = state.get if state.exists else (0, 0, False)
+        for f in frames:
+            total, errors = total + len(f), errors + int(f["failed"].sum())
+        if total >= 3 and errors / total > 0.8:
+            blocked = True
+        elif total >= 3 and errors / total < 0.3:
+            blocked = False
+        state.update((total, errors, blocked))
+        yield pd.DataFrame({key: [k[0]], "total": [total], "errors": [errors], "blocked": [blocked]})
+
+    return log.groupBy(key).applyInPandasWithState(add, f"{key} {kind}, total bigint, errors bigint, blocked boolean", "total bigint, errors bigint, blocked boolean", "update", GroupStateTimeout.NoTimeout)
 
 
 def progress_stream(lines: DataFrame, late: str = "10 minutes", window: str = "8 seconds") -> DataFrame:
-    """The last progress line of each window; ``lines`` has ``ts`` and ``line``."""
-    step = F.regexp_extract("line", r"(\d+)\s*/\s*(\d+)", 1)
-    found = lines.withWatermark("ts", late).where(step != "").withColumn("step", step.cast("int"))
-    return found.groupBy(F.window("ts", window)).agg(F.max_by("step", "ts").alias("step")).select("window.start", "step")
+    """The last progress line of each window; ``lines`` has ``ts`` and ``line``: the phase, what it is at, how many of how many, and links found."""
+    phase = F.when(F.contains("line", F.lit("Discovering:")), "discovery").when(F.contains("line", F.lit("[DETAIL MODE]")), "detail").when(F.contains("line", F.lit("Parsing detail:")), "pages").when(F.contains("line", F.lit("Page")) & F.contains("line", F.lit("links")), "links")
+    number = lambda pattern, group=1: F.regexp_extract("line", pattern, group).try_cast("int")
+    step, total = number(r"(\d+)\s*/\s*(\d+)"), number(r"(\d+)\s*/\s*(\d+)", 2)
+    found = lines.withWatermark("ts", late).withColumns({"phase": F.coalesce(phase, F.when(step.isNotNull(), "pages")), "step": step, "total": total, "links": F.coalesce(number(r"total (\d+)"), number(r"(\d+) new links")), "source": F.nullif(F.trim(F.regexp_extract("line", r"Discovering:(.*)$", 1)), F.lit(""))})
+    last = F.max_by(F.struct("phase", "step", "total", "links", "source"), "ts").alias("last")
+    return found.where("phase is not null").groupBy(F.window("ts", window)).agg(last).select("window.start", "last.*", F.floor(F.col("last.step") * 100 / F.nullif("last.total", F.lit(0))).alias("percent"))
+
+
+def new_runs(spark: SparkSession, path: str, schema: str = "run_id string, finished_at string", every: str | None = None) -> tuple[DataFrame, dict]:
+    """Summaries of runs as they are published under a folder, and the trigger to read them with: at an interval, or all that is there once."""
+    return spark.readStream.schema(schema).json(path).dropDuplicates(["run_id"]), {"processingTime": every} if every else {"availableNow": True}
