@@ -64,6 +64,6 @@ def _clear() -> None:
 
 
 def shards(spark: SparkSession, least: int = 64) -> int:
-    """A power of two that is no less than the shuffle partitions."""
+    """The largest power of two within the shuffle partitions: shards that write to each other send as many messages as its square."""
     n = max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return 1 << (n - 1).bit_length()
+    return 1 << (n.bit_length() - 1)
