@@ -15,7 +15,7 @@ from recordrank.llm.decontaminate import benchmark_overlap, without_benchmark
 from recordrank.llm.dialogue import rotate
 from recordrank.llm.exact import exact_duplicates
 from recordrank.llm.jaccard import first_of_classes, jaccard_classes
-from recordrank.llm.language_model import sample_tables, score_documents
+from recordrank.llm.language_model import STRENGTH, Seating, closing, sample_tables, score_documents
 from recordrank.llm.lines import banded_distance, line_classes
 from recordrank.llm.mixing import mix_sources, mixed
 from recordrank.llm.packing import PATTERN, best_fit, load_ranks, pack_documents, write_matrices
@@ -469,3 +469,120 @@ def test_equal_or_missing_ids_do_not_merge_texts(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = exact_duplicates(df).collect()
     assert len(got) == 12 and {r.group_size for r in got} == {4} and len({r.text_sha256 for r in got}) == 3 and {r.keep_id for r in got} == {0}
+
+
+def test_closing_of_tables():
+    """By enumeration of all seatings of few customers, and the approximation for many against the recurrence."""
+    from recordrank.llm import language_model as L
+
+    d = 0.6
+
+    def seatings(n, sizes=(), weight=1.0):  # each with its probability given that all eat one dish, up to the factor of the tables
+        if not n:
+            yield sizes, weight
+            return
+        yield from seatings(n - 1, (*sizes, 1), weight)
+        for i, k in enumerate(sizes):
+            yield from seatings(n - 1, (*sizes[:i], k + 1, *sizes[i + 1 :]), weight * (k - d))
+
+    for c in range(2, 8):
+        sums = defaultdict(lambda: [0.0, 0.0])
+        for sizes, w in seatings(c):
+            sums[len(sizes)][0] += w
+            sums[len(sizes)][1] += w * sizes.count(1) / c
+        for t, (whole, alone) in sums.items():
+            assert np.isclose(closing(np.array([c]), np.array([t]), d)[0], alone / whole)
+    c = np.full(60, L.EXACT)
+    t = np.arange(5, 65)
+    exact = L._closing_table(d)[c, t]
+    limit, L.EXACT = L.EXACT, 100
+    try:
+        L._closing_table.cache_clear()
+        assert np.all(np.abs(closing(c, t, d) / exact - 1) < 0.02)
+    finally:
+        L.EXACT = limit
+        L._closing_table.cache_clear()
+
+
+def test_gibbs_against_a_sampler_of_single_seats():
+    """Mean predictive probabilities of a tiny corpus: customers and tables in arrays against every table and its guests, moved one by one."""
+    words = "a b a b a c a b c c a b a a b c d a b d a b c a a a b b a b".split()
+    pairs = Counter(zip(words, words[1:]))  # context, word
+    kinds = sorted({w for _, w in pairs})
+    contexts = sorted({c for c, _ in pairs})
+    d1 = d2 = 0.5
+    v = len(kinds)
+
+    def predictive(tables, customers_above, tops):
+        p = {}
+        for c in contexts:
+            n, t = sum(k for (x, _), k in pairs.items() if x == c), sum(k for (x, _), k in tables.items() if x == c)
+            for w in kinds:
+                top = (customers_above[w] - d1 * tops[w] + (STRENGTH + d1 * sum(tops.values())) / (v + 1)) / (STRENGTH + sum(customers_above.values()))
+                p[c, w] = (pairs.get((c, w), 0) - d2 * tables.get((c, w), 0) + (STRENGTH + d2 * t) * top) / (STRENGTH + n)
+        return p
+
+    rng = random.Random(3)
+    below, above = {k: [] for k in pairs}, {w: [] for w in kinds}
+
+    def seat_above(w):
+        new = (STRENGTH + d1 * sum(map(len, above.values()))) / (v + 1)
+        weights = [k - d1 for k in above[w]] + [new]
+        i = rng.choices(range(len(weights)), weights)[0]
+        above[w][i:] = [above[w][i] + 1, *above[w][i + 1 :]] if i < len(above[w]) else [1]
+
+    def leave(guests):
+        i = rng.choices(range(len(guests)), guests)[0]
+        guests[i] -= 1
+        if not guests[i]:
+            del guests[i]
+            return True
+        return False
+
+    def seat(c, w):
+        n_above, t_above = sum(above[w]), len(above[w])
+        top = (n_above - d1 * t_above + (STRENGTH + d1 * sum(map(len, above.values()))) / (v + 1)) / (STRENGTH + sum(map(sum, above.values())))
+        mine = below[c, w]
+        weights = [k - d2 for k in mine] + [(STRENGTH + d2 * sum(len(g) for (x, _), g in below.items() if x == c)) * top]
+        i = rng.choices(range(len(weights)), weights)[0]
+        if i < len(mine):
+            mine[i] += 1
+        else:
+            mine.append(1)
+            seat_above(w)
+
+    for (c, w), n in pairs.items():
+        for _ in range(n):
+            seat(c, w)
+    want, sweeps = Counter(), 1500
+    for s in range(sweeps + 50):
+        for (c, w), n in pairs.items():
+            for _ in range(n):
+                if leave(below[c, w]):
+                    leave(above[w])
+                seat(c, w)
+        for w in kinds:
+            for _ in range(sum(above[w])):
+                leave(above[w])
+                seat_above(w)
+        if s >= 50:
+            want.update(predictive({k: len(g) for k, g in below.items()}, {w: sum(g) for w, g in above.items()}, {w: len(g) for w, g in above.items()}))
+
+    class Tiny:
+        keys = sorted(pairs, key=lambda k: k[::-1])
+        num = np.array([pairs[k] for k in keys])
+        words = np.array(kinds)
+        at = np.array([kinds.index(w) for _, w in keys])
+        ctx = np.array([contexts.index(c) for c, _ in keys])
+
+    got, now = Counter(), {"vocabulary": v, "discounts": (d1, d2), "tables": len(pairs), "tops": v}
+    sums = lambda t: np.bincount(Tiny.ctx, t, len(contexts))
+    seating = Seating(Tiny, now, sums(np.ones(len(Tiny.num))), 1)
+    for s in range(sweeps + 50):
+        now = now | {"tables": int(seating.tables.sum()), "tops": int(seating.tops.sum())}
+        seating.sweep(Tiny, now, sums(seating.tables), s)
+        assert np.all((seating.tables >= 1) & (seating.tables <= Tiny.num) & (seating.tops[Tiny.at] <= seating.customers[Tiny.at]))
+        if s >= 50:
+            got.update(predictive(dict(zip(Tiny.keys, seating.tables.tolist())), dict(zip(kinds, seating.customers.tolist())), dict(zip(kinds, seating.tops.tolist()))))
+    apart = [abs(got[k] / want[k] - 1) for k in want]
+    assert max(apart) < 0.1 and np.mean(apart) < 0.03, (max(apart), np.mean(apart))
