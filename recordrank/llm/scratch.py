@@ -42,6 +42,23 @@ def keep(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """As ``keep``, but in buckets of ``column``, one for each shuffle partition, so that grouping by it needs no shuffle."""
+    spark = df.sparkSession
+    unique = f"{name}_{uuid.uuid4().hex}"
+    path = f"{root(spark).rstrip('/')}/recordrank/{unique}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).format("parquet").option("path", path).saveAsTable(unique)
+    out = spark.table(unique)
+    out.schema  # resolved here, so the catalog's entry can go; its files stay, as the table is external
+    spark.sql(f"DROP TABLE {unique}")
+    out._scratch = path
+    spark._jvm.System.gc()
+    if not _LEFT:
+        atexit.register(_clear)
+    _LEFT.append((spark, path))
+    return out
+
+
 def drop(*frames: DataFrame | None) -> None:
     """Deletes kept tables that nothing reads any more."""
     for df in frames:
