@@ -586,3 +586,18 @@ def test_gibbs_against_a_sampler_of_single_seats():
             got.update(predictive(dict(zip(Tiny.keys, seating.tables.tolist())), dict(zip(kinds, seating.customers.tolist())), dict(zip(kinds, seating.tops.tolist()))))
     apart = [abs(got[k] / want[k] - 1) for k in want]
     assert max(apart) < 0.1 and np.mean(apart) < 0.03, (max(apart), np.mean(apart))
+
+
+def test_numbers_and_buckets(spark):
+    """Numbers come back whole at the bounds of a byte; a table in buckets is grouped without a shuffle and leaves no entry in the catalog."""
+    from recordrank.llm.language_model import _numbers, _told
+    from recordrank.llm.scratch import bucketed, drop
+
+    for x in ([], [0], [254, 255, 256], [1 << 40, 3, 255, 0]):
+        assert _told(_numbers(np.array(x, np.int64))).tolist() == x
+    before = len(spark.catalog.listTables())
+    table = bucketed(spark.range(100).selectExpr("cast(id % 7 as int) AS shard", "id"), "bucketed_test", "shard")
+    counts = table.groupBy("shard").count()
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert sum(r["count"] for r in counts.collect()) == 100 and len(spark.catalog.listTables()) == before
+    drop(table)
