@@ -1,8 +1,10 @@
 """Near-duplicate lines by a segment-partition edit join, with DataFrame functions only.
 
-A line is cut into one segment more than the edits its length allows. Within those, two lines share a segment whole, at places that
-differ by what the number of errors before and after it allows; so a line probes, for each length it may be near to, the
-few substrings that can be such a segment. Pairs that share a key and whose letter counts differ by no more than the errors allow are verified by
+A line is cut into one segment more than the edits its length allows, so two lines within those share a segment whole. Segments
+of the first half are placed from the line's start and those of the second half from its end, and all are of one size that follows from the
+length. With ``i`` segments before it a segment lies at most ``i`` places off, whatever the other line's length, so a line probes 1, 3, 5, ...
+substrings for the segments from either end inwards, and those again only where lines shorter by the edits allowed have segments of another size.
+Pairs that share a key, whose lengths and letter counts differ by no more than the edits allow, are verified by
 a banded edit distance whose band is a bit vector in one integer.
 """
 
@@ -20,45 +22,55 @@ _COUNTED = "etan"
 PER_EDIT = 12
 
 
-def _segments(length: Column, i: int, k: int) -> tuple[Column, Column]:
-    """Start, from 0, and size of segment ``i`` of ``k``; the last segments are the longer ones."""
-    size, longer = F.floor(length / k), F.pmod(length, F.lit(k))
-    return (size * i + F.greatest(F.lit(0), longer - (k - i))).cast("int"), (size + (F.lit(i) >= F.lit(k) - longer).cast("int")).cast("int")
-
-
 def _allowed(length: Column, threshold: int) -> Column:
     """Edits within which a line is near the shorter one of a pair: one for each ``PER_EDIT`` characters, at least one, at most ``threshold``."""
     return F.least(F.lit(threshold), F.greatest(F.lit(1), F.floor(length / PER_EDIT))).cast("int")
 
 
-def _keys(line: Column, length: Column, threshold: int) -> tuple[list[Column], list[Column]]:
-    """A key for each segment, and probes for lines that are not longer, null where a substring would not be within the line.
+def _layout(length: Column, threshold: int) -> Column:
+    """A line's edits and segment size in one integer, ``size * 64 + edits``.
 
-    The number of segments follows from the edits that the shorter line allows, so short lines are cut into few.
+    The size is rounded down, by a quarter at most, so that lines of nearly the same length mostly have one layout.
     """
+    edits = _allowed(length, threshold)
+    even = F.floor(length / (edits + 1)).cast("int")
+    size = F.when(even < 8, even).when(even < 16, even - even % 2).when(even < 32, even - even % 4).otherwise(even - even % 8)
+    return size * 64 + edits
+
+
+def _slots(threshold: int) -> list[tuple[int, bool, int, int]]:
+    """Segments as ``(number, from the end, place counted from that end, edits from which a line has it)``."""
+    return [(e, e % 2 == 1, e // 2, e) for e in range(threshold + 1)]
+
+
+def _key(line: Column, length: Column, size: Column, slot: tuple[int, bool, int, int], move: int) -> tuple[Column, Column]:
+    """The key of a segment's place, ``move`` characters off, and whether it is within the line."""
+    number, back, place, _ = slot
+    start = (length - size * (place + 1) if back else size * place) + move
+    return F.xxhash64(F.lit(number), F.substring(line, start + 1, size)), (start >= 0) & (start + size <= length)
+
+
+def _candidates(texts: DataFrame, slots: list[tuple[int, bool, int, int]], threshold: int) -> DataFrame:
+    """Pairs ``(h, g)`` of lines of ``texts(id, line, n, traits)`` that share a segment of ``slots``, lengths and letter counts allowing."""
+    line, n, size, edits = F.col("line"), F.col("n"), F.floor(F.col("layout") / 64).cast("int"), F.col("layout") % 64
+
+    def keys(moved: bool) -> Column:
+        out = []
+        for slot in slots:
+            for move in range(-slot[2], slot[2] + 1) if moved else (0,):
+                key, inside = _key(line, n, size, slot, move)
+                out.append(F.when((edits >= slot[3]) & inside, key))
+        return F.array(*out)
 
-    def placed(line_length: Column, t: int, i: int, move: int, inside: bool) -> Column:
-        start, size = _segments(line_length, i, t + 1)
-        key = F.xxhash64(line_length, F.lit(i), F.substring(line, start + move + 1, size))
-        return F.when((start + move >= 0) & (start + move + size <= length), key) if inside else key
-
-    def chosen(line_length: Column, by_edits: dict[int, Column]) -> Column:
-        allowed, (first, *rest) = _allowed(line_length, threshold), sorted(by_edits.items())
-        out = F.when(allowed == first[0], first[1])
-        for t, c in rest:
-            out = out.when(allowed == t, c)
-        return out
-
-    own = [chosen(length, {t: placed(length, t, i, 0, False) for t in range(max(1, i), threshold + 1)}) for i in range(threshold + 1)]
-    probes = []
-    for shift in range(threshold + 1):
-        other, places = length - shift, {}
-        for t in range(max(1, shift), threshold + 1):
-            moves = [(i, move) for i in range(t + 1) for move in range(max(-i, shift - (t - i)), min(i, shift + (t - i)) + 1)]
-            for slot, (i, move) in enumerate(moves):
-                places.setdefault(slot, {})[t] = placed(other, t, i, move, True)
-        probes += [chosen(other, by_edits) for by_edits in places.values()]
-    return own, probes
+    index = texts.select("id", "line", "n", "traits", _layout(n, threshold).alias("layout"))
+    index = index.select(F.col("id").alias("h"), F.col("traits").alias("x"), F.explode(keys(False)).alias("key")).where("key is not null")
+    shorter = [F.when(F.lit(less) <= _allowed(n - less, threshold), _layout(n - less, threshold)) for less in range(threshold + 1)]
+    probe = texts.select("id", "line", "n", "traits", F.explode(F.array_distinct(F.array(*shorter))).alias("layout")).where("layout is not null")
+    probe = probe.select(F.col("id").alias("g"), F.col("traits").alias("y"), F.explode(keys(True)).alias("key")).where("key is not null")
+    counts = [F.abs(F.pmod(F.shiftright("x", 32 + 7 * i).bitwiseAND(F.lit(127)) - F.shiftright("y", 32 + 7 * i).bitwiseAND(F.lit(127)) + 64, F.lit(128)) - 64) for i in range(len(_COUNTED))]
+    more = F.col("y").bitwiseAND(F.lit(0xFFFFFFFF)) - F.col("x").bitwiseAND(F.lit(0xFFFFFFFF))
+    near = more.between(0, threshold) & ((more > 0) | (F.col("h") < F.col("g"))) & (sum(counts, F.lit(0)) <= 2 * threshold)
+    return index.join(probe, (index["key"] == probe["key"]) & near).select("h", "g").distinct()
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -127,36 +139,44 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     all others. Rows that repeat an id and a text have lines of the same name, kept together. An empty table gives no rows. Other columns
     are ignored. Lines are told apart by 128 bits of hashes.
     """
+    spark = docs.sparkSession
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line")).where(F.trim("line") != "")
-    lines = lines.withColumn("h", F.struct(F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(7)).alias("b"))).withColumn("n_chars", F.length("line"))
-    own, probes = _keys(F.col("line"), F.col("n_chars"), threshold)
-    counts = [F.pmod(F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(c))), F.lit(128)).cast("tinyint") for c in _COUNTED]
-    values = {f"{kind}{i}": c for kind, columns in (("own", own), ("probe", probes), ("count", counts)) for i, c in enumerate(columns)}
-    # all of fixed width and equal for equal lines, so that a hash aggregation takes them
-    keyed = lines.where(F.col("n_chars") >= F.lit(max(least, threshold + 1))).select("h", *[c.alias(name) for name, c in values.items()])
-    keyed = keep(keyed.groupBy("h").agg(*[F.max(name).alias(name) for name in values]), "line_keys", release=True)
-    index = keyed.select("h", F.explode(F.array(*[f"own{i}" for i in range(len(own))])).alias("key"), *[F.col(f"count{i}").alias(f"c{i}") for i in range(len(counts))]).where("key is not null")
-    probe = keyed.select(F.col("h").alias("g"), F.explode(F.array_distinct(F.array(*[f"probe{i}" for i in range(len(probes))]))).alias("key"), *[F.col(f"count{i}").alias(f"e{i}") for i in range(len(counts))]).where("key is not null")
-    apart = sum((F.abs(F.pmod(F.col(f"c{i}").cast("int") - F.col(f"e{i}").cast("int") + 64, F.lit(128)) - 64) for i in range(len(_COUNTED))), F.lit(0))
-    pairs = index.join(probe, (index["key"] == probe["key"]) & (F.col("h") != F.col("g")) & (apart <= 2 * threshold))
-    pairs = keep(pairs.select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).distinct(), "line_pairs", release=True)
-    drop(keyed)
-    wanted = pairs.select(F.explode(F.array("h", "g")).alias("h")).distinct()
-    texts = keep(lines.select("h", "line").join(wanted, "h").groupBy("h").agg(F.any_value("line").alias("line")), "line_texts", release=True)
-    both = pairs.join(texts, "h").join(texts.select(F.col("h").alias("g"), F.col("line").alias("other")), "g")
+    lines = lines.withColumn("ha", F.xxhash64("line")).withColumn("hb", F.xxhash64("line", F.lit(7)))
+    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = keep(lines.select("doc_id", "line_no", F.length("line").alias("n_chars"), "ha", "hb", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(salts)).cast("int").alias("salt")), "line_places")
+    # ids are as written: a table's rows keep them whatever is computed again
+    texts = lines.groupBy("ha", "hb").agg(F.max("line").alias("line")).where(F.length("line") >= F.lit(max(least, threshold + 1)))
+    counts = [F.shiftleft(F.pmod(F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(c))), F.lit(128)).cast("long"), 32 + 7 * i) for i, c in enumerate(_COUNTED)]
+    texts = texts.select(F.monotonically_increasing_id().alias("id"), "ha", "hb", "line", F.length("line").alias("n"), sum(counts, F.length("line").cast("long")).alias("traits"))
+    texts = keep(texts, "line_texts", release=True)
+    # a few segments at a time: only their keys lie in shuffle files at once
+    slots, parts = _slots(threshold), []
+    for group in range((len(slots) + 1) // 2):
+        chosen = [s for s in (slots[group], slots[-1 - group] if group != len(slots) - 1 - group else None) if s]
+        parts.append(keep(_candidates(texts, chosen, threshold), "line_pairs", release=True))
+    pairs = parts[0]
+    for part in parts[1:]:
+        pairs = pairs.unionByName(part)
+    pairs = keep(pairs.distinct(), "line_pairs", release=True)
+    drop(*parts)
+    wanted = pairs.select(F.explode(F.array("h", "g")).alias("id")).distinct()
+    near = keep(texts.join(wanted, "id").select("id", "ha", "hb", "line"), "line_near", release=True)
+    drop(texts)
+    both = pairs.join(near.select(F.col("id").alias("h"), "line"), "h").join(near.select(F.col("id").alias("g"), F.col("line").alias("other")), "g")
     longer, shorter = F.when(F.length("line") >= F.length("other"), F.col("line")).otherwise(F.col("other")), F.when(F.length("line") >= F.length("other"), F.col("other")).otherwise(F.col("line"))
     both = _stripped(both.select("h", "g", _allowed(F.least(F.length("line"), F.length("other")), threshold).alias("allowed"), longer.alias("longer"), shorter.alias("shorter")))
     links = keep(both.where(banded_distance(F.col("longer"), F.col("shorter"), threshold) <= F.col("allowed")).select(F.col("h").alias("a"), F.col("g").alias("b")), "line_links", release=True)
-    drop(pairs, texts)
+    drop(pairs)
     found = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    linked = found.join(degree, "node").join(near.select(F.col("id").alias("node"), "ha", "hb"), "node").select("ha", "hb", "component", "links")
     # by text and salt first, so that a text with any share of the lines is spread over tasks, here and in the last join
-    salted = lines.select("doc_id", "line_no", "n_chars", "h", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(16)).alias("salt"))
-    firsts = salted.groupBy("h", "salt").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    firsts = firsts.groupBy("h").agg(F.min("first").alias("first"), F.collect_list("salt").alias("salts"))
-    joined = keep(firsts.join(found.join(degree, "node", "left"), F.col("h") == F.col("node"), "left").select("h", "first", "salts", "component", "links"), "line_firsts")
+    firsts = at.groupBy("ha", "hb", "salt").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    firsts = firsts.groupBy("ha", "hb").agg(F.min("first").alias("first"), F.collect_list("salt").alias("salts"))
+    joined = keep(firsts.join(linked, ["ha", "hb"], "left"), "line_firsts", release=True)
+    drop(near, links)
     classes = joined.where("component is not null").groupBy("component").agg(F.min("first").alias("class"))
-    names = joined.join(classes, "component", "left").select("h", F.coalesce("class", "first").alias("class"), F.coalesce("links", F.lit(0)).alias("links"), F.explode("salts").alias("salt"))
-    out = salted.join(names, ["h", "salt"])
+    names = joined.join(classes, "component", "left").select("ha", "hb", F.coalesce("class", "first").alias("class"), F.coalesce("links", F.lit(0)).alias("links"), F.explode("salts").alias("salt"))
+    out = at.join(names, ["ha", "hb", "salt"])
     kept = F.struct(F.col("doc_id").alias("doc_id"), F.col("line_no").alias("line_no")).eqNullSafe(F.struct(F.col("class.doc_id").alias("doc_id"), F.col("class.line_no").alias("line_no")))
     return out.select("doc_id", "line_no", "n_chars", F.col("class.doc_id").alias("class_doc"), F.col("class.line_no").alias("class_line"), "links", kept.alias("kept"))
