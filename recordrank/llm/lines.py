@@ -18,6 +18,8 @@ from .scratch import drop, keep
 
 #: Letters whose counts are compared before verification.
 _COUNTED = "etan"
+#: Letters whose counts are compared once what two lines begin and end with alike is gone.
+_FREQUENT = "etaoinsrhldcumpfg "
 #: Characters of a line for each edit beyond the first.
 PER_EDIT = 12
 
@@ -130,6 +132,15 @@ def _stripped(pairs: DataFrame, rounds: int = 5) -> DataFrame:
     return pairs.select("h", "g", "allowed", F.inline(F.array(F.struct("longer", "shorter"))))
 
 
+def _letters_apart(a: Column, b: Column) -> Column:
+    """By how much the counts of the frequent letters differ in all: an edit changes it by 2 at most."""
+
+    def count(text: Column, letter: str) -> Column:
+        return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(letter)))
+
+    return sum((F.abs(count(a, c) - count(b, c)) for c in _FREQUENT), F.lit(0))
+
+
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 1, least: int = 8) -> DataFrame:
     """``(doc_id, line_no, n_chars, class_doc, class_line, links, kept)`` for each line that is not blank.
 
@@ -165,6 +176,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     both = pairs.join(near.select(F.col("id").alias("h"), "line"), "h").join(near.select(F.col("id").alias("g"), F.col("line").alias("other")), "g")
     longer, shorter = F.when(F.length("line") >= F.length("other"), F.col("line")).otherwise(F.col("other")), F.when(F.length("line") >= F.length("other"), F.col("other")).otherwise(F.col("line"))
     both = _stripped(both.select("h", "g", _allowed(F.least(F.length("line"), F.length("other")), threshold).alias("allowed"), longer.alias("longer"), shorter.alias("shorter")))
+    both = both.where(_letters_apart(F.col("longer"), F.col("shorter")) <= 2 * F.col("allowed"))
     links = keep(both.where(banded_distance(F.col("longer"), F.col("shorter"), threshold) <= F.col("allowed")).select(F.col("h").alias("a"), F.col("g").alias("b")), "line_links", release=True)
     drop(pairs)
     found = components(links)
