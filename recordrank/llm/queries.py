@@ -16,6 +16,7 @@ from .lines import line_classes
 from .mixing import mix_sources
 from .packing import pack_documents
 from .pii import pseudonymise
+from .spelling import observed_words, spelling_variants
 from .toxicity import toxicity
 
 
@@ -70,7 +71,11 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_toxicity, op4_perspectives, op5_jaccard, op6_language_model, op7_lines, op8_packing, op9_decontamination, op10_exact)}
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(observed_words(_table(spark, sf_dir, "documents")).where("n >= 5"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_toxicity, op4_perspectives, op5_jaccard, op6_language_model, op7_lines, op8_packing, op9_decontamination, op10_exact, op13_spelling)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -114,4 +119,20 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
             doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, {_LOW} AS t FROM documents)""",
+    # crc32 bit by bit; beyond U+007F, letters of runs have two bytes, the first of which is 195
+    "op13_spelling": """
+        WITH RECURSIVE r AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{C0}-\\x{FF}]+')) AS run FROM documents)
+                WHERE length(run) >= 6 GROUP BY ALL),
+        b AS (SELECT run, k, flatten(list_transform(flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)),
+                lambda x: list_transform(range(8), lambda i: (x >> i) & 1))) AS bits FROM r),
+        h AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295::BIGINT, bits), lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295::BIGINT) AS h FROM b),
+        w AS (SELECT CASE WHEN h % 199 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, k FROM h),
+        v AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+        d AS MATERIALIZED (SELECT word, p, word[1:p - 1] || word[p + 1:] AS cut FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM v)),
+        i AS MATERIALIZED (SELECT d.word AS a, v.word AS b FROM d JOIN v ON v.word = d.cut),
+        q AS MATERIALIZED (SELECT x.word AS a, y.word AS b FROM d x JOIN d y ON x.cut = y.cut AND x.p = y.p AND x.word <> y.word UNION SELECT a, b FROM i UNION SELECT b, a FROM i),
+        m AS (SELECT a, count(*) AS n_near, arg_min(struct_pack(w := b, n := v.n), struct_pack(k := -v.n, w := b)) AS top FROM q JOIN v ON v.word = q.b GROUP BY a),
+        f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top.n >= 5 * n THEN top.w END AS form, CASE WHEN top.n >= 5 * n THEN top.n END AS form_n FROM v LEFT JOIN m ON m.a = v.word),
+        c AS (SELECT word, word AS root, 0 AS depth FROM f UNION ALL SELECT c.word, f.form, depth + 1 FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, (SELECT arg_max(root, depth) FROM c WHERE c.word = f.word) AS root, f.n, f.n_near, f.form_n FROM f""",
 }
