@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +41,18 @@ class Encoder:
         import tiktoken
 
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.clear()
+
+    def clear(self) -> None:
         self.known: dict[int, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
         self.bounds = [0]
 
+    def many(self, texts: list[str]) -> Iterable[list[int]]:
+        return map(self.encoding.encode_ordinary, texts)
+
     def _add(self, keys: list[int], units: list[str]) -> None:
-        for k, ids in zip(keys, map(self.encoding.encode_ordinary, units)):
+        for k, ids in zip(keys, self.many(units)):
             end = self.bounds[-1] + len(ids)
             if end > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
@@ -59,7 +65,7 @@ class Encoder:
         for part in slices(texts, SPACE):
             own = [t or "" for t in texts.slice(part.at, part.n_docs).to_pylist()]
             if any(_WIDE.search(t) for t in own):
-                ids = [self.encoding.encode_ordinary(t) for t in own]
+                ids = list(self.many(own))
                 yield part.at, np.concatenate([np.array(x, np.int32) for x in ids]), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
                 continue
             raw = np.frombuffer("".join(own).encode(), np.uint8)

@@ -7,6 +7,7 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokenizers
 from .decontaminate import benchmark_overlap
 from .dialogue import rotate
 from .exact import exact_duplicates
@@ -71,11 +72,15 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(_table(spark, sf_dir, "documents"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(observed_words(_table(spark, sf_dir, "documents")).where("n >= 5"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_toxicity, op4_perspectives, op5_jaccard, op6_language_model, op7_lines, op8_packing, op9_decontamination, op10_exact, op13_spelling)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_toxicity, op4_perspectives, op5_jaccard, op6_language_model, op7_lines, op8_packing, op9_decontamination, op10_exact, op12_alignment, op13_spelling)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
