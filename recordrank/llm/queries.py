@@ -11,6 +11,7 @@ from .alignment import align_tokenizers
 from .decontaminate import benchmark_overlap
 from .dialogue import rotate
 from .exact import exact_duplicates
+from .html_text import main_text
 from .jaccard import jaccard_classes
 from .language_model import score_documents
 from .lines import line_classes
@@ -72,6 +73,10 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(_table(spark, sf_dir, "documents"))
 
@@ -80,7 +85,7 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(observed_words(_table(spark, sf_dir, "documents")).where("n >= 5"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_toxicity, op4_perspectives, op5_jaccard, op6_language_model, op7_lines, op8_packing, op9_decontamination, op10_exact, op12_alignment, op13_spelling)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_toxicity, op4_perspectives, op5_jaccard, op6_language_model, op7_lines, op8_packing, op9_decontamination, op10_exact, op11_html, op12_alignment, op13_spelling)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
