@@ -13,6 +13,7 @@ from .functions import scoring as S
 from .functions import text as T
 from .functions import vocabulary as V
 from .operators import boards as B
+from .operators.acceptance import accepted
 from .operators import dedup as D
 from .operators import summaries as A
 from .plans import runs as R
@@ -303,7 +304,7 @@ def url_domain_health(spark, sf):
     a AS (SELECT user_id, l[1] AS got, l FROM t UNION ALL SELECT user_id, list_filter(l, lambda x: x >= a.got + INTERVAL 24 HOUR)[1], l FROM a WHERE len(list_filter(l, lambda x: x >= a.got + INTERVAL 24 HOUR)) > 0)
     SELECT user_id, count(*) AS n, CAST(min(got) AS VARCHAR) AS first_at, CAST(max(got) AS VARCHAR) AS last_at FROM a GROUP BY user_id""")
 def ttl_accept(spark, sf):
-    got = B.accepted(_table(spark, sf, "events"), "user_id")
+    got = accepted(_table(spark, sf, "events"), "user_id")
     text = lambda c: F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1")
     return got.groupBy("user_id").agg(F.count("*").alias("n"), text(F.min("accepted_at")).alias("first_at"), text(F.max("accepted_at")).alias("last_at"))
 

@@ -25,16 +25,6 @@ def toggled(events: DataFrame, key: str) -> DataFrame:
     return events.groupBy(key).agg(F.count("*").alias("c")).where("c % 2 = 1").drop("c")
 
 
-def accepted(log: DataFrame, key: str, gap: str = "interval 24 hours") -> DataFrame:
-    """Per key, the times that lie at least ``gap`` after the time accepted before: a fold over the key's sorted times."""
-    # the fold's state is the last accepted time; accepted ones are appended, which are far fewer than the times
-    kind = dict(log.dtypes)["ts"]
-    times = log.groupBy(key).agg(F.array_sort(F.collect_set("ts")).alias("ts"))
-    state = f"struct<last:{kind},got:array<{kind}>>"
-    step = f"aggregate(ts, cast(struct(null as last, array() as got) as {state}), (a, t) -> if(a.last is null or t >= a.last + {gap}, cast(struct(t as last, array_append(a.got, t) as got) as {state}), a), a -> a.got)"
-    return times.select(key, F.explode(F.expr(step)).alias("accepted_at"))
-
-
 def health(log: DataFrame, key: str, run: str, failed: Column) -> DataFrame:
     """State of each source after its last run, with hysteresis: blocked over 0.8 failures, free again under 0.3, from 3 requests on.
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordrank import catalog
-from recordrank.operators import boards as B
+from recordrank.operators.acceptance import accepted
 from recordrank.streaming.state import accepted_stream, health_stream, latest_stream, new_runs, progress_stream
 
 SF = "/root/testdata/sf0.001"
@@ -37,7 +37,7 @@ def test_streams_agree_with_batches(spark, tmp_path):
     stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))
     for name, df, mode in (("acc", accepted_stream(stream, "user_id"), "append"), ("last", latest_stream(stream, "user_id", "event_type"), "complete")):
         df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start().awaitTermination()
-    batch = B.accepted(log.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "user_id")
+    batch = accepted(log.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "user_id")
     assert spark.table("acc").count() == batch.count()
     assert spark.table("last").count() == log.select("user_id").distinct().count()
 
