@@ -16,7 +16,9 @@ from .jaccard import unique_and_repeated
 from .scratch import keep
 
 _WORDS = r"[^\x20\x09-\x0D]+"
-_ITEM = "struct<doc_id:bigint,size:bigint,p:double>"
+#: A row: its id, size, text's hash, number among rows that share these, and probability.
+_ITEM = "struct<doc_id:bigint,size:bigint,h:bigint,twin:bigint,p:double>"
+_KEY = ["source", "doc_id", "size", "h"]
 _STATE = f"struct<open:{_ITEM},up:array<{_ITEM}>>"
 
 
@@ -60,11 +62,11 @@ def _fold(items: Column, seed: int) -> Column:
         none = F.lit(None).cast(_ITEM)
 
         def settled(x: Column, p: Column) -> tuple[Column, Column, Column]:
-            return p > 1 - 1e-9, p < 1e-9, F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), p.alias("p"))
+            return p > 1 - 1e-9, p < 1e-9, F.struct(*[x[c].alias(c) for c in ("doc_id", "size", "h", "twin")], p.alias("p"))
 
         rise = F.least(a["size"] * (1 - a["p"]), b["size"] * b["p"])  # words that a may win from b
         fall = F.least(a["size"] * a["p"], b["size"] * (1 - b["p"]))
-        move = F.when(_uniform(seed, a["doc_id"], b["doc_id"], a["size"]) * (rise + fall) < fall, rise).otherwise(-fall)
+        move = F.when(_uniform(seed, *[x[c] for x in (a, b) for c in ("doc_id", "size", "h", "twin")]) * (rise + fall) < fall, rise).otherwise(-fall)
         a_one, a_none, a_new = settled(a, a["p"] + move / a["size"])
         b_one, b_none, b_new = settled(b, b["p"] - move / b["size"])
         ups = F.concat(up, F.when(a_one, F.array(a_new)).otherwise(F.array().cast(f"array<{_ITEM}>")), F.when(b_one, F.array(b_new)).otherwise(F.array().cast(f"array<{_ITEM}>")))
@@ -80,49 +82,55 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A size is a text's number of words; a null text has none. A document is taken a whole number of times, at most
     ``ceil(most)`` times. A null source is a source of its own. Documents of size 0 give no words and are copied the sure
-    number of times. Random choices depend on ids and sizes only, so reruns agree; rows that repeat an id and a size are
-    rounded together and share the choice evenly as near as whole copies allow. An empty table gives no rows. Other
-    columns are ignored.
+    number of times. Random choices depend on ids, sizes and texts only, so reruns agree; rows that repeat all of these are told apart by a
+    number. An empty table gives no rows. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    sized = keep(rows, "mix_sizes")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    groups = _rounded(docs, id_col, text_col, source_col, weights, share, most, leaf, seed)
+    rows = groups.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("twin"))
+    copies = (F.col("sure") + F.when(F.col("twin") <= F.col("ups"), 1).otherwise(0)).cast("long")
+    return rows.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source")
+
+
+def _rounded(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, leaf: int = 64, seed: int = 11) -> DataFrame:
+    """Rows by source, id, size and text: ``m`` equal ones, each taken ``sure`` times and ``ups`` of them once more."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("h"))
+    sized = keep(rows.groupBy(*_KEY).agg(F.count("*").alias("m")), "mix_sizes")
+    sources = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.sum("m").alias("n"))
     targets = keep(source_targets(sources.drop("n"), weights, share, most).join(sources.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix_targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     sized = sized.alias("a").join(targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "source_size", "target", "n", rate.alias("rate"))
     sized = sized.withColumn("sure", F.floor(F.col("rate") + 1e-9)).withColumn("p", F.greatest(F.col("rate") - F.col("sure"), F.lit(0.0)))
-    open_docs = sized.where("p > 1e-9 and size > 0")
     most_n = targets.agg(F.max("n")).first()[0] or 0
-    # repeated rows are told apart by their number, so that no two are one
-    twin = Window.partitionBy("source", "doc_id", "size").orderBy(F.lit(0))
-    level = open_docs.groupBy("source", "doc_id", "size", "p", "n").agg(F.count("*").alias("m")).select("source", "n", F.col("doc_id"), "size", "p", F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("twin"))
+    level = sized.where("p > 1e-9 and size > 0").select("n", "p", *_KEY, F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("twin"))
     ups, depth = [], 0
     while True:
         # a leaf for each `leaf` documents of a source; the last level has one
         leaves = F.greatest(F.lit(1), F.ceil(F.col("n") / float(leaf) ** (depth + 1)))
-        spot = F.pmod(F.xxhash64(F.lit(seed + depth), "doc_id", "size", "twin") if depth == 0 else F.xxhash64(F.lit(seed + depth), "doc_id", "size"), leaves)
-        item = F.struct((-F.col("size")).alias("order"), _uniform(seed + 100 + depth, "doc_id").alias("r"), F.struct("doc_id", "size", "p").cast(_ITEM).alias("item"))
+        spot = F.pmod(F.xxhash64(F.lit(seed + depth), "doc_id", "size", "h", "twin"), leaves)
+        item = F.struct((-F.col("size")).alias("order"), _uniform(seed + 100 + depth, "doc_id", "h", "twin").alias("r"), F.struct("doc_id", "size", "h", "twin", "p").cast(_ITEM).alias("item"))
         folded = level.groupBy("source", "n", spot.alias("leaf")).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["item"]).alias("items"))
         folded = keep(folded.select("source", "n", _fold(F.col("items"), seed + 200 + depth).alias("f")).select("source", "n", "f.open", "f.up"), f"mix_level{depth}")
-        ups.append(folded.select("source", F.explode("up").alias("u")).select("source", "u.doc_id", "u.size"))
+        ups.append(folded.select("source", F.explode("up").alias("u")).select("source", "u.doc_id", "u.size", "u.h"))
         level = folded.where("open is not null").select("source", "n", "open.*")
         if most_n <= leaf ** (depth + 1):
             break
         depth += 1
-    last = level.where(_uniform(seed + 300, "doc_id") < F.col("p")).select("source", "doc_id", "size")
+    last = level.where(_uniform(seed + 300, "doc_id", "h", "twin") < F.col("p")).select(*_KEY)
     for x in ups:
         last = last.unionByName(x)
-    counts = last.groupBy(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("size").alias("z")).agg(F.count("*").alias("ups"))
-    out = sized.withColumn("twin", F.row_number().over(twin)).alias("a").join(counts, F.col("a.source").eqNullSafe(F.col("s")) & F.col("a.doc_id").eqNullSafe(F.col("d")) & (F.col("a.size") == F.col("z")), "left")
-    copies = (F.col("sure") + F.when(F.col("twin") <= F.col("ups"), 1).otherwise(0)).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source")
+    counts = last.groupBy(*[F.col(c).alias(f"_{c}") for c in _KEY]).agg(F.count("*").alias("ups"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _KEY]
+    return sized.join(counts, same[0] & same[1] & same[2] & same[3], "left").select(*_KEY, "source_size", "target", "m", "sure", F.coalesce("ups", F.lit(0)).alias("ups"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **mix) -> DataFrame:
-    """The mix itself: the rows of ``docs``, with all their columns, each as often as it is taken."""
-    taken = mix_sources(docs, id_col, text_col, source_col, **mix).groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("words"))
-    taken = taken.agg(F.count("*").alias("rows"), F.sum("copies").alias("copies")).where("copies > 0")
+    """The mix itself: the rows of ``docs``, with all their columns, each as often as it is taken.
+
+    Rows of one id, source and text are one document to the mix: their copies together are copies of one of them.
+    """
+    copies = (F.col("m") * F.col("sure") + F.col("ups")).cast("long")
+    taken = _rounded(docs, id_col, text_col, source_col, **mix).select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("h").alias("as"), F.col("size").alias("words"), F.col("m").alias("rows"), copies.alias("copies")).where("copies > 0")
     row = lambda c: F.col(f"row.{c}")
-    same = row(id_col).cast("long").eqNullSafe(F.col("id")) & row(source_col).eqNullSafe(F.col("of")) & (word_count(row(text_col)) == F.col("words"))
+    same = row(id_col).cast("long").eqNullSafe(F.col("id")) & row(source_col).eqNullSafe(F.col("of")) & (F.xxhash64(row(text_col)) == F.col("as")) & (word_count(row(text_col)) == F.col("words"))
     rows = unique_and_repeated(docs, taken, same, [id_col, source_col, text_col])
     return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

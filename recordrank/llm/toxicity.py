@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label")).where(F.col("label").isNotNull() & (_crc(F.col("doc_id")) % folds != 0))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     seen = known.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("label") == 1).cast("int")), F.lit(0)).alias("p")).first()
-    prior = min(max(seen.p / seen.n, 1e-4), 0.5) if seen.n else 0.01
+    prior = min(max(seen.p / seen.n, 1e-4), 1 - 1e-4) if seen.n else 0.01
     order = F.xxhash64(F.col("doc_id"), F.lit(3))
     chosen = known.where("label = 1").orderBy(order).limit(positives).select("doc_id", F.lit(True).alias("positive"))
     n = rows.count()
@@ -117,7 +117,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     part = min(1.0, unlabelled / max(n, 1))
     pick = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 30)) < int(part * (1 << 30))
     sample = rows.where(F.col("doc_id").isNotNull() & (_crc(F.col("doc_id")) % folds != 0)).join(F.broadcast(chosen), "doc_id", "left")
-    sample = sample.select(F.coalesce("positive", F.lit(False)).alias("positive"), pick.alias("picked"), "text").where("positive or picked")
+    sample = sample.select("doc_id", F.coalesce("positive", F.lit(False)).alias("positive"), pick.alias("picked"), "text").where("positive or picked")
+    # both depend on the id alone: one row for each id, of repeated ids the text of the least hash, so that the bounds are bounds on rows
+    sample = sample.groupBy("doc_id", "positive", "picked").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text")).drop("doc_id")
     sample = keep(sample.mapInArrow(_sampled, "positive boolean, picked boolean, codes array<int>"), "toxic_sample")
     weights = np.zeros(BUCKETS, np.float32)
     size = sample.agg(F.count_if("positive").alias("p"), F.count_if("picked").alias("u")).first()
@@ -149,8 +151,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """``(doc_id, held_out, score, predicted)`` for each row of ``docs``.
 
     Labels are learned only from ids whose crc32 modulo ``folds`` is not 0. At most ``positives`` toxic documents and about
-    ``unlabelled`` others are fitted on, chosen by a hash of the id; the class prior is counted over all labels of the learning
-    folds. Scores depend on the text alone; a null or empty text gets the score of the bias. A null id is not held out and not
+    ``unlabelled`` others are fitted on, chosen by a hash of the id; an id that repeats gives one row, of the text with the least hash. The class prior is the share
+    of toxic ones among all labels of the learning folds, kept within 0.0001 and 0.9999; without labels it is 0.01. Features are the ``keep_features`` hashed words and word beginnings that tell the two samples
+    apart best, of those in at least 5 sampled rows and more than 5 standard deviations apart. Scores depend on the text alone; a null or empty text gets the score of the bias. A null id is not held out and not
     learned from. Repeated documents are scored each; repeated labels count once, as toxic if any of them says so. Without labels
     the score is low everywhere. An empty table gives no rows. Other columns are ignored.
     """

@@ -601,3 +601,45 @@ def test_numbers_and_buckets(spark):
     assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
     assert sum(r["count"] for r in counts.collect()) == 100 and len(spark.catalog.listTables()) == before
     drop(table)
+
+
+def test_mixed_takes_each_text_as_often_as_its_row(spark):
+    rows = [(None, f"t{i} b c", "a") for i in range(50)] + [(7, f"u{i} b", "b") for i in range(20)] + [(8, "same words", "b")] * 5 + [(9, None, None), (9, "", None), (9, "x", "b"), (9, "x", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("h", F.lit(1)).withColumn("copies", F.lit("c"))
+    size = lambda t: len((t or "").split())
+    got = mixed(df, weights=(1.0,), share=1.7, most=4.0).collect()
+    taken = mix_sources(df, weights=(1.0,), share=1.7, most=4.0).collect()
+    assert len(got) == sum(r.copies for r in taken) and len(taken) == len(rows)
+    want, sizes = Counter(), Counter((i, s, size(t)) for i, t, s in rows)
+    for r in taken:
+        want[r.doc_id, r.source, r.size] += r.copies
+    assert Counter((r.doc_id, r.source, size(r.text)) for r in got) == +want
+    each = Counter((r.doc_id, r.text, r.source) for r in got)
+    for (i, t, s), n in each.items():
+        rate = next(r.target / r.source_size for r in taken if r.source == s)
+        assert abs(n - rate * rows.count((i, t, s))) < rows.count((i, t, s)) + 1e-9
+    assert sum(sizes.values()) == len(rows)
+
+
+def test_mixing_is_unbiased(spark):
+    df = spark.createDataFrame([(i, "w " * (1 + i % 7), "a") for i in range(40)] + [(99, "w " * 40, "b")], "doc_id long, text string, source string")
+    runs = [{r.doc_id: (r.copies, r.target / r.source_size) for r in mix_sources(df, weights=(1, 2), share=0.8, leaf=8, seed=s * 1000).collect()} for s in range(10)]
+    for i in (0, 3, 6, 17, 39):
+        rate = runs[0][i][1]
+        assert abs(sum(r[i][0] for r in runs) / len(runs) - rate) < 0.55
+    assert abs(sum(r[i][0] for r in runs for i in range(40)) / (10 * 40) - runs[0][0][1]) < 0.08
+
+
+def test_toxicity_sample_is_bounded_by_rows(spark, monkeypatch):
+    from recordrank.llm import toxicity as T
+
+    bad, good = "awful slur filth hate venom", "garden river bread lamp quiet"
+    rows = [(0, f"{bad} {good} n{i % 7}") for i in range(20000)] + [(i, f"{bad if i % 4 == 0 else good} {'pad ' * (i % 9)}") for i in range(1, 1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1200)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(T, "train", lambda xp, xu, prior, real=T.train: seen.append((len(xp), len(xu), prior)) or real(xp, xu, prior))
+    got = T.toxicity(docs, labels, positives=50, unlabelled=20000).where("held_out and doc_id > 0").collect()
+    (p, u, prior), = seen
+    assert p <= 50 and u <= 1200 and 0.2 < prior < 0.3
+    assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in got) >= 0.95 * len(got)
