@@ -441,7 +441,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     out = stats.join(differ, "host").where(fixed | (F.col("linked") * 10 >= F.col("chars") * 9)).groupBy("host").agg(F.collect_set("slot").alias("out"))
     # the best known place of a structure that still has text is its article
     ok = where.join(out, "host", "left").withColumn("_p", F.transform(F.arrays_zip("slots", "places"), lambda x: F.when(F.array_contains(F.coalesce("out", F.array()), x["slots"]), F.lit(-1)).otherwise(x["places"])))
-    ok = ok.select("host", "structure", F.transform("_p", lambda p: (p >= 0) & (p == F.array_max("_p"))).alias("ok"))
+    # written, so that its size is known when the pages are joined with it, and pages are not shuffled where it is small
+    ok = keep(ok.select("host", "structure", F.transform("_p", lambda p: (p >= 0) & (p == F.array_max("_p"))).alias("ok")), "kept")
     blocks = F.transform(F.filter("blocks", lambda b: F.get("ok", b["at"])), lambda b: b["text"])
     text = F.array_join(blocks, "\n")
     return table.join(ok, ["host", "structure"], "left").select("page_id", "url", F.coalesce(text, F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast(LongType()))
