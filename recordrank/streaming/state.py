@@ -58,16 +58,10 @@ def health_stream(log: DataFrame, key: str) -> DataFrame:
     return log.groupBy(key).applyInPandasWithState(add, f"{key} {kind}, total bigint, errors bigint, blocked boolean", "total bigint, errors bigint, blocked boolean", "update", GroupStateTimeout.NoTimeout)
 
 
-def progress_stream(lines: DataFrame, late: str = "10 minutes", window: str = "8 seconds") -> DataFrame:
-    """The last progress line of each window; ``lines`` has ``ts`` and ``line``: the phase, what it is at, how many of how many, and links found."""
-    phase = F.when(F.contains("line", F.lit("Discovering:")), "discovery").when(F.contains("line", F.lit("[DETAIL MODE]")), "detail").when(F.contains("line", F.lit("Parsing detail:")), "pages").when(F.contains("line", F.lit("Page")) & F.contains("line", F.lit("links")), "links")
-    number = lambda pattern, group=1: F.regexp_extract("line", pattern, group).try_cast("int")
-    step, total = number(r"(\d+)\s*/\s*(\d+)"), number(r"(\d+)\s*/\s*(\d+)", 2)
-    found = lines.withWatermark("ts", late).withColumns({"phase": F.coalesce(phase, F.when(step.isNotNull(), "pages")), "step": step, "total": total, "links": F.coalesce(number(r"total (\d+)"), number(r"(\d+) new links")), "source": F.nullif(F.trim(F.regexp_extract("line", r"Discovering:(.*)$", 1)), F.lit(""))})
-    last = F.max_by(F.struct("phase", "step", "total", "links", "source"), "ts").alias("last")
-    return found.where("phase is not null").groupBy(F.window("ts", window)).agg(last).select("window.start", "last.*", F.floor(F.col("last.step") * 100 / F.nullif("last.total", F.lit(0))).alias("percent"))
-
-
-def new_runs(spark: SparkSession, path: str, schema: str = "run_id string, finished_at string", every: str | None = None) -> tuple[DataFrame, dict]:
-    """Summaries of runs as they are published under a folder, and the trigger to read them with: at an interval, or all that is there once."""
-    return spark.readStream.schema(schema).json(path).dropDuplicates(["run_id"]), {"processingTime": every} if every else {"availableNow": True}
+def new_runs(spark: SparkSession, path: str, schema: str = "run_id string, finished_at timestamp", every: str | None = None, again: str = "7 days") -> tuple[DataFrame, dict]:
+    """Summaries of runs as they are published under a folder, and the trigger to read them with: at an interval, or all that is there once.
+
+    A run published again within ``again`` of the latest one is left out; ids older than that are forgotten, so the state stays as large as that span.
+    """
+    runs = spark.readStream.schema(schema).json(path).withWatermark("finished_at", again)
+    return runs.dropDuplicatesWithinWatermark(["run_id"]), {"processingTime": every} if every else {"availableNow": True}

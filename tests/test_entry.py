@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recordrank import catalog
 from recordrank.operators.acceptance import accepted
-from recordrank.streaming.state import accepted_stream, health_stream, latest_stream, new_runs, progress_stream
+from recordrank.streaming.state import accepted_stream, health_stream, latest_stream, new_runs
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
@@ -47,18 +47,15 @@ def test_whole_tables(spark, con, name):
     assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(con.execute(catalog.ORACLES[name]).df())
 
 
-def test_health_and_progress_streams(spark, tmp_path):
+def test_health_and_run_streams(spark, tmp_path):
     log = spark.createDataFrame([("a", i < 9) for i in range(10)] + [("b", False)] * 5 + [("c", True)] * 2, "d string, failed boolean")
     log.write.parquet(str(tmp_path / "log"))
-    lines = [("2026-01-01 00:00:01", "Discovering: Board one"), ("2026-01-01 00:00:03", "Parsing detail: [3/10] x"), ("2026-01-01 00:00:05", "noise"), ("2026-01-01 00:01:00", "Page 2: 7 links, total 40")]
-    spark.createDataFrame(lines, "ts string, line string").select(F.col("ts").cast("timestamp").alias("ts"), "line").write.parquet(str(tmp_path / "lines"))
     read = lambda n: spark.readStream.schema(spark.read.parquet(str(tmp_path / n)).schema).parquet(str(tmp_path / n))
-    for name, df, mode in (("health", health_stream(read("log"), "d"), "update"), ("steps", progress_stream(read("lines")), "complete")):
+    for name, df, mode in (("health", health_stream(read("log"), "d"), "update"),):
         df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"at_{name}")).start().awaitTermination()
     assert {(r.d, r.total, r.errors, r.blocked) for r in spark.table("health").collect()} == {("a", 10, 9, True), ("b", 5, 0, False), ("c", 2, 2, False)}
-    assert [(r.phase, r.step, r.total, r.links, r.percent) for r in spark.table("steps").orderBy("start").collect()] == [("pages", 3, 10, None, 30), ("links", None, None, 40, None)]
     (tmp_path / "runs").mkdir()
-    (tmp_path / "runs" / "a.json").write_text('{"run_id": "r1", "finished_at": "x"}\n{"run_id": "r1", "finished_at": "x"}')
+    (tmp_path / "runs" / "a.json").write_text('{"run_id": "r1", "finished_at": "2026-01-01T00:00:00Z"}\n{"run_id": "r1", "finished_at": "2026-01-01T00:00:00Z"}')
     found, trigger = new_runs(spark, str(tmp_path / "runs"))
     found.writeStream.format("memory").queryName("runs").trigger(**trigger).option("checkpointLocation", str(tmp_path / "at_runs")).start().awaitTermination()
     assert [r.run_id for r in spark.table("runs").collect()] == ["r1"]
