@@ -26,7 +26,7 @@ from .packing import Encoder
 from .scratch import drop, keep
 
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 def read_file(spark: SparkSession, path: str) -> bytes:
