@@ -21,15 +21,20 @@ def root(spark: SparkSession) -> str:
     return f"{(path or '/tmp/checkpoints').rstrip('/')}/recordrank"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read back."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder of its own, deleted when the process ends."""
     path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not _LEFT:
         atexit.register(_clear)
     _LEFT.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet and read back."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _clear() -> None:
