@@ -61,7 +61,7 @@ def with_model(df: DataFrame, score: Callable[[DataFrame], DataFrame] | DataFram
     """
     chosen = df.where(F.col("match_score") >= least).orderBy(*rank_order()).limit(most)
     scores = score(chosen) if callable(score) else score
-    out = df.join(F.broadcast(scores.select("seq", "semantic_score")), "seq", "left")
+    out = df.join(scores.select("seq", "semantic_score"), "seq", "left")
     blended = S.blend(F.col("match_score"), F.col("semantic_score"))
     return out.withColumn("match_score", blended).withColumns({"match_category": S.category(F.col("match_score")), "recommendation": S.recommendation(F.col("match_score"), F.col("data_confidence"))})
 
