@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import csv
-import io
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.text import feed_title, listed, plain, unescaped
+from ..operators.summaries import ranked
+from ..plans.tables import written
 
 #: Headers of ranked files and their columns.
 HEADERS = {
@@ -25,69 +24,66 @@ def snake(name: str) -> str:
     return HEADERS.get(name) or "_".join("".join(ch if ch.isalnum() else " " for ch in name.lower()).split())
 
 
-def _files(spark: SparkSession, path: str, only: str | None, skip: tuple[str, ...]) -> dict[tuple[str, ...], list[str]]:
-    """CSV files under a folder, in order of path, by their header. The driver reads each file's first record and nothing else."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if not fs.exists(root):
-        return {}
-    found, names = fs.listFiles(root, True), []
-    while found.hasNext():
-        name = found.next().getPath().toString()
-        if name.endswith(".csv") and not any(x in name for x in skip) and (only is None or only in name):
-            names.append(name)
-    out: dict[tuple[str, ...], list[str]] = {}
-    for name in sorted(names):
-        stream = fs.open(jvm.org.apache.hadoop.fs.Path(name))
-        try:
-            head = bytes(stream.readNBytes(1 << 16))
-        finally:
-            stream.close()
-        header = next(csv.reader(io.StringIO(head.decode("utf-8-sig", "ignore"), newline="")), None)
-        if header:
-            out.setdefault(tuple(header), []).append(name)
-    return out
-
-
-def _plain_path(c):
-    return F.regexp_replace(c, "^([a-z0-9]+:)/+", "$1/")
+def _names(spark: SparkSession, headers: DataFrame) -> dict[str, str]:
+    """Columns by the names that files give them: as many rows for the driver as there are different names."""
+    return {r.name: snake(r.name) for r in headers.select(F.explode("header").alias("name")).distinct().where("name is not null").collect()}
 
 
 def read_ranked(spark: SparkSession, path: str, columns: list[str] | None = None, only: str | None = None, skip: tuple[str, ...] = ("latest", "archive_old")) -> DataFrame:
     """CSV files of ranked postings under a folder: quoted line ends, a byte-order mark, any columns in any order in each file.
 
-    Files are read by header, and columns are put together by name; a column that a file lacks is null. Files whose path contains a text of ``skip``
-    are left out, and with ``only`` those without it. Every row has ``run_path`` and a ``seq`` that orders the rows by path and place. A number that cannot be
-    read is 0 for the score and the confidence. No file gives an empty table of the named columns.
+    Files are listed and read by Spark alone, headers included, which stand on one line: a file's rows meet its header and are put together by name, so the number of files, or of different headers, sets no plan. A
+    column that a file lacks is null. Files whose path contains a text of ``skip`` are left out, and with ``only`` those without it. Every row has ``run_path`` and a ``seq`` that orders the rows by path and place. A
+    number that cannot be read is 0 for the score and the confidence. No file gives an empty table of the named columns.
     """
-    by_header = _files(spark, path, only, skip)
-    if not by_header:
+    where = F.col("_metadata.file_path")
+    chosen = F.lit(True) if only is None else F.contains(where, F.lit(only))
+    for x in skip:
+        chosen = chosen & ~F.contains(where, F.lit(x))
+
+    def empty() -> DataFrame:
         names = columns or list(dict.fromkeys(HEADERS.values()))
         return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in [*names, "run_path"]) + ", seq bigint")
-    numbers = spark.createDataFrame([(f, i) for i, f in enumerate(sorted(f for files in by_header.values() for f in files))], "_file string, _no bigint").select(_plain_path(F.col("_file")).alias("_file"), "_no")
-    out = None
-    for header, files in by_header.items():
-        schema = ", ".join(f"`c{i}` string" for i in range(len(header)))
-        df = spark.read.option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").schema(schema).csv(files)
-        names: dict[str, list] = {}
-        for i, name in enumerate(header):
-            names.setdefault(snake(name), []).append(listed(F.col(f"c{i}")))
-        for name, others in SYNONYMS.items():
-            if cells := [c for x in [name, *others] for c in names.pop(x, [])]:
-                names[name] = cells
-        df = df.select(*[F.coalesce(*cells).alias(name) for name, cells in names.items() if name], F.col("_metadata.file_path").alias("run_path"), F.monotonically_increasing_id().alias("_place"))
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    for c in ("match_score", "data_confidence"):
-        if c in out.columns:
-            out = out.withColumn(c, F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)))
-    for c in columns or []:
-        if c not in out.columns:
-            out = out.withColumn(c, F.lit(None).cast("string"))
+
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+    try:
+        lines = found.text(path).where(chosen)
+    except AnalysisException:
+        return empty()
+    # no header has more fields than its line has commas, and one
+    begun = lines.where("_metadata.file_block_start = 0").select(where.alias("f"), F.monotonically_increasing_id().alias("at"), "value")
+    first = begun.groupBy("f").agg(F.min_by("value", "at").alias("head"))
+    width = first.agg(F.max(F.length("head") - F.length(F.replace("head", F.lit(","))) + 1)).first()[0]
+    if not width:
+        return empty()
+    schema = ", ".join(f"`c{i}` string" for i in range(width))
+    csv = found.option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").option("enforceSchema", True).schema(schema)
+    cells = F.array(*[F.col(f"c{i}") for i in range(width)])
     # a file is read by one task from its start on, so its rows are numbered in their order
-    out = out.withColumn("_file", _plain_path(F.col("run_path"))).join(F.broadcast(numbers), "_file", "left")
-    seq = F.coalesce("_no", F.lit(0)) * F.lit(1 << 33) + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    return out.withColumn("seq", seq).drop("_file", "_no", "_place")
+    rows = csv.csv(path).where(chosen).select(where.alias("_file"), F.monotonically_increasing_id().alias("_place"), cells.alias("header"))
+    headers = written(rows.groupBy("_file").agg(F.min_by("header", "_place").alias("header")), "headers")
+    names = _names(spark, headers)
+    canonical = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else F.create_map().cast("map<string,string>")
+    numbered = ranked(headers, F.col("_file")).select("_file", F.transform("header", lambda n: canonical[n]).alias("_names"), F.col("rank").alias("_no"))
+    df = csv.option("header", True).csv(path).where(chosen).select(where.alias("run_path"), F.monotonically_increasing_id().alias("_place"), cells.alias("_cells")).join(numbered, F.col("run_path") == F.col("_file"))
+    df = df.withColumn("_pairs", F.arrays_zip("_names", "_cells"))
+    known = [n for n in dict.fromkeys(names.values()) if n]
+    wanted: dict[str, list[str]] = {n: [n] for n in known}
+    for name, others in SYNONYMS.items():
+        if given := [x for x in [name, *others] if wanted.pop(x, None)]:
+            wanted[name] = given
+
+    def value(name: str) -> Column:
+        return F.get(F.filter(F.transform(F.filter("_pairs", lambda p: p["_names"] == name), lambda p: listed(p["_cells"])), lambda v: v.isNotNull()), F.lit(0))
+
+    for c in columns or []:
+        wanted.setdefault(c, [])
+    cells_of = {n: F.coalesce(*[value(x) for x in given]) if given else F.lit(None).cast("string") for n, given in wanted.items()}
+    for c in ("match_score", "data_confidence"):
+        if wanted.get(c):
+            cells_of[c] = F.coalesce(cells_of[c].try_cast("double"), F.lit(0.0))
+    seq = F.col("_no") * F.lit(1 << 33) + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return df.select(*[v.alias(n) for n, v in cells_of.items()], "run_path", seq.alias("seq"))
 
 
 def read_feed(spark: SparkSession, path: str, source: str, limit: int | None = None) -> DataFrame:
