@@ -525,7 +525,7 @@ def batch_rows(spark, sf):
 @query(f"""{WITH_BATCH} SELECT count(*) AS total_exported, {_COUNTS}, {_DUE_COUNTS}, 7 + (SELECT count(*) FROM part) - count(*) AS duplicates_removed, 7 AS previous_rows_loaded, any_value((SELECT count(*) FROM part)) AS new_rows_loaded, 20 AS total_links_discovered, 19 AS total_successful_detail_pages,
     7 AS historical_rows_loaded, any_value(7 + (SELECT count(*) FROM part)) AS total_rows_before_dedup, 20 AS total_detail_pages_attempted, 1 AS total_detail_pages_failed, 'r1' AS run_id, 703 AS duration_seconds FROM full_rows""")
 def full_run_summary(spark, sf):
-    n = _table(spark, sf, "part").count()
+    n = _table(spark, sf, "part").agg(F.count("*")).scalar()
     loaded = {"previous_rows_loaded": 7, "new_rows_loaded": n, "total_links_discovered": 20, "total_successful_detail_pages": 19}
     return A.full_summary(_batch(spark, sf), loaded, {"run_id": "r1"}, *_times()).drop("started_at", "finished_at")
 
@@ -654,14 +654,14 @@ def explanation_parts(spark, sf):
     return rows.select("seq", T.industry_of(F.col("why")).alias("industry"), F.size(T.parts(F.col("why"))).alias("parts"), T.grade_mark(F.col("gpa_status")).alias("mark"))
 
 
-_TITLED = f"SELECT seq, {_case('seq', 7, ['MT @ PT Maju Jaya (2026)', 'Trainee - Jakarta', 'Staff – PT Sinar Abadi - Bandung', 'Loker di PT Tani Makmur', 'MT dari PT Boga.', 'Management Trainee - Kawan Baru Group', 'ODP – Dharma Metal (batch 2)'])} AS job_title, concat(coalesce(location, ''), ' and Bandung, or Surabaya') AS body FROM p"
+_TITLED_COLUMNS = ["seq", f"{_case('seq', 7, ['MT @ PT Maju Jaya (2026)', 'Trainee - Jakarta', 'Staff – PT Sinar Abadi - Bandung', 'Loker di PT Tani Makmur', 'MT dari PT Boga.', 'Management Trainee - Kawan Baru Group', 'ODP – Dharma Metal (batch 2)'])} AS job_title", "concat(coalesce(location, ''), ' and Bandung, or Surabaya') AS body"]
+_TITLED = f"SELECT {', '.join(_TITLED_COLUMNS)} FROM p"
 _NAMED = "coalesce(" + ", ".join(f"nullif(regexp_replace(trim(regexp_extract(job_title, {_q(x)}, 1)), '[.,]+$', ''), '')" for x in V.COMPANY_IN_TITLE) + ")"
 
 
 @query(f"WITH p AS ({POSTINGS}), t AS ({_TITLED}) SELECT seq, {_NAMED} AS company, upper(c[1]) || c[2:] AS city FROM (SELECT *, {_first('lower(body)', V.CITIES)} AS c FROM t)")
 def title_companies(spark, sf):
-    postings(spark, sf).createOrReplaceTempView("p")
-    return spark.sql(_TITLED).select("seq", T.company_of_title(F.col("job_title")).alias("company"), T.city(F.col("body")).alias("city"))
+    return postings(spark, sf).selectExpr(*_TITLED_COLUMNS).select("seq", T.company_of_title(F.col("job_title")).alias("company"), T.city(F.col("body")).alias("city"))
 
 
 @query(f"WITH p AS ({POSTINGS}) SELECT seq, strftime(TIMESTAMP '{_START}' + to_seconds(seq), '%Y%m%d_%H%M%S') AS run_id, strftime(TIMESTAMP '{_START}' + to_seconds(seq), '%Y-%m-%d_%H-%M-%S') AS folder, date_diff('second', TIMESTAMP '{_START}' + to_seconds(seq), TIMESTAMP '{_END}') AS seconds FROM p")
@@ -778,15 +778,15 @@ _HOSTS = ["https://www.jobstreet.example", "https://id.indeed.example", "https:/
 _TYPES = ["large_job_board"] * 4 + ["job_board", "aggregator", "graduate_job_board", "curated_job_board"]
 _PATHS = ["/id/job/{0}?t=1", "/x?jk={0}&from=1", "/opportunities/jobs/{0}?u=2", "/job/{0}?a", "/job/{0}", "/desc/{0}", "/jobs-internships/{0}", "https://other.example/{0}"]
 _LISTING = "concat('<html><h1>Board ', CAST({k} AS STRING), '</h1><div class=\"post-item\"><a class=\"x jcs-JobTitle\" href=\"', {path}, '\"> <b>', p_name, '</b></a><a href=\"/about\">About us all</a></div><a href=\"/opportunities/jobs/explore\">No</a><article><p>Staff wanted.</p><p>Requirements: ', p_type, '</p></article></html>')"
-_PAGE_SQL = f"""SELECT {_K} AS page_id, {_case(_K, 8, _HOSTS)} AS url, {_case(_K, 8, _TYPES)} AS source_type, {_LISTING.format(k=_K, path=_case(_K, 8, ["concat('" + p.format("', CAST(p_partkey AS STRING), '") + "')" for p in _PATHS]))} AS html FROM part"""
+_PAGE_COLUMNS = [f"{_K} AS page_id", f"{_case(_K, 8, _HOSTS)} AS url", f"{_case(_K, 8, _TYPES)} AS source_type", _LISTING.format(k=_K, path=_case(_K, 8, ["concat('" + p.format("', CAST(p_partkey AS STRING), '") + "')" for p in _PATHS])) + " AS html"]
+_PAGE_SQL = f"SELECT {', '.join(_PAGE_COLUMNS)} FROM part"
 _RULED = ["board_a", "board_b", "board_d", "board_e", "board_c", "aggregator", "graduate", "curated"]
 _CUT = ["/id/job/{0}", "/x?jk={0}", "/opportunities/jobs/{0}", "/job/{0}", "/job/{0}", "/desc/{0}", "/jobs-internships/{0}", "https://other.example/{0}"]
 _TARGET = _case(_K, 8, ["concat('" + ("" if c.startswith("http") else h) + c.format("', CAST(p_partkey AS STRING), '") + "')" for h, c in zip(_HOSTS, _CUT)])
 
 
 def _listings(spark, sf):
-    _table(spark, sf, "part").createOrReplaceTempView("part_of_listings")
-    return spark.sql(_PAGE_SQL.replace("FROM part", "FROM part_of_listings"))
+    return _table(spark, sf, "part").selectExpr(*_PAGE_COLUMNS)
 
 
 @query(f"SELECT {_K} AS page_id, {_case(_K, 8, _RULED)} AS parser, {_TARGET} AS job_url, trim(p_name) AS job_title FROM part UNION ALL SELECT {_K}, 'board_e', '{_HOSTS[3]}/opportunities/jobs/explore', 'No' FROM part WHERE {_K} % 8 = 3")
@@ -809,7 +809,7 @@ def page_fields(spark, sf):
 
 @query("SELECT page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS heading FROM pages")
 def page_headings(spark, sf):
-    return dom.page_fields(_table(spark, sf, "pages")).select("page_id", "heading")
+    return _table(spark, sf, "pages").select("page_id", T.heading(F.col("html")).alias("heading"))
 
 
 @query(f"""WITH f AS (SELECT 's' || ({_K} % 5) AS source_name, 1 + {_K} % 4 AS page, {_K} AS pos, 'u' || ({_K} % 600) AS job_url FROM part WHERE {_K} % 5 <> 3 OR {_K} % 4 <> 1), d AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY source_name, job_url ORDER BY page, pos) = 1),

@@ -55,10 +55,12 @@ def with_grade(df: DataFrame, text: Column, candidate: float = 3.29) -> DataFram
     def pick(at: int, wrap=F.lit) -> Column:
         out = F
         for limit, *rest in V.GRADE_BANDS:
+            # the bands are those of one grade: they end at the candidate's, and what is above it moves with it
+            limit = min(limit, candidate) if limit < V.BAND_GRADE else limit if limit > 5 else round(limit - V.BAND_GRADE + candidate, 2)
             out = out.when(value <= F.lit(str(limit)).cast("decimal(3,2)"), wrap(rest[at]))
         return out.when(phrase, wrap(V.GRADE_QUALITATIVE[at])).otherwise(wrap(V.GRADE_NONE[at]))
 
-    gap = F.when(value <= F.lit("3.29").cast("decimal(3,2)"), F.lit(0)).when(value.isNotNull(), F.greatest(value - F.lit(str(candidate)).cast("decimal(3,2)"), F.lit(0))).cast("decimal(4,2)")
+    gap = F.when(value <= F.lit(str(candidate)).cast("decimal(3,2)"), F.lit(0)).when(value.isNotNull(), F.greatest(value - F.lit(str(candidate)).cast("decimal(3,2)"), F.lit(0))).cast("decimal(4,2)")
     return settled(df, gpa_gap=gap, gpa_status=pick(0), gpa_points=pick(1), gpa_codes=pick(2, _codes)).drop("_text", "_phrase", *[f"_g{i}" for i in range(len(V.GRADE_PATTERNS))])
 
 

@@ -175,6 +175,11 @@ def plain(html: Column) -> Column:
     return F.regexp_replace(html, "<[^>]+>", "")
 
 
+def heading(html: Column) -> Column:
+    """The text of a page's first heading."""
+    return unescaped(F.trim(plain(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1))))
+
+
 def preview(text: Column, size: int = 500) -> Column:
     return F.when(F.length(text) > 0, F.concat(F.substring(text, 1, size), F.lit("...")))
 

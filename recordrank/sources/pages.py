@@ -55,12 +55,13 @@ def links(pages: DataFrame, rule: str, page: str = "page_id", url: str = "url")
         out = out.where(F.col("job_url").rlike(r["has"]))
     if r.get("class"):
         out = out.where(F.contains("classes", F.lit(r["class"])))
-    if r.get("host"):
-        out = out.where(F.contains("job_url", F.lit(r["host"])))
     if r.get("lacks"):
         out = out.where(~F.contains("job_url", F.lit(r["lacks"])))
     if r["cut"]:
         out = out.withColumn("job_url", F.split("job_url", r["cut"])[0])
+    if r.get("host"):
+        # of the address as it stays: what is cut off does not count
+        out = out.where(F.contains("job_url", F.lit(r["host"])))
     out = out.where(F.length("title") >= r["title"]).select(page, "pos", "job_url", F.col("title").alias("job_title"))
     if r["once"]:
         out = out.groupBy(page, "job_url").agg(F.min("pos").alias("pos"), F.min_by("job_title", "pos").alias("job_title")).select(page, "pos", "job_url", "job_title")
@@ -88,7 +89,7 @@ def limited(found: DataFrame, per_source: int, total: int, source: str = "source
     rows = found.withColumn("rn", F.row_number().over(Window.partitionBy(source).orderBy("page", "pos"))).where(F.col("rn") <= per_source)
     counts = rows.groupBy(source, order).agg(F.count("*").alias("n"))
     before = counts.withColumn("_before", F.sum("n").over(Window.orderBy(order)) - F.col("n")).where(F.col("_before") < total)
-    return rows.join(F.broadcast(before.select(source)), source, "left_semi").drop("rn")
+    return rows.join(before.select(source), source, "left_semi").drop("rn")
 
 
 _SCRIPT = r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"

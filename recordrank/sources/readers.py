@@ -90,7 +90,9 @@ def read_feed(spark: SparkSession, path: str, source: str, limit: int | None = N
     """Links of an RSS file's items that have one: title and company from the title, a description of 300 characters without tags."""
     df = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, description string, pubDate string").load(path)
     title, company = feed_title(unescaped(F.col("title")))
-    df = df.where(F.coalesce(F.trim("link"), F.lit("")) != "").withColumn("seq", F.monotonically_increasing_id())
+    # files in order of their path, items by the file's block and their place in it
+    at = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_p")).where(F.coalesce(F.trim("link"), F.lit("")) != "")
+    df = ranked(at, F.col("_f"), F.col("_b"), F.col("_p")).withColumn("seq", F.col("rank") - 1)
     df = df.select(F.trim("link").alias("job_url"), title.alias("job_title"), F.lit(source).alias("source_name"), company.alias("company"), F.substring(F.trim(plain(unescaped(F.col("description")))), 1, 300).alias("description_preview"), F.col("pubDate").alias("pub_date"), "seq")
     return df.orderBy("seq").limit(limit) if limit else df
 
