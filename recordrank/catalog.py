@@ -456,8 +456,8 @@ def notes_upsert(spark, sf):
 @query("SELECT user_id AS id, max(ts)::DATE::VARCHAR AS day, 14 - date_diff('day', max(ts)::DATE, DATE '2024-01-31') AS days_left, CASE WHEN 14 - date_diff('day', max(ts)::DATE, DATE '2024-01-31') > 3 THEN 'later' WHEN 14 - date_diff('day', max(ts)::DATE, DATE '2024-01-31') >= 1 THEN 'soon' ELSE 'due' END AS band FROM events WHERE event_type = 'click' GROUP BY 1")
 def stage_countdown(spark, sf):
     e = _table(spark, sf, "events").where("event_type = 'click'").groupBy(F.col("user_id").alias("id")).agg(F.to_date(F.max("ts")).alias("day"))
-    left = 14 - F.date_diff(F.lit("2024-01-31").cast("date"), "day")
-    return e.select("id", F.col("day").cast("string").alias("day"), left.alias("days_left"), F.when(left > 3, "later").when(left >= 1, "soon").otherwise("due").alias("band"))
+    stage = B.stage_countdown(F.col("day"), F.lit("2024-01-31").cast("date"))
+    return e.select("id", F.col("day").cast("string").alias("day"), *[c.alias(n) for n, c in stage.items()])
 
 
 @query("WITH c AS (SELECT user_id, max(ts) AS ts FROM events GROUP BY 1) SELECT user_id FROM c WHERE ts > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY")

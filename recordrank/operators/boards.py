@@ -108,6 +108,12 @@ def countdown(at: Column, now: Column) -> dict[str, Column]:
     return {"is_past": past, **{n: F.when(~past, v) for n, v in (("days", days), ("hours", hours), ("minutes", minutes))}, "label": label}
 
 
+def stage_countdown(day: Column, today: Column, stage: int = 14) -> dict[str, Column]:
+    """Days left of a stage that began on ``day``, and their band: over three, one to three, none."""
+    left = F.lit(stage) - F.date_diff(today, day)
+    return {"days_left": left, "band": F.when(left > 3, "later").when(left >= 1, "soon").otherwise("due")}
+
+
 def status_counts(board: DataFrame, statuses: list[str]) -> DataFrame:
     """One row of counts of the known statuses and of all keys."""
     return board.agg(*[F.count_if(F.col("status") == s).alias(s) for s in statuses], F.count("*").alias("total"))

@@ -5,11 +5,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from recordrank import catalog
+from recordrank import catalog, catalog_files, catalog_state
 from recordrank.operators.acceptance import accepted
 from recordrank.streaming.state import accepted_stream, health_stream, latest_stream, new_runs
 
 SF = "/root/testdata/sf0.001"
+STATE, FILES = ([n for n, f in catalog.QUERIES.items() if f.__module__ == m.__name__] for m in (catalog_state, catalog_files))
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
 
 
@@ -26,7 +27,7 @@ def rows(df: pd.DataFrame) -> list:
     return sorted((tuple(map(cell, r)) for r in df[sorted(df.columns)].itertuples(index=False)), key=str)
 
 
-@pytest.mark.parametrize("name", ["score_rank_top20", "deadline_bands", "apply_reason", "audit_adjust", "dedup_merge", "url_domain_health", "ttl_accept", "either_key_join", "html_links", "jsonld_extract", "deadline_ranks"])
+@pytest.mark.parametrize("name", ["score_rank_top20", "deadline_bands", "apply_reason", "audit_adjust", "dedup_merge", "url_domain_health", "ttl_accept", "either_key_join", "html_links", "jsonld_extract", "deadline_ranks", "stage_countdown", *STATE, *FILES])
 def test_query(spark, con, name):
     assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(con.execute(catalog.ORACLES[name]).df())
 
