@@ -91,17 +91,20 @@ _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 
 ORACLES = {
     "op4_perspectives": """
-        WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS body FROM conversations),
-        p AS (SELECT DISTINCT conv_id, role AS speaker FROM t),
-        n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, body) - 1) // 65536 AS part FROM t),
-        e AS (SELECT n.conv_id, p.speaker, part, turn, role, body, role = speaker AS mine,
-                CASE WHEN role = speaker THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || role || '|>' || chr(10) END AS head FROM n JOIN p USING (conv_id)),
+        WITH t AS (SELECT conv_id, turn, coalesce(replace(replace(replace(replace(replace(role, '%', '%25'), '|', '%7C'), '>', '%3E'), chr(13), '%0D'), chr(10), '%0A'), '%unknown') AS role,
+                coalesce(regexp_replace(text, '<(\\\\*)\\|', '<\\1\\\\|', 'g'), '') AS body FROM conversations),
+        k AS (SELECT conv_id, turn, role, body, conv_id IS NULL AS alone, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS id FROM t),
+        p AS (SELECT DISTINCT conv_id, id, role AS speaker FROM k),
+        n AS (SELECT *, coalesce(sum(length(role) + length(body) + 24) OVER (PARTITION BY conv_id, id ORDER BY turn NULLS FIRST, role, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // 1048576 AS part FROM k),
+        e AS (SELECT n.conv_id, n.id, p.speaker, part, turn, role, body, role = speaker AS mine,
+                CASE WHEN role = speaker THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || role || '|>' || chr(10) END AS head FROM n JOIN p ON n.conv_id IS NOT DISTINCT FROM p.conv_id AND n.id IS NOT DISTINCT FROM p.id),
         l AS (SELECT *, length(head) + length(body) + length('<|end|>') + 1 AS size FROM e),
-        o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, role, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin_at FROM l)
-        SELECT conv_id, speaker, part, count(*) AS n_turns,
-            string_agg(head || body || '<|end|>' || chr(10), '' ORDER BY turn, role, body) AS rendered,
-            coalesce(string_agg((begin_at + length(head))::BIGINT::VARCHAR || '-' || (begin_at + size - 1)::BIGINT::VARCHAR, ',' ORDER BY turn, role, body) FILTER (WHERE mine), '') AS mask
-        FROM o GROUP BY ALL""",
+        o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY conv_id, id, speaker ORDER BY turn NULLS FIRST, role, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS whole_at,
+                coalesce(sum(size) OVER (PARTITION BY conv_id, id, speaker, part ORDER BY turn NULLS FIRST, role, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin_at FROM l)
+        SELECT conv_id, speaker, part, min(whole_at) AS "begin", count(*) AS n_turns,
+            string_agg(head || body || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, body) AS rendered,
+            coalesce(string_agg((begin_at + length(head))::BIGINT::VARCHAR || '-' || (begin_at + size - 1)::BIGINT::VARCHAR, ',' ORDER BY turn NULLS FIRST, role, body) FILTER (WHERE mine), '') AS mask
+        FROM o GROUP BY conv_id, id, speaker, part""",
     "op5_jaccard": f"""
         WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
         s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
