@@ -354,8 +354,9 @@ def either_key_join(spark, sf):
 
 @query(f"WITH p AS ({POSTINGS}) SELECT seq FROM p WHERE seq NOT IN (SELECT user_id FROM events WHERE event_type = 'error')")
 def anti_hidden(spark, sf):
-    hidden = _table(spark, sf, "events").where("event_type = 'error'").select(F.col("user_id").alias("seq")).distinct()
-    return postings(spark, sf).select("seq").join(hidden, "seq", "left_anti")
+    hidden = _table(spark, sf, "events").where("event_type = 'error'").select(F.col("user_id").alias("id"))
+    shown = postings(spark, sf).select("seq", F.col("seq").alias("id"), F.lit(0).alias("match_score"))
+    return R.view(shown, least=0, hidden=hidden).select("seq")
 
 
 @query(f"WITH p AS ({POSTINGS}) SELECT seq, company FROM p WHERE seq IN (SELECT user_id FROM events WHERE event_type = 'click')")
@@ -379,7 +380,7 @@ def filter_search(spark, sf):
 def top_industries(spark, sf):
     done = _table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
     rows = _table(spark, sf, "customer").join(done, "c_custkey", "left_semi")
-    return rows.groupBy(F.coalesce("c_mktsegment", F.lit("Other")).alias("industry")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "industry").limit(5)
+    return A.top_values(rows.withColumnRenamed("c_mktsegment", "industry"), "industry")
 
 
 @query(f"WITH postings AS ({POSTINGS}), graded AS ({_GRADED}) SELECT label, place, (SELECT count(*) FROM graded WHERE gpa_status = label) AS n FROM (VALUES {', '.join(f'''('{x}', {i})''' for i, x in enumerate(V.GRADE_LABELS))}) t(label, place)")

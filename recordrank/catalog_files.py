@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import POSTINGS, WITH, _case, _scored, _table, postings, query
+from .catalog import POSTINGS, WITH, _case, _contains_any, _scored, _table, postings, query
 from .functions import scoring as S
 from .functions import text as T
+from .functions import vocabulary as V
 from .plans import runs as R
 from .plans import sinks as P
 from .plans.tables import folder
@@ -137,3 +138,17 @@ def filtered_board(spark, sf):
     rows = _scored(spark, sf).withColumns({"industry": F.when(F.col("seq") % 3 == 0, "retail").when(F.col("seq") % 3 == 1, "banking"), "company_type": F.when(F.col("seq") % 2 == 0, "Swasta").otherwise("BUMN"), "id": F.col("seq")})
     hidden = _table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
     return R.view(rows, None, 60, "Bandung", "retail", "Swasta", hidden).select("seq", "match_score")
+
+
+@query(f"WITH p AS ({POSTINGS}) SELECT seq, CASE WHEN seq % 10 = 0 THEN 'Koperasi' ELSE k END AS company_type FROM (SELECT seq, CASE WHEN {_contains_any('coalesce(lower(company), chr(32))', V.STATE_OWNED)} THEN 'BUMN' WHEN {_contains_any('coalesce(lower(company), chr(32))', V.MULTINATIONAL)} THEN 'Multinasional' ELSE 'Swasta' END AS k FROM p)")
+def known_company_types(spark, sf):
+    """A kind that is known stands before the one that the name tells; the sentinel is none."""
+    known = F.when(F.col("seq") % 10 == 0, "Koperasi").when(F.col("seq") % 10 == 1, V.NOT_LISTED)
+    return postings(spark, sf).select("seq", T.company_type(F.col("company"), known).alias("company_type"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'link ' || page_id ELSE replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') END AS job_title FROM pages")
+def page_titles(spark, sf):
+    """Titles of pages, some of which have lost their heading."""
+    html = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("html", "(?is)<h1[^>]*>.*?</h1>", "<h1> </h1>")).otherwise(F.col("html"))
+    return _table(spark, sf, "pages").select("page_id", T.title_of(T.heading(html), F.concat(F.lit("link "), "page_id")).alias("job_title"))

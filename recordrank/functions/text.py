@@ -97,9 +97,11 @@ def text_deadline(found: list[Column]) -> Column:
     return out
 
 
-def company_type(name: Column) -> Column:
+def company_type(name: Column, known: Column | None = None) -> Column:
+    """The kind of a company by its name, unless it is known."""
     low = F.coalesce(F.lower(name), F.lit(""))
-    return F.when(any_in(low, V.STATE_OWNED), "BUMN").when(any_in(low, V.MULTINATIONAL), "Multinasional").otherwise("Swasta")
+    kind = F.when(any_in(low, V.STATE_OWNED), "BUMN").when(any_in(low, V.MULTINATIONAL), "Multinasional").otherwise("Swasta")
+    return kind if known is None else F.coalesce(listed(known), kind)
 
 
 def feed_title(title: Column) -> tuple[Column, Column]:
@@ -180,6 +182,11 @@ def heading(html: Column) -> Column:
     return unescaped(F.trim(plain(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1))))
 
 
+def title_of(heading: Column, link_title: Column) -> Column:
+    """A posting's title: its page's first heading, else the text of the link that led there."""
+    return F.coalesce(F.nullif(F.trim(heading), F.lit("")), link_title)
+
+
 def preview(text: Column, size: int = 500) -> Column:
     return F.when(F.length(text) > 0, F.concat(F.substring(text, 1, size), F.lit("...")))
 

@@ -81,9 +81,12 @@ def publish(df: DataFrame, run_path: str, latest_path: str, columns: dict[str, s
     for p in (new, old):
         fs.delete(p, True)
     spark._jvm.org.apache.hadoop.fs.FileUtil.copy(run.getFileSystem(conf), run, fs, new, False, conf)
-    if fs.exists(now):
-        fs.rename(now, old)
-    fs.rename(new, now)
+    if fs.exists(now) and not fs.rename(now, old):
+        raise OSError(f"{latest_path} could not be set aside")
+    if not fs.rename(new, now):
+        if fs.exists(old):
+            fs.rename(old, now)
+        raise OSError(f"{latest_path} could not be put in its place")
     fs.delete(old, True)
 
 
