@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .words import _RANDOM, SPACE, mix, powers, slices
 
@@ -27,7 +28,7 @@ _SCHEMA = "row_id string, n_tokens int, n_segments int, ids binary, cu_seqlens a
 
 
 def load_ranks(spark, path: str) -> dict[bytes, int]:
-    """The ranks of a vocabulary file, read through Spark or, if it is only there, from the driver's disk."""
+    """The ranks of a vocabulary file, from the driver's disk or, if it is not there, through Spark."""
     try:
         with open(path, "rb") as f:
             lines = f.read().split(b"\n")
@@ -194,11 +195,21 @@ def pack_documents(docs: DataFrame, vocabulary: str = "/opt/tokenizers/byte_bpe_
     again from 0, ``doc_ids`` each segment's document and ``doc_offsets`` the place of its first token in that document. A document
     longer than a row is cut into whole rows and a rest; joined by offset, its segments are its ids again. Null and empty texts have
     no tokens and so no segment; a null id stays null. Repeated rows are packed each. An empty table gives no rows. Other columns are
-    ignored. ``row_id`` names the task, group and row, and is unique within one run.
+    ignored. ``row_id`` names the task, group and row, and is unique within one run. Best fit is made over groups of some ``group_tokens`` tokens; partitions of less text than
+    that are put together first, without a shuffle, so rows are as full in a table of many small files.
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(spark, vocabulary))
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(_packed(ranks, length, group_tokens), _SCHEMA)
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    # a token of text has four bytes or so
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return rows.coalesce(max(1, size // (4 * group_tokens))).mapInArrow(_packed(ranks, length, group_tokens), _SCHEMA)
+
+
+def fill(packed: DataFrame, length: int = 2048) -> DataFrame:
+    """One row: how many rows there are, how few all tokens could lie in, and the share of places that are taken."""
+    full = F.coalesce(F.sum("n_tokens"), F.lit(0))
+    return packed.agg(F.count("*").alias("rows"), F.ceil(full / length).alias("least_rows"), (full / F.nullif(F.count("*") * length, F.lit(0))).alias("fill"))
 
 
 def write_matrices(packed: DataFrame, path: str, length: int = 2048, pad: int = 50256) -> None:

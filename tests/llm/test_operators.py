@@ -18,7 +18,7 @@ from recordrank.llm.jaccard import first_of_classes, jaccard_classes
 from recordrank.llm.language_model import STRENGTH, Seating, closing, sample_tables, score_documents
 from recordrank.llm.lines import banded_distance, line_classes
 from recordrank.llm.mixing import mix_sources, mixed
-from recordrank.llm.packing import PATTERN, best_fit, load_ranks, pack_documents, write_matrices
+from recordrank.llm.packing import PATTERN, best_fit, fill, load_ranks, pack_documents, write_matrices
 from recordrank.llm.pii import pseudonymise
 from recordrank.llm.toxicity import risk, toxicity, without_toxic
 
@@ -666,3 +666,15 @@ def test_toxicity_sample_is_bounded_by_rows(spark, monkeypatch):
     (p, u, prior), = seen
     assert p <= 50 and u <= 1200 and 0.2 < prior < 0.3
     assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in got) >= 0.95 * len(got)
+
+
+def test_rows_are_full_in_many_small_partitions(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["river", "stone", "lamp", "über", "winter"]) for _ in range(rng.randint(1, 700)))) for i in range(900)] + [(None, "null id")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_id", F.lit("x")).withColumn("ids", F.lit(1))
+    packed = pack_documents(df.repartition(64), length=256)
+    r = fill(packed, 256).first()
+    assert r.fill >= 0.99 and r.rows <= 1.01 * r.least_rows
+    assert sorted({str(d) for p in packed.collect() for d in p.doc_ids}) == sorted({str(i) for i, _ in rows})
+    whole = fill(pack_documents(df.coalesce(1), length=256), 256).first()
+    assert abs(r.rows - whole.rows) <= 2 and fill(pack_documents(df.limit(0))).first().rows == 0
