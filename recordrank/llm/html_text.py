@@ -24,6 +24,8 @@ from .scratch import drop, keep
 
 #: Structures or partial wrappers that one task merges at a time.
 GROUP = 256
+#: Levels of elements that a structure has; an element further down only ends a block of text.
+DEEPEST = 100
 
 # Fixed values of the markup language, and names that sites commonly give to parts of pages.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,7 +42,7 @@ APART_NAMES = set(
 MAIN_NAMES = set("article content entry post story main body text".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[A-Za-z/]).*\Z|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?>=\s*(?:\"[^\"]*\"|'[^']*')|[^>=]+|=)*+)>|<(?=[A-Za-z/]).*\Z|[^<]+|<", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -72,7 +74,7 @@ def names_of(label: str) -> set[str]:
 def parse(page: str) -> tuple[list[Item], list[tuple[str, int]]]:
     """A page's sequence, repetitions folded, and its blocks of text with their linked characters.
 
-    Tags that only mark words are no part of it, unless their names set them apart; elements without text are left out. What is not closed ends with its parent.
+    Tags that only mark words are no part of it, unless their names set them apart; elements without text are left out. What is not closed ends with its parent. A tag that the page's end cuts is none.
     """
     root = Item("")
     stack = [root]
@@ -100,6 +102,7 @@ def parse(page: str) -> tuple[list[Item], list[tuple[str, int]]]:
                 stack[-1].kids.remove(item)
 
     skip, depth = "", 0
+    deeper: dict[str, int] = {}
     for token in _TOKEN.finditer(page):
         tag = token[2]
         if tag is None:
@@ -132,6 +135,10 @@ def parse(page: str) -> tuple[list[Item], list[tuple[str, int]]]:
                 in_link = in_link and tag != "a"
                 if not any(x.label.split(".", 1)[0] == tag for x in stack):
                     continue
+            if deeper.get(tag):
+                deeper[tag] -= 1
+                flush()
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].label.split(".", 1)[0] == tag:
                     close(k)
@@ -158,6 +165,9 @@ def parse(page: str) -> tuple[list[Item], list[tuple[str, int]]]:
                         close(k)
                     k -= 1
         flush()
+        if len(stack) > DEEPEST:
+            deeper[tag] = deeper.get(tag, 0) + 1
+            continue
         item = Item(label)
         stack[-1].kids.append(item)
         stack.append(item)

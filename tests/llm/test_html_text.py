@@ -106,3 +106,16 @@ def test_places():
     assert place(("html", "body", "div.entry-content", "p")) == 1
     assert place(("html", "body", "div.comments", "article.comment", "p")) == -1
     assert place(("html", "body", "div", "p")) == 0
+
+
+def test_odd_markup():
+    texts = lambda page: [t for t, _ in parse(without_raw(page))[1]]
+    assert texts('<p title="5" tall">one</p><p title=\'a>b\'>two</p><a href="x>three</a>') == ["one", "two", "three"]
+    deep = "<div>" * 5000 + "<article><p>in</p></article>" + "</div>" * 5000 + "<p>after</p>"
+    items, blocks = parse(deep)
+    assert [t for t, _ in blocks] == ["in", "after"] and read(write(items))
+    assert merge(read(write(items)), read(write(items)))
+    assert texts("<p>a<p>b<ul><li>c<li>d</ul>e<dl><dt>f<dd>g</dl><table><tr><td>h<td>i</table>") == list("abcdefghi")
+    assert texts("<style>a{}</style><title>t</title>x<script>'</p>'") == ["x"]
+    slow = "<a " + "x='y' " * 20000
+    assert texts(slow + "z") == [] and texts("<p a='" * 5000) == []
