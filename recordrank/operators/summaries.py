@@ -43,9 +43,11 @@ def ranked(df: DataFrame, *order: Column) -> DataFrame:
     """Rows with their rank over all rows.
 
     The ranks are counted within range partitions and shifted by the partitions' sizes, which are as many numbers as
-    partitions; no task gets all rows. The ranges are written once and read for the sizes as well as for the rows, so both see the same bounds.
+    partitions; no task gets all rows. The rows are written before the ranges are found, so what they come from is computed once, and the ranges are written and read for the sizes
+    as well as for the rows, so both see the same bounds.
     """
     spark = df.sparkSession
+    df = written(df, "unranked")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
     rows = written(rows, "ranked")
