@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -161,11 +163,15 @@ def document_variant(title: Column, rules: list[tuple[str, list[str], str]], def
     return out.otherwise(default)
 
 
-def unescaped(c: Column) -> Column:
-    """Common character references as text."""
-    named = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
-    for name, value in named.items():
-        c = F.replace(c, F.lit(name), F.lit(value))
+_NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+#: References without which a text would be read as markup.
+MARKUP = ("&lt;", "&gt;", "&amp;")
+
+
+def unescaped(c: Column, names: Iterable[str] = tuple(_NAMED)) -> Column:
+    """Common character references, or those of ``names``, as text; ``&amp;`` comes last."""
+    for name in names:
+        c = F.replace(c, F.lit(name), F.lit(_NAMED[name]))
     return c
 
 
@@ -177,9 +183,9 @@ def plain(html: Column) -> Column:
     return F.regexp_replace(html, "<[^>]+>", "")
 
 
-def heading(html: Column) -> Column:
-    """The text of a page's first heading."""
-    return unescaped(F.trim(plain(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1))))
+def heading(html: Column, names: Iterable[str] = tuple(_NAMED)) -> Column:
+    """The text of a page's first heading, its character references decoded as by ``unescaped``."""
+    return unescaped(F.trim(plain(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1))), names)
 
 
 def title_of(heading: Column, link_title: Column) -> Column:

@@ -32,6 +32,21 @@ def test_query(spark, con, name):
     assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(con.execute(catalog.ORACLES[name]).df())
 
 
+ODD_HEADINGS = [
+    (1, '<h1>token = &quot;0b96&quot; &lt;b&gt; &amp;lt; R&amp;D&#39;s &nbsp;x&apos;</h1>'), (2, "<h1> &nbsp; </h1>"), (3, "<h1>A &quot;b&quot;</h1><h1>C</h1>"), (4, "<p>none</p>"), (5, None),
+    (6, None), (7, "<H1 class='x'>\n <i>T</i> &amp; U\n</H1>"), (8, "<h1></h1>"), (9, "<h1>never closed"), (10, "<h1>never closed"), (None, "<h1>&quot;q&quot;</h1>"), (11, "<h1> &lt; </h1>"), (-3, "<h1>y</h1>"),
+]
+
+
+@pytest.mark.parametrize("name", ["page_headings"])
+def test_odd_headings(spark, tmp_path, name):
+    """References that the SQL leaves as they are, and pages without a heading."""
+    spark.createDataFrame(ODD_HEADINGS, "page_id bigint, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert rows(catalog.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.execute(catalog.ORACLES[name]).df())
+
+
 def test_streams_agree_with_batches(spark, tmp_path):
     log = spark.read.parquet(f"{SF}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     log.write.parquet(str(tmp_path / "in"))
