@@ -4,8 +4,8 @@ A line is cut into one segment more than the edits its length allows, so two lin
 of the first half are placed from the line's start and those of the second half from its end, and all are of one size that follows from the
 length. With ``i`` segments before it a segment lies at most ``i`` places off, whatever the other line's length, so a line probes 1, 3, 5, ...
 substrings for the segments from either end inwards, and those again only where lines shorter by the edits allowed have segments of another size.
-Pairs that share a key, whose lengths and letter counts differ by no more than the edits allow, are verified by
-a banded edit distance whose band is a bit vector in one integer.
+Pairs that share a key, whose lengths and letter counts differ by no more than the edits allow, lose what they begin and end with alike. Of what is left
+enough pieces must lie near their places; then the edit distance decides: the built-in one, or for long rests a banded one whose band is a bit vector in one integer.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import drop, keep
 
-#: Letters whose counts are compared before verification.
-_COUNTED = "etan"
-#: Letters whose counts are compared once what two lines begin and end with alike is gone.
-_FREQUENT = "etaoinsrhldcumpfg "
+#: Letters whose counts are compared before verification, at most 8.
+_COUNTED = "etanoirs"
+#: Characters of what is left of a pair up to which the built-in distance, whose time grows with their square, is the faster one.
+_SHORT = 2000
 #: Characters of a line for each edit beyond the first.
 PER_EDIT = 12
 
@@ -29,15 +29,24 @@ def _allowed(length: Column, threshold: int) -> Column:
     return F.least(F.lit(threshold), F.greatest(F.lit(1), F.floor(length / PER_EDIT))).cast("int")
 
 
-def _layout(length: Column, threshold: int) -> Column:
-    """A line's edits and segment size in one integer, ``size * 64 + edits``.
+def _with_layouts(texts: DataFrame, threshold: int) -> DataFrame:
+    """``texts`` with ``layouts``: each line's own first, then those of lines shorter by the edits allowed.
 
-    The size is rounded down, by a quarter at most, so that lines of nearly the same length mostly have one layout.
+    A layout is edits and segment size in one integer, ``size * 64 + edits``. The size is rounded down, by a quarter at most, so that lines of
+    nearly the same length mostly have one layout. Each step is a projection of its own, as the next one uses its columns more than once.
     """
-    edits = _allowed(length, threshold)
-    even = F.floor(length / (edits + 1)).cast("int")
-    size = F.when(even < 8, even).when(even < 16, even - even % 2).when(even < 32, even - even % 4).otherwise(even - even % 8)
-    return size * 64 + edits
+    less = range(threshold + 1)
+    texts = texts.select("*", *[_allowed(F.col("n") - i, threshold).alias(f"_e{i}") for i in less])
+    texts = texts.select("*", *[F.floor((F.col("n") - i) / (F.col(f"_e{i}") + 1)).cast("int").alias(f"_s{i}") for i in less])
+    rounded = lambda s: s.bitwiseAND(F.when(s < 8, -1).when(s < 16, -2).when(s < 32, -4).otherwise(-8))
+    every = F.array(*[F.when(F.col(f"_e{i}") >= i, rounded(F.col(f"_s{i}")) * 64 + F.col(f"_e{i}")) for i in less])
+    return texts.withColumn("layouts", F.array_compact(F.array_distinct(every))).drop(*[f"_{c}{i}" for c in "es" for i in less])
+
+
+def _traits(line: Column) -> Column:
+    """The counts of the letters ``_COUNTED``, modulo 16, a byte for each."""
+    counts = [F.shiftleft((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c)))).bitwiseAND(F.lit(15)).cast("long"), 8 * i) for i, c in enumerate(_COUNTED)]
+    return sum(counts[1:], counts[0])
 
 
 def _slots(threshold: int) -> list[tuple[int, bool, int, int]]:
@@ -45,33 +54,40 @@ def _slots(threshold: int) -> list[tuple[int, bool, int, int]]:
     return [(e, e % 2 == 1, e // 2, e) for e in range(threshold + 1)]
 
 
-def _key(line: Column, length: Column, size: Column, slot: tuple[int, bool, int, int], move: int) -> tuple[Column, Column]:
-    """The key of a segment's place, ``move`` characters off, and whether it is within the line."""
-    number, back, place, _ = slot
-    start = (length - size * (place + 1) if back else size * place) + move
-    return F.xxhash64(F.lit(number), F.substring(line, start + 1, size)), (start >= 0) & (start + size <= length)
+def _keys(lines: DataFrame, slots: list[tuple[int, bool, int, int]], moved: bool) -> DataFrame:
+    """``(id, traits, key)`` for the segments of ``lines(id, line, n, traits, layout)``, at their places or ``moved`` from there."""
+    lines = lines.select("*", F.floor(F.col("layout") / 64).cast("int").alias("size"), F.col("layout").bitwiseAND(F.lit(63)).alias("edits"))
+    lines = lines.select("*", *[(F.col("n") - F.col("size") * (place + 1) if back else F.col("size") * place).cast("int").alias(f"start{k}") for k, back, place, _ in slots])
+    # the characters around a place are cut out once for all moves
+    around = [(k, F.greatest(F.col(f"start{k}") - (place if moved else 0), F.lit(0)), place if moved else 0) for k, _, place, _ in slots]
+    lines = lines.select("id", "traits", "n", "size", "edits", *[f"start{k}" for k, *_ in slots], *[at.alias(f"from{k}") for k, at, _ in around], *[F.substring("line", at + 1, F.col("size") + 2 * reach).alias(f"cut{k}") for k, at, reach in around])
+    keys = []
+    for k, _, place, least in slots:
+        for move in range(-place, place + 1) if moved else (0,):
+            start = F.col(f"start{k}") + move
+            key = F.xxhash64(F.lit(k), F.substring(f"cut{k}", start - F.col(f"from{k}") + 1, F.col("size")))
+            keys.append(F.when((F.col("edits") >= least) & (start >= 0) & (start + F.col("size") <= F.col("n")), key))
+    return lines.select("id", "traits", F.explode(F.array(*keys)).alias("key")).where("key is not null")
 
 
 def _candidates(texts: DataFrame, slots: list[tuple[int, bool, int, int]], threshold: int) -> DataFrame:
-    """Pairs ``(h, g)`` of lines of ``texts(id, line, n, traits)`` that share a segment of ``slots``, lengths and letter counts allowing."""
-    line, n, size, edits = F.col("line"), F.col("n"), F.floor(F.col("layout") / 64).cast("int"), F.col("layout") % 64
-
-    def keys(moved: bool) -> Column:
-        out = []
-        for slot in slots:
-            for move in range(-slot[2], slot[2] + 1) if moved else (0,):
-                key, inside = _key(line, n, size, slot, move)
-                out.append(F.when((edits >= slot[3]) & inside, key))
-        return F.array(*out)
-
-    index = texts.select("id", "line", "n", "traits", _layout(n, threshold).alias("layout"))
-    index = index.select(F.col("id").alias("h"), F.col("traits").alias("x"), F.explode(keys(False)).alias("key")).where("key is not null")
-    shorter = [F.when(F.lit(less) <= _allowed(n - less, threshold), _layout(n - less, threshold)) for less in range(threshold + 1)]
-    probe = texts.select("id", "line", "n", "traits", F.explode(F.array_distinct(F.array(*shorter))).alias("layout")).where("layout is not null")
-    probe = probe.select(F.col("id").alias("g"), F.col("traits").alias("y"), F.explode(keys(True)).alias("key")).where("key is not null")
-    counts = [F.abs(F.pmod(F.shiftright("x", 32 + 7 * i).bitwiseAND(F.lit(127)) - F.shiftright("y", 32 + 7 * i).bitwiseAND(F.lit(127)) + 64, F.lit(128)) - 64) for i in range(len(_COUNTED))]
-    more = F.col("y").bitwiseAND(F.lit(0xFFFFFFFF)) - F.col("x").bitwiseAND(F.lit(0xFFFFFFFF))
-    near = more.between(0, threshold) & ((more > 0) | (F.col("h") < F.col("g"))) & (sum(counts, F.lit(0)) <= 2 * threshold)
+    """Pairs ``(h, g)`` of lines of ``texts(id, line, n, traits, layouts)`` that share a segment of ``slots``, lengths and letter counts allowing.
+
+    An edit adds one to the letters that one line has more than the other, or to those that the other has more, or to both; letters that are not
+    counted one by one are one class, whose number follows from the length. Counts are compared modulo 16 and lengths, the lowest byte of an id, modulo
+    256, so that no pair within the edits is lost.
+    """
+    index = _keys(texts.select("id", "line", "n", "traits", F.get("layouts", F.lit(0)).alias("layout")), slots, False).select(F.col("id").alias("h"), F.col("traits").alias("x"), "key")
+    probe = _keys(texts.select("id", "line", "n", "traits", F.explode("layouts").alias("layout")), slots, True).select(F.col("id").alias("g"), F.col("traits").alias("y"), "key")
+    byte = lambda v: F.lit(int.from_bytes(bytes([v] * 8), "big"))
+    apart = (F.col("x").bitwiseOR(byte(16)) - F.col("y")).bitwiseAND(byte(15))
+    fewer = F.shiftright(apart, 3).bitwiseAND(byte(1))  # letters that h has fewer of
+    of = F.shiftleft(fewer, 4) - fewer
+    # the sum of a number's bytes is its remainder by 255; the condition stays small, as the join's code is compiled only up to a size
+    more = (apart - apart.bitwiseAND(of)) % 255
+    less = (F.shiftleft(fewer, 4) - apart.bitwiseAND(of)) % 255
+    longer = (F.col("g") - F.col("h")).bitwiseAND(F.lit(255))
+    near = (longer + more <= threshold) & (less <= threshold) & ((longer > 0) | (F.col("h") < F.col("g")))
     return index.join(probe, (index["key"] == probe["key"]) & near).select("h", "g").distinct()
 
 
@@ -132,13 +148,19 @@ def _stripped(pairs: DataFrame, rounds: int = 5) -> DataFrame:
     return pairs.select("h", "g", "allowed", F.inline(F.array(F.struct("longer", "shorter"))))
 
 
-def _letters_apart(a: Column, b: Column) -> Column:
-    """By how much the counts of the frequent letters differ in all: an edit changes it by 2 at most."""
-
-    def count(text: Column, letter: str) -> Column:
-        return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(letter)))
+def _pieces_alike(longer: Column, shorter: Column, threshold: int) -> Column:
+    """Whether enough pieces of the shorter string lie in the longer one near their places: of four times as many pieces as edits, an edit changes one.
 
-    return sum((F.abs(count(a, c) - count(b, c)) for c in _FREQUENT), F.lit(0))
+    With ``e`` edits left of a piece that is not changed it lies at most ``e`` places off, and counted from the end at most as many as there are edits on its right.
+    """
+    n, pieces = F.length(shorter), 4 * threshold
+    size, over = F.floor(n / pieces).cast("int"), F.length(longer) - n
+    reach = F.floor((F.lit(threshold) - over) / 2).cast("int")
+    found = []
+    for i in range(pieces):
+        at = F.greatest(size * i - reach, F.lit(0))
+        found.append(F.contains(F.substring(longer, at + 1, size * (i + 1) + over + reach - at), F.substring(shorter, size * i + 1, size)).cast("int"))
+    return (over <= threshold) & (sum(found[1:], found[0]) >= pieces - threshold)
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 1, least: int = 8) -> DataFrame:
@@ -156,10 +178,9 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = keep(lines.select("doc_id", "line_no", F.length("line").alias("n_chars"), "ha", "hb", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(salts)).cast("int").alias("salt")), "line_places")
     # ids are as written: a table's rows keep them whatever is computed again
-    texts = lines.groupBy("ha", "hb").agg(F.max("line").alias("line")).where(F.length("line") >= F.lit(max(least, threshold + 1)))
-    counts = [F.shiftleft(F.pmod(F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(c))), F.lit(128)).cast("long"), 32 + 7 * i) for i, c in enumerate(_COUNTED)]
-    texts = texts.select(F.monotonically_increasing_id().alias("id"), "ha", "hb", "line", F.length("line").alias("n"), sum(counts, F.length("line").cast("long")).alias("traits"))
-    texts = keep(texts, "line_texts", release=True)
+    texts = lines.where(F.length("line") >= F.lit(max(least, threshold + 1))).select("ha", "hb", "line").distinct()
+    texts = texts.select((F.monotonically_increasing_id() * 256 + F.length("line").bitwiseAND(F.lit(255))).alias("id"), "ha", "hb", "line", F.length("line").alias("n"), _traits(F.col("line")).alias("traits"))
+    texts = keep(_with_layouts(texts, threshold), "line_texts", release=True)
     # a few segments at a time: only their keys lie in shuffle files at once
     slots, parts = _slots(threshold), []
     for group in range((len(slots) + 1) // 2):
@@ -171,13 +192,16 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = keep(pairs.distinct(), "line_pairs", release=True)
     drop(*parts)
     wanted = pairs.select(F.explode(F.array("h", "g")).alias("id")).distinct()
-    near = keep(texts.join(wanted, "id").select("id", "ha", "hb", "line"), "line_near", release=True)
+    # merged at any size: the ids grow with the table, and a plan that sends them to all tasks on small tables tells nothing of large ones
+    near = keep(texts.join(wanted.hint("merge"), "id").select("id", "ha", "hb", "line"), "line_near", release=True)
     drop(texts)
     both = pairs.join(near.select(F.col("id").alias("h"), "line"), "h").join(near.select(F.col("id").alias("g"), F.col("line").alias("other")), "g")
     longer, shorter = F.when(F.length("line") >= F.length("other"), F.col("line")).otherwise(F.col("other")), F.when(F.length("line") >= F.length("other"), F.col("other")).otherwise(F.col("line"))
     both = _stripped(both.select("h", "g", _allowed(F.least(F.length("line"), F.length("other")), threshold).alias("allowed"), longer.alias("longer"), shorter.alias("shorter")))
-    both = both.where(_letters_apart(F.col("longer"), F.col("shorter")) <= 2 * F.col("allowed"))
-    links = keep(both.where(banded_distance(F.col("longer"), F.col("shorter"), threshold) <= F.col("allowed")).select(F.col("h").alias("a"), F.col("g").alias("b")), "line_links", release=True)
+    both = both.where(_pieces_alike(F.col("longer"), F.col("shorter"), threshold))
+    built_in = F.levenshtein("longer", "shorter", threshold)  # -1 beyond the threshold
+    near_enough = F.when(F.length("longer") <= _SHORT, built_in.between(0, F.col("allowed"))).otherwise(banded_distance(F.col("longer"), F.col("shorter"), threshold) <= F.col("allowed"))
+    links = keep(both.where(near_enough).select(F.col("h").alias("a"), F.col("g").alias("b")), "line_links", release=True)
     drop(pairs)
     found = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))

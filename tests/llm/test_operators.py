@@ -446,6 +446,39 @@ def test_lines_of_more_edits(spark, tmp_path):
     assert {r.doc_id: r.class_doc for r in op7_lines(spark, str(tmp_path)).collect()} == {i: find(p, i) for i in range(len(lines))}
 
 
+def test_line_filters_lose_no_link(spark):
+    """Pairs within the edits pass the letter counts, kept modulo 16 beside lengths modulo 256, and the pieces; their distance is exact at any length."""
+    rng = random.Random(12)
+    pairs = []
+    for n in (48, 250, 256, 700, 2600):
+        for _ in range(25):
+            base = "".join(rng.choice("etanoirs xyzé") for _ in range(n))
+            v = list(base)
+            for k in sorted((rng.randrange(n - 4) for _ in range(rng.randint(1, 7))), reverse=True):
+                v[k : k + rng.randint(0, 1)] = rng.choice(["", "e", "zz"])
+            pairs.append((base, "".join(v)))
+    pairs = [p for p in pairs if p[0] != p[1]]
+    docs = spark.createDataFrame([(2 * i + j, f"{i:04d} {x} {i:04d}") for i, p in enumerate(pairs) for j, x in enumerate(p)], "doc_id bigint, text string")
+    near = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").where(F.levenshtein("a", "b") <= 4)
+    got = line_classes(docs, threshold=4, least=5).where("links > 0").select((F.col("doc_id") / 2).cast("int").alias("i")).distinct()
+    assert 30 < near.count() < len(pairs) - 30 and {r.i for r in got.collect()} == {r.i for r in near.collect()}
+
+
+def test_joins_of_lines_are_compiled(spark, tmp_path):
+    """The JVM does not compile code of a join beyond 8,000 bytes, which made the join of keys three times slower."""
+    from recordrank.llm.lines import _candidates, _slots, _traits, _with_layouts
+
+    texts = spark.range(100).select("id", F.format_string("some line of text with number %d", "id").alias("line"))
+    _with_layouts(texts.select("*", F.length("line").alias("n"), _traits(F.col("line")).alias("traits")), 4).write.parquet(str(tmp_path / "t"))
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = _candidates(spark.read.parquet(str(tmp_path / "t")), _slots(4)[:1], 4)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", plan)]
+    assert sizes and max(sizes) <= 8000
+
+
 def test_long_dialogues_are_cut_by_position(spark):
     rng = random.Random(6)
     rows = [(c, rng.choice([None, 0, 1]), rng.choice("ab"), f"t{rng.randrange(60)}") for c in [9] * 300 + [1] * 150] + [(2, 0, "a", "same")] * 50 + [(3, 0, "a", "x")]
