@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -402,6 +403,27 @@ def test_seating_of_many_customers(customers, mass, discount):
     assert abs(got.mean() - t.mean()) < 5 * np.sqrt((got.var() + t.var()) / runs)
 
 
+def test_sweeps_ask_once_for_each_word(monkeypatch):
+    """In a Gibbs sweep the chance that a word's table closes is found for each word, not for each of its contexts; pairs are in order of both."""
+    from recordrank.llm import language_model as lm
+
+    rng = np.random.default_rng(2)
+    word, ctx = rng.integers(0, 3, 5000).astype(np.uint64), rng.integers(0, 1 << 48, 5000).astype(np.uint64)
+    ctx[::3] = (ctx[::3] & np.uint64(0xFFFFFFFF)) | np.uint64(7 << 32)
+    order = lm._order(word, ctx)
+    assert (order == np.lexsort((ctx, word))).all()
+    word, ctx = word[order], ctx[order]
+    counts = pa.Table.from_batches([lm._batch([(0, *lm._pair_columns(word, ctx), lm._numbers(rng.integers(1, 400, 5000)))], lm._COUNTS)])
+    shard = lm.Shard(counts)
+    totals = {"discounts": (0.4, 0.6), "tops": 9, "vocabulary": 3, "tables": 5000}
+    seating = lm.Seating(shard, totals, np.ones(5000, np.int64), 1)
+    asked, true = [], lm.closing
+    monkeypatch.setattr(lm, "closing", lambda c, t, d: asked.append((d, len(c))) or true(c, t, d))
+    seating.sweep(shard, totals, np.ones(5000, np.int64), 2)
+    assert max(n for d, n in asked if d == 0.4) <= 3 < max(n for d, n in asked if d == 0.6)
+    assert (seating.tables >= 1).all() and (seating.tables <= shard.num).all() and (seating.customers == np.bincount(shard.at, seating.tables)).all()
+
+
 def test_contexts_do_not_share_a_restaurant(spark):
     """Each of 200,000 contexts has one follower of its own, so all but the rarest tokens are foretold; merged contexts would not foretell them."""
     n = 200_000
