@@ -14,6 +14,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import batched, chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,42 @@ def read_file(spark: SparkSession, path: str) -> bytes:
         return bytes(spark.read.format("binaryFile").load(path).first().content)
 
 
-class ByteLevel(Encoder):
+class Units(Encoder):
+    """A tokenizer with ``pieces``, its entries' bytes, and ``whole``, which encodes texts; units are encoded side by side, in texts of ``ROW`` units."""
+
+    ROW = 256
+
+    def many(self, texts: list[str]) -> list[list[int]]:
+        return self.whole(texts)
+
+    def _add(self, keys: list[int], units: list[str]) -> None:
+        if not hasattr(self, "lengths"):
+            self.lengths = np.array([len(p) for p in self.pieces], np.int64)
+        # white space alone would be read as one with the unit behind it
+        rows = [g for alone, run in groupby(units, str.isspace) for g in batched(run, 1 if alone else self.ROW)]
+        ids, sizes = [], []
+        for row, found in zip(rows, self.whole(["".join(g) for g in rows])):
+            ends, wanted = np.cumsum(self.lengths[found]), np.cumsum([len(u.encode()) for u in row])
+            at = np.searchsorted(ends, wanted)
+            if len(row) == 1:
+                at = np.array([len(found) - 1])
+            elif len(ends) != at[-1] + 1 or (ends[at] != wanted).any():  # not spelt by its tokens
+                each = self.whole(list(row))
+                found, at = [i for x in each for i in x], np.cumsum([len(x) for x in each]) - 1
+            ids.append(found)
+            sizes.append(np.diff(at, prepend=-1))
+        ids, ends = np.concatenate([np.array(x, np.int32) for x in ids]), np.cumsum(np.concatenate(sizes)) + self.bounds[-1]
+        self.flat = np.concatenate([self.flat[: self.bounds[-1]], ids, np.zeros(max(0, len(self.flat) - self.bounds[-1] - len(ids)), np.int32)])
+        self.known.update(zip(keys, range(len(self.bounds) - 1, len(self.bounds) - 1 + len(keys))))
+        self.bounds += ends.tolist()
+
+    def laid_out(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a space and the text, for texts that are not empty, and how many each text has."""
+        found = list(self.encode(pa.array([" " + t if t else "" for t in texts], pa.large_string())))
+        return np.concatenate([ids for _, ids, _ in found]).astype(np.int64), np.concatenate([np.diff(bounds) for *_, bounds in found])
+
+
+class ByteLevel(Units):
     """A byte-level tokenizer from its JSON file; ``pieces`` are its entries' bytes. Texts are encoded by their distinct units."""
 
     def __init__(self, source: bytes):
@@ -56,7 +92,7 @@ class ByteLevel(Encoder):
         for name, i in names.items():
             self.pieces[i] = bytes(byte[c] for c in name) if all(c in byte for c in name) else name.encode()
 
-    def many(self, texts: list[str]) -> list[list[int]]:
+    def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[str]) -> list[list[int]]:
@@ -68,20 +104,42 @@ class ByteLevel(Encoder):
         return out
 
 
-class Pieces:
-    """A sentence-piece tokenizer from its model file, which puts a space before a text itself."""
+class Pieces(Units):
+    """A sentence-piece tokenizer from its model file, which puts a space before a text itself.
+
+    Merges make entries only, and where no entry has a space but at its beginning, none reaches over a space: a text is encoded by its distinct units, a run of spaces and
+    what follows up to the next one. A model with other entries, or one that rewrites texts, encodes them whole.
+    """
+
+    separates = np.arange(256) == 32
 
     def __init__(self, source: bytes):
+        self.clear()
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=source)
         one = re.compile("<0x([0-9A-F]{2})>")
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        odd = "A\xa0\ufb01 \u2460  B\t\n e\u0301 "
+        self.space = self.model.piece_to_id("▁")
+        self.apart = "▁" in names and all("▁" not in n.lstrip("▁") for n in names) and self.model.normalize(odd).replace("▁", " ") == " " + odd
         self.pieces = [bytes([int(m[1], 16)]) if (m := one.fullmatch(n)) else n.replace("▁", " ").encode() for n in names]
 
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts that begin with the space that the model would put before them."""
+        found = self.model.encode([t[1:] for t in texts], num_threads=1)
+        # before no text at all the model puts no space
+        return [[self.space] if t == " " else ids for t, ids in zip(texts, found)]
+
     def ids(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
 
+    def laid_out(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.apart:
+            return super().laid_out(texts)
+        ids = self.ids(texts)
+        return np.fromiter(chain.from_iterable(ids), np.int64), np.array([len(x) for x in ids], np.int64)
+
 
 class Bitset:
     """A set of places below ``size``, packed 64 to a word."""
@@ -119,14 +177,16 @@ def _chunk(texts: list[str], a: ByteLevel, b: Pieces, names: np.ndarray, base: i
     """Columns of a chunk's documents, its distinct id pairs, and how many of its documents hold each."""
     n = len(texts)
     whole = [(" " + t).encode() if t else b"" for t in texts]
-    ids_a, ids_b = a.ids(texts), b.ids(texts)
-    piece_a, piece_b = a.pieces.__getitem__, b.pieces.__getitem__
-    fits = [bool(w) and b"".join(map(piece_a, x)) == w and b"".join(map(piece_b, y)) == w for w, x, y in zip(whole, ids_a, ids_b)]
-    n_a = np.array([len(x) if ok else 0 for ok, x in zip(fits, ids_a)], np.int64)
-    n_b = np.array([len(y) if ok else 0 for ok, y in zip(fits, ids_b)], np.int64)
-    flat_a = np.fromiter((i for ok, x in zip(fits, ids_a) if ok for i in x), np.int64, n_a.sum())
-    flat_b = np.fromiter((i for ok, y in zip(fits, ids_b) if ok for i in y), np.int64, n_b.sum())
-    del ids_a, ids_b
+    fits, sides = np.array([bool(w) for w in whole]), []
+    for side in (a, b):
+        flat, each = side.laid_out(texts)
+        spelt = b"".join(map(side.pieces.__getitem__, flat.tolist()))
+        size = np.array([len(p) for p in side.pieces], np.int64)[flat]
+        at = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(each)])]
+        fits &= [spelt[i:j] == w for i, j, w in zip(at[:-1], at[1:], whole)]
+        sides.append((flat, each))
+    (flat_a, n_a), (flat_b, n_b) = ((flat[np.repeat(fits, each)], np.where(fits, each, 0)) for flat, each in sides)
+    del sides
     size = sum(len(w) for ok, w in zip(fits, whole) if ok)
     none = np.zeros(0, np.int64)
     if not size:

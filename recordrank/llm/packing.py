@@ -38,6 +38,8 @@ def load_ranks(spark, path: str) -> dict[bytes, int]:
 
 
 class Encoder:
+    separates = SPACE
+
     def __init__(self, ranks: dict[bytes, int]):
         import tiktoken
 
@@ -63,7 +65,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Slices of the texts: the place of the first, all ids, and their bounds by document."""
-        for part in slices(texts, SPACE):
+        for part in slices(texts, self.separates):
             own = [t or "" for t in texts.slice(part.at, part.n_docs).to_pylist()]
             if any(_WIDE.search(t) for t in own):
                 ids = list(self.many(own))

@@ -75,3 +75,15 @@ def test_bitset():
     assert (s.select() == places).all()
     every = np.arange(1000)
     assert (s.rank(every) == np.searchsorted(places, every)).all()
+
+
+def test_units_are_encoded_once():
+    """Both tokenizers encode a text by its distinct units, as they encode it whole."""
+    for side in (ByteLevel(read_file(None, A)), Pieces(read_file(None, B))):
+        texts = [t or "" for t in TEXTS] + ["the quick  brown fox\n of  units " * 300]
+        seen, whole = [], side.whole
+        side.whole = lambda t, seen=seen, whole=whole: (seen.extend(t), whole(t))[1]
+        ids, each = side.laid_out(texts * 3)
+        expected = [x if t else [] for t, x in zip(texts, whole([" " + t for t in texts]))]
+        assert ids.tolist() == [i for x in expected for i in x] * 3 and each.tolist() == [len(x) for x in expected] * 3
+        assert sum(map(len, seen)) < sum(map(len, texts)) / 2
