@@ -88,7 +88,7 @@ def _candidates(texts: DataFrame, slots: list[tuple[int, bool, int, int]], thres
     less = (F.shiftleft(fewer, 4) - apart.bitwiseAND(of)) % 255
     longer = (F.col("g") - F.col("h")).bitwiseAND(F.lit(255))
     near = (longer + more <= threshold) & (less <= threshold) & ((longer > 0) | (F.col("h") < F.col("g")))
-    return index.join(probe, (index["key"] == probe["key"]) & near).select("h", "g").distinct()
+    return index.hint("shuffle_hash").join(probe, (index["key"] == probe["key"]) & near).select("h", "g").distinct()
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:

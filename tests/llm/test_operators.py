@@ -733,3 +733,21 @@ def test_rows_are_full_in_many_small_partitions(spark):
     assert sorted({str(d) for p in packed.collect() for d in p.doc_ids}) == sorted({str(i) for i, _ in rows})
     whole = fill(pack_documents(df.coalesce(1), length=256), 256).first()
     assert abs(r.rows - whole.rows) <= 2 and fill(pack_documents(df.limit(0))).first().rows == 0
+
+
+def test_shuffle_files_go_with_their_phase(spark, tmp_path):
+    """After a kept table is written with ``release``, the shuffle it came from can go at once, not a phase later."""
+    import time
+
+    from recordrank.llm.scratch import drop, keep
+
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    for _ in range(2):
+        spark.sql("SELECT 1").collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
+    before = tracker.shuffleStatuses().size()
+    kept = keep(spark.range(1000).repartition(3), "released", release=True)
+    time.sleep(2)
+    assert tracker.shuffleStatuses().size() <= before
+    drop(kept)
