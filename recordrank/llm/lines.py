@@ -30,7 +30,7 @@ def _allowed(length: Column, threshold: int) -> Column:
 
 
 def _with_layouts(texts: DataFrame, threshold: int) -> DataFrame:
-    """``texts`` with ``layouts``: each line's own first, then those of lines shorter by the edits allowed.
+    """``texts(line, n)`` with ``layouts``, each line's own first, then those of lines shorter by the edits allowed, and ``k0``, ``k1``, ..., the keys of its own segments.
 
     A layout is edits and segment size in one integer, ``size * 64 + edits``. The size is rounded down, by a quarter at most, so that lines of
     nearly the same length mostly have one layout. Each step is a projection of its own, as the next one uses its columns more than once.
@@ -40,12 +40,24 @@ def _with_layouts(texts: DataFrame, threshold: int) -> DataFrame:
     texts = texts.select("*", *[F.floor((F.col("n") - i) / (F.col(f"_e{i}") + 1)).cast("int").alias(f"_s{i}") for i in less])
     rounded = lambda s: s.bitwiseAND(F.when(s < 8, -1).when(s < 16, -2).when(s < 32, -4).otherwise(-8))
     every = F.array(*[F.when(F.col(f"_e{i}") >= i, rounded(F.col(f"_s{i}")) * 64 + F.col(f"_e{i}")) for i in less])
-    return texts.withColumn("layouts", F.array_compact(F.array_distinct(every))).drop(*[f"_{c}{i}" for c in "es" for i in less])
+    texts = texts.withColumn("layouts", F.array_compact(F.array_distinct(every))).drop(*[f"_{c}{i}" for c in "es" for i in less])
+    slots, named = _slots(threshold), texts.columns
+    placed = _placed(texts.select("*", F.get("layouts", F.lit(0)).alias("layout")), slots, False, named)
+    return placed.select(*named, *[key.alias(f"k{k}") for (k, *_), key in zip(slots, _keys(slots, False), strict=True)])
 
 
-def _traits(line: Column) -> Column:
-    """The counts of the letters ``_COUNTED``, modulo 16, a byte for each."""
-    counts = [F.shiftleft((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c)))).bitwiseAND(F.lit(15)).cast("long"), 8 * i) for i, c in enumerate(_COUNTED)]
+def _with_rests(texts: DataFrame) -> DataFrame:
+    """``texts`` with ``rest1``, ``rest2``, ...: the line without the first of the letters ``_COUNTED``, without the first two, ... Each is read once and is shorter than the one before."""
+    texts = texts.withColumn("rest0", F.col("line"))
+    for i, c in enumerate(_COUNTED):
+        texts = texts.select("*", F.replace(f"rest{i}", F.lit(c)).alias(f"rest{i + 1}"))
+    return texts.drop("rest0")
+
+
+def _traits(line: Column, rests: list[Column] | None = None) -> Column:
+    """The counts of the letters ``_COUNTED``, modulo 16, a byte for each; ``rests`` are the columns of ``_with_rests``, if there are such."""
+    pairs = zip([line, *rests], rests, strict=False) if rests else [(line, F.replace(line, F.lit(c))) for c in _COUNTED]
+    counts = [F.shiftleft((F.octet_length(whole) - F.octet_length(rest)).bitwiseAND(F.lit(15)).cast("long"), 8 * i) for i, (whole, rest) in enumerate(pairs)]
     return sum(counts[1:], counts[0])
 
 
@@ -54,31 +66,38 @@ def _slots(threshold: int) -> list[tuple[int, bool, int, int]]:
     return [(e, e % 2 == 1, e // 2, e) for e in range(threshold + 1)]
 
 
-def _keys(lines: DataFrame, slots: list[tuple[int, bool, int, int]], moved: bool) -> DataFrame:
-    """``(id, traits, key)`` for the segments of ``lines(id, line, n, traits, layout)``, at their places or ``moved`` from there."""
+def _placed(lines: DataFrame, slots: list[tuple[int, bool, int, int]], moved: bool, also: list[str]) -> DataFrame:
+    """What ``_keys`` needs of ``lines(line, n, layout)``, and the columns ``also``."""
     lines = lines.select("*", F.floor(F.col("layout") / 64).cast("int").alias("size"), F.col("layout").bitwiseAND(F.lit(63)).alias("edits"))
     lines = lines.select("*", *[(F.col("n") - F.col("size") * (place + 1) if back else F.col("size") * place).cast("int").alias(f"start{k}") for k, back, place, _ in slots])
     # the characters around a place are cut out once for all moves
     around = [(k, F.greatest(F.col(f"start{k}") - (place if moved else 0), F.lit(0)), place if moved else 0) for k, _, place, _ in slots]
-    lines = lines.select("id", "traits", "n", "size", "edits", *[f"start{k}" for k, *_ in slots], *[at.alias(f"from{k}") for k, at, _ in around], *[F.substring("line", at + 1, F.col("size") + 2 * reach).alias(f"cut{k}") for k, at, reach in around])
+    also = [*also, *[c for c in ("n", "size", "edits") if c not in also]]
+    return lines.select(*also, *[f"start{k}" for k, *_ in slots], *[at.alias(f"from{k}") for k, at, _ in around], *[F.substring("line", at + 1, F.col("size") + 2 * reach).alias(f"cut{k}") for k, at, reach in around])
+
+
+def _keys(slots: list[tuple[int, bool, int, int]], moved: bool) -> list[Column]:
+    """Keys of the segments of ``_placed`` lines, at their places or ``moved`` from there, null where a line has none."""
     keys = []
     for k, _, place, least in slots:
         for move in range(-place, place + 1) if moved else (0,):
             start = F.col(f"start{k}") + move
             key = F.xxhash64(F.lit(k), F.substring(f"cut{k}", start - F.col(f"from{k}") + 1, F.col("size")))
             keys.append(F.when((F.col("edits") >= least) & (start >= 0) & (start + F.col("size") <= F.col("n")), key))
-    return lines.select("id", "traits", F.explode(F.array(*keys)).alias("key")).where("key is not null")
+    return keys
 
 
 def _candidates(texts: DataFrame, slots: list[tuple[int, bool, int, int]], threshold: int) -> DataFrame:
-    """Pairs ``(h, g)`` of lines of ``texts(id, line, n, traits, layouts)`` that share a segment of ``slots``, lengths and letter counts allowing.
+    """Pairs ``(h, g)`` of lines of ``texts(id, traits)``, with the columns of ``_with_layouts``, that share a segment of ``slots``, lengths and letter counts allowing.
 
     An edit adds one to the letters that one line has more than the other, or to those that the other has more, or to both; letters that are not
     counted one by one are one class, whose number follows from the length. Counts are compared modulo 16 and lengths, the lowest byte of an id, modulo
     256, so that no pair within the edits is lost.
     """
-    index = _keys(texts.select("id", "line", "n", "traits", F.get("layouts", F.lit(0)).alias("layout")), slots, False).select(F.col("id").alias("h"), F.col("traits").alias("x"), "key")
-    probe = _keys(texts.select("id", "line", "n", "traits", F.explode("layouts").alias("layout")), slots, True).select(F.col("id").alias("g"), F.col("traits").alias("y"), "key")
+    exploded = lambda keys: F.explode(F.array(*keys)).alias("key")
+    index = texts.select(F.col("id").alias("h"), F.col("traits").alias("x"), exploded([f"k{k}" for k, *_ in slots])).where("key is not null")
+    probe = _placed(texts.select("id", "line", "n", "traits", F.explode("layouts").alias("layout")), slots, True, ["id", "traits"])
+    probe = probe.select(F.col("id").alias("g"), F.col("traits").alias("y"), exploded(_keys(slots, True))).where("key is not null")
     byte = lambda v: F.lit(int.from_bytes(bytes([v] * 8), "big"))
     apart = (F.col("x").bitwiseOR(byte(16)) - F.col("y")).bitwiseAND(byte(15))
     fewer = F.shiftright(apart, 3).bitwiseAND(byte(1))  # letters that h has fewer of
@@ -174,12 +193,14 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line")).where(F.trim("line") != "")
-    lines = lines.withColumn("ha", F.xxhash64("line")).withColumn("hb", F.xxhash64("line", F.lit(7)))
+    hashes = [F.xxhash64("line").alias("ha"), F.xxhash64("line", F.lit(7)).alias("hb")]
+    lines = lines.select("*", *hashes)
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = keep(lines.select("doc_id", "line_no", F.length("line").alias("n_chars"), "ha", "hb", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(salts)).cast("int").alias("salt")), "line_places")
     # ids are as written: a table's rows keep them whatever is computed again
     texts = lines.where(F.length("line") >= F.lit(max(least, threshold + 1))).select("ha", "hb", "line").distinct()
-    texts = texts.select((F.monotonically_increasing_id() * 256 + F.length("line").bitwiseAND(F.lit(255))).alias("id"), "ha", "hb", "line", F.length("line").alias("n"), _traits(F.col("line")).alias("traits"))
+    texts = _with_rests(texts.select((F.monotonically_increasing_id() * 256 + F.length("line").bitwiseAND(F.lit(255))).alias("id"), "line", F.length("line").alias("n")))
+    texts = texts.select("id", "line", "n", _traits(F.col("line"), [F.col(f"rest{i + 1}") for i in range(len(_COUNTED))]).alias("traits"))
     texts = keep(_with_layouts(texts, threshold), "line_texts", release=True)
     # a few segments at a time: only their keys lie in shuffle files at once
     slots, parts = _slots(threshold), []
@@ -192,8 +213,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = keep(pairs.distinct(), "line_pairs", release=True)
     drop(*parts)
     wanted = pairs.select(F.explode(F.array("h", "g")).alias("id")).distinct()
-    # merged at any size: the ids grow with the table, and a plan that sends them to all tasks on small tables tells nothing of large ones
-    near = keep(texts.join(wanted.hint("merge"), "id").select("id", "ha", "hb", "line"), "line_near", release=True)
+    # shuffled at any size: the ids grow with the table, and a plan that sends them to all tasks on small tables tells nothing of large ones; by hash, as sorting would move all lines
+    near = keep(texts.join(wanted.hint("shuffle_hash"), "id").select("id", *hashes, "line"), "line_near", release=True)
     drop(texts)
     both = pairs.join(near.select(F.col("id").alias("h"), "line"), "h").join(near.select(F.col("id").alias("g"), F.col("line").alias("other")), "g")
     longer, shorter = F.when(F.length("line") >= F.length("other"), F.col("line")).otherwise(F.col("other")), F.when(F.length("line") >= F.length("other"), F.col("other")).otherwise(F.col("line"))

@@ -501,6 +501,21 @@ def test_joins_of_lines_are_compiled(spark, tmp_path):
     assert sizes and max(sizes) <= 8000
 
 
+def test_own_keys_of_lines_are_kept(spark, tmp_path):
+    """The lines' own keys are made once: of the two scans that a join of keys needs, one reads no text."""
+    from recordrank.llm.lines import _candidates, _slots, _traits, _with_layouts, _with_rests
+
+    lines = spark.createDataFrame([(i * 256 + len(x), x, len(x)) for i, x in enumerate(["one tree near an inn", "one tree near an ink", "é noon", "z" * 9])], "id bigint, line string, n int")
+    rests = _with_rests(lines)
+    named = [F.col(c) for c in rests.columns if c.startswith("rest")]
+    traits = rests.select("id", "line", "n", _traits(F.col("line"), named).alias("traits"))
+    assert not traits.where(F.col("traits") != _traits(F.col("line"))).count()
+    _with_layouts(traits, 4).write.parquet(str(tmp_path / "t"))
+    pairs = _candidates(spark.read.parquet(str(tmp_path / "t")), _slots(4)[:1], 4)
+    scans = re.findall(r"ReadSchema: struct<(.*?)>+\n", pairs._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+    assert sorted("line:" in x for x in scans) == [False, True] and pairs.count() == 1
+
+
 def test_long_dialogues_are_cut_by_position(spark):
     rng = random.Random(6)
     rows = [(c, rng.choice([None, 0, 1]), rng.choice("ab"), f"t{rng.randrange(60)}") for c in [9] * 300 + [1] * 150] + [(2, 0, "a", "same")] * 50 + [(3, 0, "a", "x")]
